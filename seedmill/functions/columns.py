@@ -5,19 +5,16 @@ from pyspark.sql import functions as F
 
 from seedmill import fixed
 
-_BLANKS = r"[ \t\r\n\f]+"
+_BLANKS = " \t\r\n\f"
 
 
-def words(text: Column) -> Column:
-    """Items between blanks; an empty or blank text has none."""
-    cleaned = F.regexp_replace(F.regexp_replace(text, "^" + _BLANKS, ""), _BLANKS + "$", "")
-    return F.when(cleaned == "", F.array().cast("array<string>")).otherwise(
-        F.split(cleaned, _BLANKS)
-    )
+def strip(text: Column) -> Column:
+    return F.trim(text, F.lit(_BLANKS))
 
 
-def strip(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, "^" + _BLANKS, ""), _BLANKS + "$", "")
+def words(text: Column) -> Column:
+    """Items between blanks; an empty or blank text has none."""
+    return F.array_remove(F.split(strip(text), f"[{_BLANKS}]+"), "")
 
 
 def word_count(text: Column) -> Column:

@@ -27,6 +27,16 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(row), F.lit(0)).alias("bytes")).first()["bytes"]
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores on an input that comes in fewer splits than there are cores.
+
+    A small file with one row group is one task, however heavy the work per
+    row. A large input has splits enough and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def lookup_join(
     big: DataFrame,
     lookup: DataFrame,

@@ -41,15 +41,33 @@ def run_generator(
     schema: str | T.StructType = GENERATED,
     batch_size: int = fixed.GENERATOR_BATCH,
 ) -> DataFrame:
-    """Call the generator on batches of at most ``batch_size`` rows; 0 turns batching off."""
+    """Call the generator on batches of at most ``batch_size`` rows; 0 turns batching off.
+
+    Columns of ``schema`` that the generator does not return are taken from the
+    request with the same ``request_id``.
+    """
+    target = _schema(schema)
 
     def call(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = batch_size if batch_size > 0 else 1
         for frame in frames:
-            step = batch_size if batch_size > 0 else 1
-            for start in range(0, len(frame), step):
-                yield generator(frame.iloc[start : start + step].reset_index(drop=True))
-
-    return df.mapInPandas(call, schema)
+            parts = [
+                generator(frame.iloc[start : start + step].reset_index(drop=True))
+                for start in range(0, len(frame), step)
+            ]
+            if not parts:
+                continue
+            out = pd.concat(parts, ignore_index=True)
+            carried = [n for n in target.names if n not in out.columns]
+            if carried:
+                out = out.merge(frame[["request_id", *carried]], on="request_id", how="left")
+            yield out[target.names]
+
+    return df.mapInPandas(call, target)
+
+
+def _schema(schema: str | T.StructType) -> T.StructType:
+    return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
 
 _TOKEN = re.compile(r"[^ \t\r\n\f]+")

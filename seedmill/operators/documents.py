@@ -119,7 +119,11 @@ def clean_documents(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _windows(items: Column, size: int) -> Column:
-    """An array cut into consecutive arrays of at most ``size``; none for an empty array."""
+    """An array column cut into consecutive arrays of at most ``size``; none for an empty array.
+
+    ``items`` should be a stored column: inside the lambda an expression would
+    be worked out again for every window.
+    """
     starts = F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(size))
     return F.when(F.size(items) == 0, F.array().cast("array<array<string>>")).otherwise(
         F.transform(starts, lambda start: F.slice(items, start + 1, size))
@@ -129,7 +133,8 @@ def _windows(items: Column, size: int) -> Column:
 def chunk_by_words(df: DataFrame, max_words: int = fixed.CHUNK_WORDS, text: str = "text") -> DataFrame:
     """Consecutive chunks of at most ``max_words`` words covering the whole text."""
     keep = [c for c in df.columns if c != text]
-    cut = df.select(*keep, F.posexplode(_windows(words(F.col(text)), max_words)).alias("chunk", "_words"))
+    split = df.select(*keep, words(F.col(text)).alias("_all"))
+    cut = split.select(*keep, F.posexplode(_windows(F.col("_all"), max_words)).alias("chunk", "_words"))
     return cut.select(
         *keep,
         "chunk",
@@ -138,29 +143,41 @@ def chunk_by_words(df: DataFrame, max_words: int = fixed.CHUNK_WORDS, text: str
     )
 
 
-def sections_of(items: Column) -> Column:
+def _is_header(item: Column) -> Column:
+    return item["label"].isin(*HEADER_LABELS)
+
+
+def with_sections(df: DataFrame, items: str = "items") -> DataFrame:
     """Items grouped under their heading; text before the first heading has none."""
-    numbers = F.sequence(F.lit(1), F.size(items))
-    heads = F.filter(numbers, lambda i: F.element_at(items, i)["label"].isin(*HEADER_LABELS))
-    starts = F.when(F.size(items) == 0, F.array().cast("array<int>")).otherwise(
+    every = F.col(items)
+    heads = F.filter(
+        F.transform(every, lambda x, i: F.when(_is_header(x), i + 1)), lambda i: i.isNotNull()
+    )
+    starts = F.when(F.size(every) == 0, F.array().cast("array<int>")).otherwise(
         F.array_distinct(F.concat(F.array(F.lit(1)), heads))
     )
 
     def section(start: Column, j: Column) -> Column:
-        end = F.coalesce(F.try_element_at(starts, j + 2), F.size(items) + 1)
-        part = F.slice(items, start, end - start)
-        body = F.filter(part, lambda x: ~x["label"].isin(*HEADER_LABELS, "caption"))
+        end = F.coalesce(F.try_element_at(F.col("_starts"), j + 2), F.size(every) + 1)
+        return F.slice(every, start, end - start)
+
+    def texts(part: Column, keep) -> Column:
+        return F.transform(F.filter(part, keep), lambda x: x["text"])
+
+    def described(part: Column) -> Column:
         return F.struct(
-            F.transform(
-                F.filter(part, lambda x: x["label"].isin(*HEADER_LABELS)), lambda x: x["text"]
-            ).alias("headings"),
-            F.transform(F.filter(part, lambda x: x["label"] == "caption"), lambda x: x["text"]).alias(
-                "captions"
-            ),
-            F.array_join(F.transform(body, lambda x: x["text"]), "\n").alias("text"),
+            texts(part, _is_header).alias("headings"),
+            texts(part, lambda x: x["label"] == "caption").alias("captions"),
+            F.array_join(
+                texts(part, lambda x: ~x["label"].isin(*HEADER_LABELS, "caption")), "\n"
+            ).alias("text"),
         )
 
-    return F.transform(starts, section)
+    return (
+        df.withColumn("_starts", starts)
+        .withColumn("sections", F.transform(F.transform("_starts", section), described))
+        .drop("_starts")
+    )
 
 
 def split_documents(
@@ -182,12 +199,13 @@ def split_documents(
     else:
         missing = F.raise_error(F.lit("Missing content for document")).cast(df.schema[items].dataType)
         source = df.withColumn(items, F.when(F.col(items).isNull(), missing).otherwise(F.col(items)))
-    sections = source.select(*keep, F.posexplode(sections_of(F.col(items))).alias("section", "_s"))
-    chunks = sections.select(
+    sections = with_sections(source, items).select(*keep, F.posexplode("sections").alias("section", "_s"))
+    tokens = sections.withColumn("_all", tokenize(F.col("_s.text")))
+    chunks = tokens.select(
         *keep,
         "section",
         "_s",
-        F.posexplode(_windows(tokenize(F.col("_s.text")), max_tokens)).alias("chunk", "_tokens"),
+        F.posexplode(_windows(F.col("_all"), max_tokens)).alias("chunk", "_tokens"),
     )
     heading = F.array_join("_s.headings", "\n")
     body = F.array_join("_tokens", " ")
@@ -211,12 +229,12 @@ def with_content_id(df: DataFrame, columns: tuple[str, ...] = ("content",)) -> D
 def dedup_skip(df: DataFrame, order: str, key: str = "id") -> DataFrame:
     """Keep the first row per id. ``order`` is unique per row.
 
-    Only ``(id, order)`` is grouped, and copies collapse inside each task, so a
-    huge group of copies costs one number. The wide rows then join on the unique
-    ``order``, which no group of copies can make uneven.
+    Copies collapse inside each task before anything moves, so a huge group of
+    copies sends one row per task, and the input is worked out once.
     """
-    first = df.groupBy(key).agg(F.min(order).alias(order)).select(order)
-    return df.join(first, order, "left_semi")
+    others = [c for c in df.columns if c != key]
+    first = df.groupBy(key).agg(F.min_by(F.struct(*others), order).alias("_first"))
+    return first.select(key, "_first.*").select(*df.columns)
 
 
 def embed(

@@ -60,10 +60,15 @@ def generate(
 ) -> DataFrame:
     """Run a user's generator over the requests in batches.
 
+    Requests are few bytes and much work, so they are spread over all task
+    slots first; a hash of the request id keeps a retried task's rows in place.
     ``max_concurrency`` limits how many batches are in flight at an endpoint.
     """
-    source = requests if max_concurrency is None else requests.repartition(max_concurrency, "request_id")
-    return run_generator(source, generator, schema, batch_size)
+    spark = requests.sparkSession
+    slots = max_concurrency or max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+    return run_generator(requests.repartition(slots, "request_id"), generator, schema, batch_size)
 
 
 def resume_requests(requests: DataFrame, done: DataFrame) -> DataFrame:
@@ -104,9 +109,12 @@ def limit_tokens(
     tokenize: Callable = words,
 ) -> DataFrame:
     """Bound on what one request may generate; texts within it stay as they are."""
-    tokens = tokenize(F.col(text))
-    cut = F.array_join(F.slice(tokens, 1, max_tokens), " ")
-    return df.withColumn(text, F.when(F.size(tokens) > max_tokens, cut).otherwise(F.col(text)))
+    cut = F.array_join(F.slice("_tokens", 1, max_tokens), " ")
+    return (
+        df.withColumn("_tokens", tokenize(F.col(text)))
+        .withColumn(text, F.when(F.size("_tokens") > max_tokens, cut).otherwise(F.col(text)))
+        .drop("_tokens")
+    )
 
 
 def to_training_messages(

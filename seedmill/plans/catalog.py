@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from seedmill.functions import columns as c
 from seedmill.operators import catalog as ct
 from seedmill.plans.registry import query
-from seedmill.plans.tables import FILES, dataset_files, human_size_sql, table
+from seedmill.plans.tables import FILES, dataset_files, human_size_sql, table, text_table
 from seedmill.sources import files as fl
 
 CATALOG = f"""WITH {FILES},
@@ -155,6 +155,6 @@ def classify_repo(spark, folder):
 )
 def text_sizes(spark, folder):
     text = F.col("text")
-    return table(spark, folder, "documents").select(
+    return text_table(spark, folder, "documents").select(
         "doc_id", c.char_count(text).cast("long").alias("chars"), c.word_count(text).cast("long").alias("words")
     )

@@ -7,7 +7,7 @@ from seedmill.functions.storage import scratch_path
 from seedmill.operators import documents as dc
 from seedmill.operators.retrieval import retrieve_topk
 from seedmill.plans.registry import query
-from seedmill.plans.tables import table, words_sql
+from seedmill.plans.tables import table, text_table, words_sql
 from seedmill.sources import records, sinks
 
 CLEANED = r"""array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x:
@@ -17,7 +17,7 @@ CLEANED = r"""array_to_string(list_filter(list_transform(string_split(text, chr(
 
 @query(f"SELECT doc_id, {CLEANED} AS text FROM documents")
 def clean_documents(spark, folder):
-    return dc.clean_documents(table(spark, folder, "documents").select("doc_id", "text"))
+    return dc.clean_documents(text_table(spark, folder, "documents").select("doc_id", "text"))
 
 
 def chunks_sql(size: int) -> str:
@@ -29,7 +29,7 @@ SELECT doc_id, s // {size} AS chunk, len(w[s + 1 : s + {size}]) AS n_words,
 
 @query(chunks_sql(1000))
 def chunk_by_words(spark, folder):
-    chunks = dc.chunk_by_words(table(spark, folder, "documents").select("doc_id", "text"))
+    chunks = dc.chunk_by_words(text_table(spark, folder, "documents").select("doc_id", "text"))
     return chunks.select(
         "doc_id", F.col("chunk").cast("long"), F.col("n_words").cast("long"), F.md5("content").alias("content")
     )
@@ -37,7 +37,7 @@ def chunk_by_words(spark, folder):
 
 @query(chunks_sql(100))
 def chunk_by_100_words(spark, folder):
-    chunks = dc.chunk_by_words(table(spark, folder, "documents").select("doc_id", "text"), 100)
+    chunks = dc.chunk_by_words(text_table(spark, folder, "documents").select("doc_id", "text"), 100)
     return chunks.select(
         "doc_id", F.col("chunk").cast("long"), F.col("n_words").cast("long"), F.md5("content").alias("content")
     )
@@ -71,7 +71,7 @@ SHOWN = """array_to_string(list_transform(lines, lambda x:
 
 
 def converted(spark, folder):
-    return dc.convert_documents(table(spark, folder, "pages"))
+    return dc.convert_documents(text_table(spark, folder, "pages"))
 
 
 def _shown(items):
@@ -291,7 +291,7 @@ index_rows AS (
 
 
 def index_of(spark, folder):
-    return dc.build_index(table(spark, folder, "documents").select("doc_id", "text"))
+    return dc.build_index(text_table(spark, folder, "documents").select("doc_id", "text"))
 
 
 @query(
@@ -339,7 +339,7 @@ FROM products QUALIFY rank <= 3"""
 )
 def search_texts(spark, folder):
     """Every benchmark item searches all documents with the default embedder."""
-    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    texts = text_table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     asked = table(spark, folder, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("content")
     )

@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from seedmill.functions.slots import GENERATED as GENERATED_ROW
 from seedmill.functions.storage import scratch_path
 from seedmill.operators import generation as gn
 from seedmill.operators import taxonomy as tx
 from seedmill.operators.documents import chunk_by_words
 from seedmill.plans.registry import query
-from seedmill.plans.tables import table, words_sql
+from seedmill.plans.tables import table, text_table, words_sql
 from seedmill.plans.taxonomy import EXPLODED, parsed
 from seedmill.sources import sinks
 
@@ -75,7 +76,7 @@ FROM items CROSS JOIN (SELECT unnest(range(1, 4)) AS repeat)"""
 @query(LEAF_CHUNKS)
 def knowledge_requests(spark, folder):
     """Leaves are languages with two seed pairs each; every document chunk becomes requests of its leaf."""
-    docs = table(spark, folder, "documents").select("doc_id", F.col("lang").alias("leaf"), "text")
+    docs = text_table(spark, folder, "documents").select("doc_id", F.col("lang").alias("leaf"), "text")
     chunks = chunk_by_words(docs).select(
         "leaf", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk").cast("string")).alias("chunk_id"), "content"
     )
@@ -103,9 +104,8 @@ TRAINING = (
 
 
 def training_messages(spark, folder):
-    every = requests(spark, folder)
-    out = gn.generate(every.select("request_id", "repeat", "question", "answer"))
-    return gn.to_training_messages(out.join(every.select("request_id", "path"), "request_id"))
+    every = requests(spark, folder).select("request_id", "path", "repeat", "question", "answer")
+    return gn.to_training_messages(gn.generate(every, schema=f"{GENERATED_ROW}, path string"))
 
 
 @query(TRAINING + "SELECT request_id, kind, node, side, messages FROM sides")
@@ -126,7 +126,7 @@ def write_run(spark, folder):
 SELECT doc_id, md5(CASE WHEN len(w) > 200 THEN array_to_string(w[1:200], ' ') ELSE text END) AS text FROM split"""
 )
 def limit_tokens(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = text_table(spark, folder, "documents").select("doc_id", "text")
     return gn.limit_tokens(docs, 200, "text").withColumn("text", F.md5("text"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from seedmill.functions.columns import is_seed_file, seed_name_warning
 from seedmill.operators import taxonomy as tx
 from seedmill.plans.registry import query
-from seedmill.plans.tables import PAIRS, qna_pairs, table
+from seedmill.plans.tables import PAIRS, qna_pairs, table, text_table
 from seedmill.sources.taxonomy import parse_seed_files
 
 # Four conversations make a seed file. Every fifth one is knowledge with a document
@@ -206,7 +206,7 @@ def paths(spark, folder):
     def pick(names, count):
         return F.element_at(F.array(*[F.lit(n) for n in names]), (d % count + 1).cast("int"))
 
-    return table(spark, folder, "documents").select(
+    return text_table(spark, folder, "documents").select(
         "doc_id",
         "text",
         F.concat_ws(
