@@ -1,6 +1,6 @@
 """Column-to-column functions, all evaluated inside the JVM unless said otherwise."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seedmill import fixed
@@ -8,6 +8,16 @@ from seedmill import fixed
 _BLANKS = " \t\r\n\f"
 
 
+def exploded(df: DataFrame, keep: list, array: Column, position: str, name: str) -> DataFrame:
+    """One row per array element, none for an empty array.
+
+    The outer form with a filter behind it: for the plain form Spark adds a
+    "size > 0" filter in front, which works out the whole array a second time.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(position, name))
+    return rows.filter(F.col(position).isNotNull())
+
+
 def strip(text: Column) -> Column:
     return F.trim(text, F.lit(_BLANKS))
 

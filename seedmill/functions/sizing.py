@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +27,15 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(row), F.lit(0)).alias("bytes")).first()["bytes"]
 
 
+def task_slots(spark: SparkSession) -> int:
+    """Partitions for a step whose rows are few bytes and much work each."""
+    return max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores on an input that comes in fewer splits than there are cores.
+    """Use all cores on a file scan that comes in fewer splits than there are cores.
 
     A small file with one row group is one task, however heavy the work per
     row. A large input has splits enough and is returned as it is.

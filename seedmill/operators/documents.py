@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seedmill import fixed
-from seedmill.functions.columns import strip, words
+from seedmill.functions.columns import exploded, strip, words
 from seedmill.functions.slots import HashingEmbedder, embedding_column
 
 # Markup that carries no document text, tags that end a line, named characters.
@@ -79,9 +79,11 @@ def convert_documents(df: DataFrame, content: str = "html", kind: str = "html")
         cut = ~source.rlike("(?i)</html>")
     else:
         failed, cut = empty, F.lit(False)
-    return out.withColumn(
-        "status", F.when(failed, "failure").when(cut, "partial").otherwise("success")
-    )
+    status = F.when(failed, "failure").when(cut, "partial").otherwise("success")
+    # As output of a generator the two columns stay computed once: a later filter on
+    # the status would otherwise be pushed down and convert every document again.
+    settled = out.withColumn("status", status)
+    return settled.select(*df.columns, F.inline_outer(F.array(F.struct("items", "status"))))
 
 
 def successful_conversions(df: DataFrame) -> DataFrame:
@@ -134,7 +136,7 @@ def chunk_by_words(df: DataFrame, max_words: int = fixed.CHUNK_WORDS, text: str
     """Consecutive chunks of at most ``max_words`` words covering the whole text."""
     keep = [c for c in df.columns if c != text]
     split = df.select(*keep, words(F.col(text)).alias("_all"))
-    cut = split.select(*keep, F.posexplode(_windows(F.col("_all"), max_words)).alias("chunk", "_words"))
+    cut = exploded(split, keep, _windows(F.col("_all"), max_words), "chunk", "_words")
     return cut.select(
         *keep,
         "chunk",
@@ -199,13 +201,10 @@ def split_documents(
     else:
         missing = F.raise_error(F.lit("Missing content for document")).cast(df.schema[items].dataType)
         source = df.withColumn(items, F.when(F.col(items).isNull(), missing).otherwise(F.col(items)))
-    sections = with_sections(source, items).select(*keep, F.posexplode("sections").alias("section", "_s"))
+    sections = exploded(with_sections(source, items), keep, F.col("sections"), "section", "_s")
     tokens = sections.withColumn("_all", tokenize(F.col("_s.text")))
-    chunks = tokens.select(
-        *keep,
-        "section",
-        "_s",
-        F.posexplode(_windows(F.col("_all"), max_tokens)).alias("chunk", "_tokens"),
+    chunks = exploded(
+        tokens, [*keep, "section", "_s"], _windows(F.col("_all"), max_tokens), "chunk", "_tokens"
     )
     heading = F.array_join("_s.headings", "\n")
     body = F.array_join("_tokens", " ")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seedmill import fixed
 from seedmill.functions.columns import word_count, words
-from seedmill.functions.sizing import lookup_join
+from seedmill.functions.sizing import lookup_join, task_slots
 from seedmill.functions.slots import GENERATED, Generator, run_generator, template_generator
 from seedmill.operators.messages import messages_of
 
@@ -64,10 +64,7 @@ def generate(
     slots first; a hash of the request id keeps a retried task's rows in place.
     ``max_concurrency`` limits how many batches are in flight at an endpoint.
     """
-    spark = requests.sparkSession
-    slots = max_concurrency or max(
-        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    )
+    slots = max_concurrency or task_slots(requests.sparkSession)
     return run_generator(requests.repartition(slots, "request_id"), generator, schema, batch_size)
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seedmill import fixed
-from seedmill.functions.columns import base_name, file_suffix, glob_to_regex, is_seed_file
+from seedmill.functions.columns import base_name, exploded, file_suffix, glob_to_regex, is_seed_file
 from seedmill.functions.sizing import lookup_join
 
 
@@ -157,7 +157,7 @@ def match_patterns(files: DataFrame, patterns: DataFrame) -> DataFrame:
     )
     joined = lookup_join(files, per_repo, ["repo"], "inner", salt_by=["repo", "path"])
     hits = F.filter("globs", lambda g: F.rlike(F.col("path"), g["regex"]))
-    return joined.select("repo", "path", F.explode(hits).alias("glob")).select(
+    return exploded(joined, ["repo", "path"], hits, "_n", "glob").select(
         "repo", "path", F.col("glob.pattern").alias("pattern")
     )
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from seedmill.functions.columns import is_seed_file, seed_name_warning
+from seedmill.functions.storage import materialize
 from seedmill.operators import taxonomy as tx
 from seedmill.plans.registry import query
 from seedmill.plans.tables import PAIRS, qna_pairs, table, text_table
@@ -164,7 +165,9 @@ def collect_seed_documents(spark, folder):
 
 
 def validated(spark, folder):
-    return tx.validate_seed_files(parsed(spark, folder), repo_files(spark, folder))
+    """Validation reads the parsed files twice, so they are stored once."""
+    stored = materialize(parsed(spark, folder), "parsed-seeds")
+    return tx.validate_seed_files(stored, repo_files(spark, folder))
 
 
 @query(f"WITH {MATCHES} SELECT path, errors, n_errors, n_warnings FROM validated")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from seedmill import schemas
 from seedmill.functions.columns import is_seed_file, seed_name_warning
+from seedmill.functions.sizing import task_slots
 from seedmill.sources.files import relative_to
 
 _TEXT_FIELDS = ("created_by", "domain", "task_description", "document_outline")
@@ -97,7 +98,10 @@ def _record(path: str, content: str, load) -> dict:
 
 
 def parse_seed_files(files: DataFrame) -> DataFrame:
-    """``(path, content)`` text rows to the seed file layout; bad YAML becomes ``parse_error``."""
+    """``(path, content)`` text rows to the seed file layout; bad YAML becomes ``parse_error``.
+
+    Seed files are small and slow to parse, so they go to all task slots first.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     target = to_arrow_schema(schemas.SEED_FILE)
@@ -115,4 +119,5 @@ def parse_seed_files(files: DataFrame) -> DataFrame:
             rows = [_record(p, c or "", load) for p, c in zip(paths, contents, strict=True)]
             yield pa.RecordBatch.from_pylist(rows, schema=target)
 
-    return files.select("path", "content").mapInArrow(parse, schemas.SEED_FILE)
+    spread_out = files.select("path", "content").repartition(task_slots(files.sparkSession), "path")
+    return spread_out.mapInArrow(parse, schemas.SEED_FILE)
