@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seedmill import fixed
 from seedmill.functions.columns import word_count, words
 from seedmill.functions.sizing import lookup_join, task_slots
+from seedmill.functions.storage import materialize
 from seedmill.functions.slots import GENERATED, Generator, run_generator, template_generator
 from seedmill.operators.messages import messages_of
 
@@ -30,7 +31,7 @@ def knowledge_requests(files: DataFrame, chunks: DataFrame, scale: int = 1) -> D
     chunk request carries the examples as few-shot context instead of being
     repeated for each of them, so a leaf never multiplies into all pairs.
     """
-    leaves = files.select("leaf", "examples")
+    leaves = materialize(files.select("leaf", "examples"), "leaves")
     chunk_rows = lookup_join(chunks, leaves, ["leaf"], "inner", salt_by=["leaf", "chunk_id"])
     from_chunks = chunk_rows.select(
         "leaf",

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedmill import fixed
-from seedmill.functions.sizing import lookup_join, measured_bytes
+from seedmill.functions.sizing import lookup_join
+from seedmill.functions.storage import materialize
 
-QUERY_BYTES = 16 * 1024 * 1024
+QUERY_ROWS = 4096
 BLOCK_QUERIES = 2048
 BLOCK_VECTORS = 50_000
 STEP_ROWS = 2048
@@ -57,10 +58,9 @@ def _frame(pool, query_ids: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"query_id": query_ids[number], "id": ids, "score": score})
 
 
-def _candidates_by_broadcast(queries: DataFrame, index: DataFrame, k: int, metric: str, schema: str) -> DataFrame:
+def _candidates_by_broadcast(local: pd.DataFrame, index: DataFrame, k: int, metric: str, schema: str) -> DataFrame:
     """Each task scans its part of the index once against all queries."""
-    local = queries.toPandas()
-    shared = queries.sparkSession.sparkContext.broadcast(
+    shared = index.sparkSession.sparkContext.broadcast(
         (local["query_id"].to_numpy(), _matrix(local["embedding"], metric))
     )
 
@@ -103,23 +103,24 @@ def retrieve_topk(
     index: DataFrame,
     k: int = fixed.RETRIEVER_TOP_K,
     metric: str = "dot",
-    query_bytes: int = QUERY_BYTES,
+    query_rows: int = QUERY_ROWS,
     block_queries: int = BLOCK_QUERIES,
     block_vectors: int = BLOCK_VECTORS,
 ) -> DataFrame:
     """The k best index rows per query, exactly; ties go to the smaller id.
 
     ``queries`` is ``(query_id, embedding)``, ``index`` is ``(id, embedding)``.
-    A query set of measured small size is broadcast and the index is scanned in
-    place; a larger one is joined block by block. Only k rows per query leave a task.
+    Up to ``query_rows`` queries are broadcast and the index is scanned in place;
+    more of them are joined block by block. Only k rows per query leave a task.
     """
     if metric not in ("dot", "cosine"):
         raise ValueError("metric is 'dot' or 'cosine'")
     q, n = queries.select("query_id", "embedding"), index.select("id", "embedding")
     types = dict(q.dtypes)["query_id"], dict(n.dtypes)["id"]
     schema = f"query_id {types[0]}, id {types[1]}, score double"
-    if measured_bytes(q) <= query_bytes:
-        candidates = _candidates_by_broadcast(q, n, k, metric, schema)
+    few = q.limit(query_rows + 1).toPandas()
+    if len(few) <= query_rows:
+        candidates = _candidates_by_broadcast(few, n, k, metric, schema)
     else:
         candidates = _candidates_by_blocks(q, n, k, metric, schema, block_queries, block_vectors)
     ranking = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
@@ -128,6 +129,7 @@ def retrieve_topk(
 
 def augmented_context(hits: DataFrame, index: DataFrame, content: str = "content") -> DataFrame:
     """Contents of a query's hits joined with line breaks, best first. At most k rows per query."""
+    hits = materialize(hits, "hits")
     narrow = index.select("id", content)
     found = lookup_join(narrow, hits.select("id").distinct(), ["id"], "left_semi", salt_by=["id"])
     texts = hits.join(found, "id")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from seedmill.functions.ordering import SINGLE_TASK_ROWS, with_position
 from seedmill.functions.sizing import lookup_join
+from seedmill.functions.storage import materialize
 
 
 def trim_history(
@@ -23,6 +24,7 @@ def trim_history(
     length = F.length(text).cast("long")
     if compat:
         totals = turns.groupBy(key).agg(F.sum(length).alias("_total"), F.max("turn").alias("_last"))
+        totals = materialize(totals, "session-totals")
         joined = lookup_join(turns, totals, [key], "inner", salt_by=[key, "turn"])
         return joined.filter(
             (F.col("_total") <= max_chars) | (F.col("turn") == F.col("_last"))
@@ -43,6 +45,7 @@ def trim_history(
 def drop_oldest(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     """One step of the reaction to a context-length error: the oldest message goes, unless it is the only one."""
     ends = turns.groupBy(key).agg(F.min("turn").alias("_first"), F.max("turn").alias("_last"))
+    ends = materialize(ends, "session-ends")
     joined = lookup_join(turns, ends, [key], "inner", salt_by=[key, "turn"])
     return joined.filter(
         (F.col("turn") != F.col("_first")) | (F.col("_first") == F.col("_last"))

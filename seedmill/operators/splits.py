@@ -6,7 +6,7 @@ columns that identify a row. Nothing here sorts all rows in one task.
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedmill import fixed
@@ -88,15 +88,14 @@ def batches(
 def pad_batch(df: DataFrame, tokens: str = "tokens", pad: int = 0) -> DataFrame:
     """Token arrays padded to the longest of their batch, as inputs and targets shifted by one.
 
-    A batch has a fixed small number of rows, and only its maximum is grouped.
+    A batch has a fixed small number of rows, so its window is one too.
     """
-    longest = df.groupBy("batch").agg(F.max(F.size(tokens)).alias("_longest"))
-    joined = df.join(longest, "batch")
     array = F.col(tokens)
+    longest = F.max(F.size(array)).over(Window.partitionBy("batch"))
     padded = F.concat(
         array, F.array_repeat(F.lit(pad).cast("int"), F.col("_longest") - F.size(array))
     )
-    return joined.select(
+    return df.withColumn("_longest", longest).select(
         *df.columns,
         F.size(array).alias("length"),
         F.slice(padded, 1, F.col("_longest") - 1).alias("inputs"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from seedmill import fixed
 from seedmill.functions.columns import base_name, exploded, file_suffix, glob_to_regex, is_seed_file
 from seedmill.functions.sizing import lookup_join
+from seedmill.functions.storage import materialize
 
 
 def changed_files(untracked: DataFrame, modified: DataFrame) -> DataFrame:
@@ -155,6 +156,7 @@ def match_patterns(files: DataFrame, patterns: DataFrame) -> DataFrame:
     per_repo = patterns.groupBy("repo").agg(
         F.collect_set(F.struct("pattern", glob_to_regex(F.col("pattern")).alias("regex"))).alias("globs")
     )
+    per_repo = materialize(per_repo, "patterns")
     joined = lookup_join(files, per_repo, ["repo"], "inner", salt_by=["repo", "path"])
     hits = F.filter("globs", lambda g: F.rlike(F.col("path"), g["regex"]))
     return exploded(joined, ["repo", "path"], hits, "_n", "glob").select(

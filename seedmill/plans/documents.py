@@ -261,7 +261,7 @@ def retrieve_topk_cosine(spark, folder):
 
 @query(_topk_sql("list_dot_product"))
 def retrieve_topk_by_blocks(spark, folder):
-    return _topk(spark, folder, "dot", query_bytes=0)
+    return _topk(spark, folder, "dot", query_rows=0)
 
 
 # The index over documents: cleaned lines, headings by leading #, first copy of equal chunks kept.

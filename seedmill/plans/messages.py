@@ -62,7 +62,8 @@ STANDARD = f"""standard AS (
 
 @query(f'WITH {STANDARD} SELECT conv_id, system, "user", assistant, error FROM standard')
 def standard_to_legacy(spark, folder):
-    return ms.standard_to_legacy(samples(spark, folder).drop("part"), on_error="quarantine")
+    first = ms.first_messages(table(spark, folder, "conversations"))
+    return ms.standard_to_legacy(first, on_error="quarantine")
 
 
 def pretraining_samples(spark, folder):
@@ -102,7 +103,8 @@ def pretraining_to_legacy(spark, folder):
 
 
 def mixed_samples(spark, folder):
-    standard = samples(spark, folder).select((F.col("conv_id") * -1 - 1).alias("sample"), "messages")
+    first = ms.first_messages(table(spark, folder, "conversations"))
+    standard = first.select((F.col("conv_id") * -1 - 1).alias("sample"), "messages")
     return standard.unionByName(pretraining_samples(spark, folder))
 
 
@@ -117,7 +119,8 @@ def to_legacy_per_row(spark, folder):
 
 @query(f'WITH {STANDARD} SELECT conv_id, system, "user", assistant, error FROM standard')
 def to_legacy_by_first_record(spark, folder):
-    return ms.to_legacy(samples(spark, folder).drop("part"), order="conv_id", on_error="quarantine")
+    first = ms.first_messages(table(spark, folder, "conversations"))
+    return ms.to_legacy(first, order="conv_id", on_error="quarantine")
 
 
 @query(
