@@ -170,17 +170,38 @@ def parse_task_files(files: DataFrame) -> DataFrame:
     return resolved.select(
         "path",
         "task",
+        "include_path",
         F.coalesce("group_name", "base_group").alias("group_name"),
         F.coalesce("data_file", "base_file").alias("data_file"),
         F.coalesce("template", "base_template").alias("template"),
     )
 
 
+def _small_text(spark: SparkSession, path: str) -> str:
+    """One small file by way of the Hadoop file system, whatever its name starts with."""
+    jvm = spark._jvm
+    location = jvm.org.apache.hadoop.fs.Path(path)
+    stream = location.getFileSystem(spark._jsc.hadoopConfiguration()).open(location)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def read_mc_tasks(spark: SparkSession, folder: str) -> DataFrame:
-    found = spark.read.text(f"{folder.rstrip('/')}/*_{{task.yaml,yaml}}", wholetext=True)
-    return parse_task_files(
-        found.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    ).filter(F.col("data_file").isNotNull())
+    """Tasks of a folder, resolved against their templates.
+
+    A Spark scan passes over names that start with an underscore, which is how
+    templates are named. The few templates that tasks include are read one by one.
+    """
+    found = spark.read.text(f"{folder.rstrip('/')}/*.yaml", wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")
+    )
+    named = parse_task_files(found).filter(F.col("include_path").isNotNull())
+    wanted = [r["include_path"] for r in named.select("include_path").distinct().collect()]
+    templates = [(path, _small_text(spark, path)) for path in wanted]
+    every = found.unionByName(spark.createDataFrame(templates, found.schema)) if templates else found
+    return parse_task_files(every).filter(F.col("data_file").isNotNull())
 
 
 def read_mc_questions(spark: SparkSession, path: str) -> DataFrame:
