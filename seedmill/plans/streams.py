@@ -86,7 +86,7 @@ def status_counts_stream(spark, folder):
 
 @query(
     f"""WITH {CHANGES},
-gaps AS (SELECT uuid, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens
+gaps AS (SELECT uuid, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens
          FROM changes WINDOW w AS (PARTITION BY uuid ORDER BY ts, event_id)),
 numbered AS (SELECT uuid, ts, sum(opens) OVER (PARTITION BY uuid ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM gaps)
 SELECT uuid, epoch_us(min(ts)) AS session_start, epoch_us(max(ts)) + 21600000000 AS session_end, count(*) AS n

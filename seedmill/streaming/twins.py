@@ -119,7 +119,7 @@ def session_counts_table(events: DataFrame, gap_seconds: int = 3600, key: str =
         F.min(at).alias("_first"), F.max(at).alias("_last"), F.count(F.lit(1)).alias("_n")
     )
     by_key = Window.partitionBy(key).orderBy("_slot")
-    opens = F.when(F.col("_first") < F.lag("_last").over(by_key) + gap, 0).otherwise(1)
+    opens = F.when(F.col("_first") <= F.lag("_last").over(by_key) + gap, 0).otherwise(1)
     numbered = slots.withColumn("_opens", opens).withColumn(
         "_session", F.sum("_opens").over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
