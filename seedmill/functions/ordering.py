@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SINGLE_TASK_ROWS = 1_000_000
 ROWS_PER_BUCKET = 4_000_000
@@ -35,18 +36,28 @@ def _split_points(sort_key: DataFrame, rows: int, buckets: int) -> list:
     return [row["_sort"] for row in sample[step::step]][: buckets - 1]
 
 
-def _bucket(sort_key: Column, points: list, schema) -> Column:
-    """Number of split points not above the key, found in two steps of about sqrt(n) comparisons."""
+def _with_bucket(df: DataFrame, sort_key: Column, points: list, schema: T.StructType) -> DataFrame:
+    """Add ``_bucket``, the number of split points not above the key.
+
+    Found in two steps of about sqrt(n) comparisons: first the group of points,
+    then the place inside the group. The points are constants of the plan.
+    """
     if not points:
-        return F.lit(0)
+        return df.withColumn("_bucket", F.lit(0))
     width = max(1, math.isqrt(len(points)))
     literals = [_literal(p, schema) for p in points]
     groups = [literals[i : i + width] for i in range(0, len(literals), width)]
-    heads = F.array(*[group[0] for group in groups])
-    fine = F.array(*[F.array(*group) for group in groups])
-    coarse = F.size(F.filter(heads, lambda p: p <= sort_key))
-    inside = F.size(F.filter(F.element_at(fine, F.greatest(coarse, F.lit(1))), lambda p: p <= sort_key))
-    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * width + inside)
+    heads = F.array(*[group[0] for group in groups]).cast(T.ArrayType(schema))
+    inside = F.array(*[F.array(*group) for group in groups]).cast(T.ArrayType(T.ArrayType(schema)))
+    keyed = df.withColumn("_at", sort_key)
+    grouped = keyed.withColumn("_group", F.size(F.filter(heads, lambda p: p <= F.col("_at"))))
+    group = F.element_at(inside, F.greatest(F.col("_group"), F.lit(1)))
+    return grouped.withColumn(
+        "_bucket",
+        F.when(F.col("_group") == 0, F.lit(0)).otherwise(
+            (F.col("_group") - 1) * width + F.size(F.filter(group, lambda p: p <= F.col("_at")))
+        ),
+    ).drop("_at", "_group")
 
 
 def with_position(
@@ -100,7 +111,7 @@ def with_position(
     flat_points = [
         dict(zip(flat_schema.names, [*p["_key"], *p["_order"]], strict=True)) for p in points
     ]
-    staged = staged.withColumn("_bucket", _bucket(flat_key, flat_points, flat_schema))
+    staged = _with_bucket(staged, flat_key, flat_points, flat_schema)
 
     local = Window.partitionBy("_key", "_bucket").orderBy("_order")
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
