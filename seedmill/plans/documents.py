@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from seedmill.functions import sql
 from seedmill.functions.slots import HashingEmbedder
 from seedmill.functions.storage import scratch_path
 from seedmill.operators import documents as dc
@@ -43,6 +44,20 @@ def chunk_by_100_words(spark, folder):
     )
 
 
+@query(chunks_sql(100))
+def chunk_in_sql(spark, folder):
+    sql.register(spark)
+    docs = text_table(spark, folder, "documents").select("doc_id", "text")
+    return spark.sql(
+        """SELECT doc_id, CAST(chunk AS LONG) AS chunk, CAST(size(words_of(content)) AS LONG) AS n_words,
+                  md5(content) AS content
+           FROM (SELECT doc_id, chunks_of(text, 100) AS parts FROM {docs})
+           LATERAL VIEW OUTER posexplode(parts) AS chunk, content
+           WHERE chunk IS NOT NULL""",
+        docs=docs,
+    )
+
+
 def _html_sql() -> str:
     text = "html"
     for tag in dc.FURNITURE_TAGS:
@@ -124,7 +139,7 @@ def parse_converted_docs(spark, folder):
     rows = converted(spark, folder)
     content = F.to_json(
         F.struct(
-            F.lit("DoclingDocument").alias("schema_name"),
+            F.lit("Document").alias("schema_name"),
             F.struct(number.alias("binary_hash"), name.alias("filename")).alias("origin"),
             F.col("items").alias("texts"),
         )

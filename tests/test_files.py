@@ -124,7 +124,7 @@ def test_questions(spark, tmp_path):
 
 def test_converted_documents(spark, tmp_path):
     newer = {
-        "schema_name": "DoclingDocument", "name": "new",
+        "schema_name": "Document", "name": "new",
         "origin": {"mimetype": "application/pdf", "binary_hash": 13905043852393090531, "filename": "new.pdf"},
         "texts": [{"label": "section_header", "text": "Head"}, {"label": "text", "text": "Body"}],
     }
@@ -173,15 +173,15 @@ def test_sessions(spark, tmp_path):
 
 
 def test_choice_tasks(spark, tmp_path):
-    (tmp_path / "_default_mmlu_pr_template_yaml").write_text(
-        'task: mmlu_pr\ndoc_to_text: "{{question}}"\ngroup: mmlu_pr\n'
+    (tmp_path / "_default_choice_template_yaml").write_text(
+        'task: choice\ndoc_to_text: "{{question}}"\ngroup: choice\n'
     )
     data = write_lines(tmp_path / "t.jsonl", [{"question": "q", "choices": ["a", "b"], "answer": "A"}])
-    (tmp_path / "tonsils_task.yaml").write_text(
-        f"dataset_kwargs:\n  data_files:\n    test: {data}\ninclude: _default_mmlu_pr_template_yaml\ntask: tonsils\n"
+    (tmp_path / "rivers_task.yaml").write_text(
+        f"dataset_kwargs:\n  data_files:\n    test: {data}\ninclude: _default_choice_template_yaml\ntask: rivers\n"
     )
     task = records.read_mc_tasks(spark, str(tmp_path)).collect()
-    assert [(t["task"], t["group_name"], t["template"]) for t in task] == [("tonsils", "mmlu_pr", "{{question}}")]
+    assert [(t["task"], t["group_name"], t["template"]) for t in task] == [("rivers", "choice", "{{question}}")]
     assert records.read_mc_questions(spark, task[0]["data_file"]).first()["choices"] == ["a", "b"]
 
 
