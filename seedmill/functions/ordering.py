@@ -2,10 +2,15 @@
 
 Spark has no global row index. A window without partitions pulls all rows into
 one task, and a window over a key does the same to the hottest key. Here the
-order key itself is cut into buckets at sampled split points, every bucket is
-ranked on its own, and the bucket totals (one small row each) supply offsets.
-The split points only balance the work: every row is kept and positions are exact.
-The order columns must identify a row, as they do for any stable sort.
+sort key itself, keys first and then the order, is cut into buckets at sampled
+split points, and every bucket is ranked on its own. A split point cuts at most
+one key, so a bucket has at most one key that began earlier; what came before
+it is one number per bucket, a constant of the final plan.
+
+The split points only balance the work: every row is kept and positions are
+exact. The order columns must identify a row, as they do for any stable sort.
+The input is read once for its size, once for the sample, once for the bucket
+totals and once for the result: hand in a stored table when it is costly.
 """
 
 import math
@@ -15,32 +20,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seedmill.functions.sizing import task_slots
+
 SINGLE_TASK_ROWS = 1_000_000
 ROWS_PER_BUCKET = 4_000_000
+BUCKETS_PER_SLOT = 4
 MAX_BUCKETS = 4096
 SAMPLES_PER_BUCKET = 16
 
 
-def _literal(row, schema) -> Column:
-    return F.struct(
-        *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in schema.fields]
-    )
+def _literal(row, schema: T.StructType) -> Column:
+    return F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def _split_points(sort_key: DataFrame, rows: int, buckets: int) -> list:
+def _split_points(sort_keys: DataFrame, rows: int, buckets: int) -> list:
     """At most ``buckets - 1`` sort keys from a bounded random sample, in order."""
-    wanted = buckets * SAMPLES_PER_BUCKET
-    fraction = min(1.0, wanted / rows)
-    sample = sort_key.sample(False, fraction, seed=17).orderBy("_sort").collect()
+    fraction = min(1.0, buckets * SAMPLES_PER_BUCKET / rows)
+    sample = sort_keys.sample(False, fraction, seed=17).orderBy(*sort_keys.columns).collect()
     step = max(1, len(sample) // buckets)
-    return [row["_sort"] for row in sample[step::step]][: buckets - 1]
+    return sample[step::step][: buckets - 1]
 
 
-def _with_bucket(df: DataFrame, sort_key: Column, points: list, schema: T.StructType) -> DataFrame:
-    """Add ``_bucket``, the number of split points not above the key.
+def _with_bucket(df: DataFrame, names: Sequence[str], points: list, schema: T.StructType) -> DataFrame:
+    """Add ``_bucket``, the number of split points not above the row's sort key.
 
     Found in two steps of about sqrt(n) comparisons: first the group of points,
-    then the place inside the group. The points are constants of the plan.
+    then the place inside the group.
     """
     if not points:
         return df.withColumn("_bucket", F.lit(0))
@@ -49,7 +54,7 @@ def _with_bucket(df: DataFrame, sort_key: Column, points: list, schema: T.Struct
     groups = [literals[i : i + width] for i in range(0, len(literals), width)]
     heads = F.array(*[group[0] for group in groups]).cast(T.ArrayType(schema))
     inside = F.array(*[F.array(*group) for group in groups]).cast(T.ArrayType(T.ArrayType(schema)))
-    keyed = df.withColumn("_at", sort_key)
+    keyed = df.withColumn("_at", F.struct(*names))
     grouped = keyed.withColumn("_group", F.size(F.filter(heads, lambda p: p <= F.col("_at"))))
     group = F.element_at(inside, F.greatest(F.col("_group"), F.lit(1)))
     return grouped.withColumn(
@@ -60,6 +65,22 @@ def _with_bucket(df: DataFrame, sort_key: Column, points: list, schema: T.Struct
     ).drop("_at", "_group")
 
 
+def _is_key_of(point: Column, key: Column, keys: list[str]) -> Column:
+    """Whether the row's key is the key of a split point (of every one when there are no keys)."""
+    return F.coalesce(key == point, F.lit(False)) if keys else point.isNotNull()
+
+
+def _before(points: list, totals: dict, keys: list[str], name: str) -> list:
+    """Per bucket, how much of its first key lies in earlier buckets."""
+    before = [0]
+    for b in range(1, len(points) + 1):
+        here = totals.get(b - 1)
+        ended = (here[name] if here else None) or 0
+        whole = b >= 2 and all(points[b - 1][k] == points[b - 2][k] for k in keys)
+        before.append(ended + (before[-1] if whole else 0))
+    return before
+
+
 def with_position(
     df: DataFrame,
     order: Sequence[Column],
@@ -78,73 +99,61 @@ def with_position(
     """
     running = dict(running or {})
     rows = df.count() if rows is None else rows
+    key_names = [f"_k{i}" for i in range(len(keys))]
+    order_names = [f"_o{i}" for i in range(len(order))]
     staged = df.select(
         "*",
-        F.struct(F.lit(0).alias("_all"), *[F.col(k) for k in keys]).alias("_key"),
-        F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("_order"),
+        *[F.col(k).alias(n) for k, n in zip(keys, key_names, strict=True)],
+        *[c.alias(n) for c, n in zip(order, order_names, strict=True)],
         *[c.alias(f"_value_{name}") for name, c in running.items()],
     )
-    extra = ["_key", "_order", *[f"_value_{name}" for name in running]]
-
-    def totals_over(window):
-        return [F.sum(f"_value_{n}").over(window).alias(n) for n in running]
 
-    if rows <= single_task_rows:
-        window = Window.partitionBy("_key").orderBy("_order")
+    def ranked(source: DataFrame, partition: list[str], first, offsets) -> DataFrame:
+        window = Window.partitionBy(*partition).orderBy(*order_names)
         upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return staged.select(
-            *df.columns,
-            (F.row_number().over(window) - 1).cast("long").alias(position),
-            *totals_over(upto),
-        )
+        place = (F.row_number().over(window) - 1).cast("long") + first
+        sums = [
+            (F.coalesce(F.sum(f"_value_{n}").over(upto), F.lit(0)) + offsets[n]).alias(n) for n in running
+        ]
+        return source.select(*df.columns, place.alias(position), *sums)
 
-    buckets = min(MAX_BUCKETS, max(2, math.ceil(rows / rows_per_bucket)))
-    sort_key = F.struct("_key", "_order")
-    keys_only = staged.select(sort_key.alias("_sort"))
-    schema = keys_only.schema["_sort"].dataType
-    points = _split_points(keys_only, rows, buckets)
-    flat_key = F.struct(
-        *[F.col(f"_key.{n}").alias(f"k{i}") for i, n in enumerate(schema["_key"].dataType.names)],
-        *[F.col(f"_order.{n}").alias(n) for n in schema["_order"].dataType.names],
-    )
-    flat_schema = staged.select(flat_key.alias("flat")).schema["flat"].dataType
-    flat_points = [
-        dict(zip(flat_schema.names, [*p["_key"], *p["_order"]], strict=True)) for p in points
-    ]
-    staged = _with_bucket(staged, flat_key, flat_points, flat_schema)
-
-    local = Window.partitionBy("_key", "_bucket").orderBy("_order")
-    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = staged.select(
-        "*",
-        (F.row_number().over(local) - 1).cast("long").alias("_local"),
-        *[F.sum(f"_value_{n}").over(upto).alias(f"_local_{n}") for n in running],
-    )
-    totals = staged.groupBy("_key", "_bucket").agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.sum(f"_value_{n}").alias(f"_sum_{n}") for n in running],
-    )
-    earlier = (
-        Window.partitionBy("_key")
-        .orderBy("_bucket")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    if rows <= single_task_rows:
+        return ranked(staged, key_names, F.lit(0), {n: F.lit(0) for n in running})
+
+    sort_names = [*key_names, *order_names]
+    sort_keys = staged.select(*sort_names)
+    buckets = max(BUCKETS_PER_SLOT * task_slots(df.sparkSession), math.ceil(rows / rows_per_bucket))
+    points = _split_points(sort_keys, rows, min(MAX_BUCKETS, buckets))
+    bucketed = _with_bucket(staged, sort_names, points, sort_keys.schema)
+
+    key_schema = T.StructType([f for f in sort_keys.schema.fields if f.name in key_names])
+    if key_names and points:
+        point_keys = F.array(*[_literal(p, key_schema) for p in points]).cast(T.ArrayType(key_schema))
+    else:
+        point_keys = F.array_repeat(F.lit(0), len(points))
+    key = F.struct(*key_names) if key_names else F.lit(0)
+    bucket = F.col("_bucket")
+
+    ends = _is_key_of(F.try_element_at(point_keys, bucket + 1), key, key_names)
+    totals = bucketed.withColumn("_ends", ends).groupBy("_bucket").agg(
+        F.count_if("_ends").alias("_rows"),
+        *[F.sum(F.when(F.col("_ends"), F.col(f"_value_{n}"))).alias(n) for n in running],
     )
-    offsets = totals.select(
-        "_key",
-        "_bucket",
-        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
-        *[
-            F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}")
-            for n in running
-        ],
+    by_bucket = {r["_bucket"]: r for r in totals.collect()}
+
+    starts = (bucket > 0) & _is_key_of(
+        F.try_element_at(point_keys, F.greatest(bucket, F.lit(1))), key, key_names
     )
-    return ranked.join(offsets, ["_key", "_bucket"], "left").select(
-        *df.columns,
-        (F.col("_local") + F.col("_before")).alias(position),
-        *[
-            (F.coalesce(F.col(f"_local_{n}"), F.lit(0)) + F.col(f"_before_{n}")).alias(n)
-            for n in running
-        ],
+
+    def offset(name: str, kind: T.DataType) -> Column:
+        amounts = F.array(*[F.lit(v).cast(kind) for v in _before(points, by_bucket, key_names, name)])
+        return F.when(F.col("_starts"), F.element_at(amounts, bucket + 1)).otherwise(F.lit(0))
+
+    return ranked(
+        bucketed.withColumn("_starts", starts),
+        ["_bucket", *key_names],
+        offset("_rows", T.LongType()),
+        {n: offset(n, totals.schema[n].dataType) for n in running},
     )
 
 
@@ -174,9 +183,7 @@ def cut_at(
             single_task_rows=single_task_rows,
             rows_per_bucket=rows_per_bucket,
         )
-        found = {
-            r["position"]: r for r in ranked.filter(F.col("position").isin(wanted)).collect()
-        }
+        found = {r["position"]: r for r in ranked.filter(F.col("position").isin(wanted)).collect()}
     here = F.struct(*[c.alias(n) for c, n in zip(order, names, strict=True)])
     conditions = []
     for p in positions:
