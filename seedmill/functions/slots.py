@@ -25,10 +25,13 @@ Embedder = Callable[[list[str]], np.ndarray]
 
 def template_generator(requests: pd.DataFrame) -> pd.DataFrame:
     """Stand-in generator: restates the seed pair with the number of the request."""
-    number = requests["repeat"].astype(str)
-    return requests[["request_id"]].assign(
-        question="[" + number + "] " + requests["question"],
-        answer="[" + number + "] " + requests["answer"],
+    numbered = [f"[{n}] " for n in requests["repeat"]]
+    return pd.DataFrame(
+        {
+            "request_id": requests["request_id"],
+            "question": [n + q for n, q in zip(numbered, requests["question"], strict=True)],
+            "answer": [n + a for n, a in zip(numbered, requests["answer"], strict=True)],
+        }
     )
 
 

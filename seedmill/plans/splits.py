@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from seedmill.functions.columns import words
-from seedmill.functions.storage import scratch_path
+from seedmill.functions.storage import materialize, scratch_path
 from seedmill.operators import splits as sp
 from seedmill.plans.registry import query
 from seedmill.plans.tables import table, text_table, words_sql
@@ -145,7 +145,8 @@ packed AS (
 
 
 def packed(spark, folder):
-    short = sp.drop_long(lengths(spark, folder), F.col("n_words"))
+    """Packing reads the lengths several times, so the texts are counted once and the lengths stored."""
+    short = sp.drop_long(materialize(lengths(spark, folder), "lengths"), F.col("n_words"))
     return sp.pack_sequences(short, "n_words", 20_000, by("doc_id"))
 
 
