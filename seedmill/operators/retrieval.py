@@ -124,7 +124,8 @@ def retrieve_topk(
     else:
         candidates = _candidates_by_blocks(q, n, k, metric, schema, block_queries, block_vectors)
     ranking = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    return candidates.withColumn("rank", F.row_number().over(ranking)).filter(F.col("rank") <= k)
+    best = candidates.withColumn("rank", F.row_number().over(ranking)).filter(F.col("rank") <= k)
+    return best.withColumn("rank", F.col("rank").cast("long"))
 
 
 def augmented_context(hits: DataFrame, index: DataFrame, content: str = "content") -> DataFrame:

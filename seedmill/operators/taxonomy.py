@@ -5,9 +5,12 @@ from pyspark.sql import functions as F
 
 from seedmill import fixed
 from seedmill.functions.columns import base_name, exploded, file_suffix, glob_to_regex, is_seed_file
+from seedmill.functions.ordering import with_position
 from seedmill.functions.sizing import lookup_join
 from seedmill.functions.storage import materialize
 
+PATTERNS_PER_ROW = 256
+
 
 def changed_files(untracked: DataFrame, modified: DataFrame) -> DataFrame:
     """New and modified paths, each once."""
@@ -150,18 +153,30 @@ def require_valid(validated: DataFrame) -> DataFrame:
 def match_patterns(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """Files matched by each glob pattern of the same repository.
 
-    The distinct patterns of a repository become one row, so this is a join on
-    the repository with a regular-expression test per row, never files times patterns.
+    A pattern without wildcards is a path, and an equality join finds it. The
+    others of a repository are packed into arrays of bounded length, so a file
+    meets each array once and tests its expressions in place.
     """
-    per_repo = patterns.groupBy("repo").agg(
-        F.collect_set(F.struct("pattern", glob_to_regex(F.col("pattern")).alias("regex"))).alias("globs")
+    every = materialize(patterns.select("repo", "pattern").distinct(), "patterns")
+    wild = F.rlike(F.col("pattern"), F.lit(r"[*?\[]"))
+    places = files.select("repo", "path")
+
+    named = places.join(
+        every.filter(~wild).withColumn("path", F.col("pattern")), ["repo", "path"]
+    ).select("repo", "path", "pattern")
+
+    placed = with_position(every.filter(wild), [F.col("pattern")], keys=["repo"])
+    packed = placed.groupBy("repo", F.floor(F.col("position") / PATTERNS_PER_ROW).alias("_part")).agg(
+        F.collect_list(F.struct("pattern", glob_to_regex(F.col("pattern")).alias("regex"))).alias("globs")
+    )
+    joined = lookup_join(
+        places, materialize(packed, "globs"), ["repo"], "inner", salt_by=["repo", "path"]
     )
-    per_repo = materialize(per_repo, "patterns")
-    joined = lookup_join(files, per_repo, ["repo"], "inner", salt_by=["repo", "path"])
     hits = F.filter("globs", lambda g: F.rlike(F.col("path"), g["regex"]))
-    return exploded(joined, ["repo", "path"], hits, "_n", "glob").select(
+    globbed = exploded(joined, ["repo", "path"], hits, "_n", "glob").select(
         "repo", "path", F.col("glob.pattern").alias("pattern")
     )
+    return named.unionByName(globbed)
 
 
 def validate_documents(parsed: DataFrame, files: DataFrame) -> DataFrame:

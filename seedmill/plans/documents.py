@@ -127,7 +127,7 @@ def write_converted(spark, folder):
 
 @query(
     CONVERTED
-    + f"""SELECT printf('page-%d.html', page_id) AS filename, 10000000000000000000 + page_id AS binary_hash,
+    + f"""SELECT printf('page-%d.html', page_id) AS filename, (10000000000000000000 + page_id)::VARCHAR AS binary_hash,
   {SHOWN} AS shown FROM converted"""
 )
 def parse_converted_docs(spark, folder):
@@ -146,7 +146,7 @@ def parse_converted_docs(spark, folder):
     )
     docs = rows.select(name.alias("file_path"), content.alias("content"))
     return records.parse_converted_docs(docs).select(
-        "origin.filename", "origin.binary_hash", _shown(F.col("items")).alias("shown")
+        "origin.filename", F.col("origin.binary_hash").cast("string").alias("binary_hash"), _shown(F.col("items")).alias("shown")
     )
 
 
