@@ -99,9 +99,8 @@ def conversion_report(df: DataFrame) -> DataFrame:
     )
 
 
-def fail_on_conversion_errors(df: DataFrame) -> DataFrame:
+def fail_on_conversion_errors(report: DataFrame) -> DataFrame:
     """Raise at the end of a job in which any document failed; the report comes back otherwise."""
-    report = conversion_report(df)
     row = report.first()
     if row["failure"]:
         raise RuntimeError(f"failed converting {row['failure']} of {sum(row)} documents")

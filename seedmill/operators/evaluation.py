@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seedmill import fixed
 from seedmill.functions.columns import fixed_text, round2
 from seedmill.functions.ordering import SINGLE_TASK_ROWS, with_position
+from seedmill.functions.storage import materialize
 
 
 def avg_score_by_qna(pairs: DataFrame) -> DataFrame:
@@ -56,7 +57,11 @@ def rank_improvements(
     single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """1-based rank inside each class: improvements from the largest rounded delta, regressions from
-    the smallest, the other classes in input order; ``order`` is that order and settles ties."""
+    the smallest, the other classes in input order; ``order`` is that order and settles ties.
+
+    The comparison is stored first: ranking reads its input more than once.
+    """
+    compared = materialize(compared, "compared")
     signed = (
         F.when(F.col("change") == "improvement", -F.col("delta"))
         .when(F.col("change") == "regression", F.col("delta"))
@@ -124,7 +129,15 @@ def results_summary(
     score: str = "scores",
     single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
-    """Second results table ``(metric, value)``: the three totals, then one row per question."""
+    """Second results table ``(metric, value)``: the three totals, then one row per question.
+
+    The scores are stored first, so that a judge behind them is asked once.
+    """
+    order = list(order) or [F.col("user_input")]
+    names = [f"_order{i}" for i in range(len(order))]
+    scored = materialize(
+        scored.select(score, *[c.alias(n) for c, n in zip(order, names, strict=True)]), "scored"
+    )
     summary = dk_summary(scored, score).select(
         F.explode(
             F.map_from_arrays(
@@ -137,8 +150,7 @@ def results_summary(
             )
         ).alias("metric", "value")
     )
-    order = list(order) or [F.col("user_input")]
-    numbered = question_number(scored, order, single_task_rows)
+    numbered = question_number(scored, [F.col(n) for n in names], single_task_rows)
     each = numbered.select(
         F.concat(F.lit("Q"), F.col("number").cast("string")).alias("metric"),
         F.col(score).cast("double").alias("value"),

@@ -38,8 +38,9 @@ def test_status_and_report(spark):
     assert tuple(dc.conversion_report(df).first()) == (1, 1, 4)
     assert dc.successful_conversions(df).count() == 1
     with pytest.raises(RuntimeError, match="failed converting 4 of 6"):
-        dc.fail_on_conversion_errors(df)
-    assert tuple(dc.fail_on_conversion_errors(df.limit(2)).first()) == (1, 1, 0)
+        dc.fail_on_conversion_errors(dc.conversion_report(df))
+    clean = dc.conversion_report(df.filter("page_id < 2"))
+    assert tuple(dc.fail_on_conversion_errors(clean).first()) == (1, 1, 0)
 
 
 def test_status_filter_converts_once(spark):

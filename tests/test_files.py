@@ -7,6 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from seedmill.functions.slots import judge_column
 from seedmill.functions.storage import materialize, shared_folder
 from seedmill.operators.catalog import dataset_listing, datasets_by_run
 from seedmill.sources import files as fl
@@ -200,6 +201,27 @@ def test_results(spark, tmp_path):
         sinks.write_results(df, ["pdf"], str(tmp_path), "model")
 
 
+def test_results_ask_the_judge_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def judge(asked, expected, given):
+        calls.add(len(asked))
+        return asked.str.len().astype("int32")
+
+    df = spark.createDataFrame([("q",), ("qq",)], "user_input string").coalesce(1)
+    scores = judge_column(judge, F.col("user_input"), F.col("user_input"), F.col("user_input"))
+    sinks.write_results(df.withColumn("scores", scores), ["jsonl", "csv", "xlsx"], str(tmp_path), "m")
+    assert calls.value == 2
+
+
+def test_converted_output_and_report(spark, tmp_path):
+    data = [("a", "success"), ("b", "partial"), ("c", "failure")]
+    df = spark.createDataFrame(data, "doc_stem string, status string")
+    assert tuple(sinks.write_converted(df, str(tmp_path / "out")).first()) == (1, 1, 1)
+    sinks.write_converted(df.filter("doc_stem = 'a'"), str(tmp_path / "out"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "out")).collect()] == [("a",)]
+
+
 def test_runs_and_splits(spark, tmp_path):
     df = spark.range(10).select("id", F.when(F.col("id") < 7, "train").otherwise("test").alias("split"))
     target = sinks.write_run(df, str(tmp_path / "runs"), datetime(2025, 1, 2, 3, 4, 5))
