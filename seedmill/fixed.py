@@ -54,6 +54,12 @@ OCI_URL_PATTERN = (
 )
 OWNER_MODEL_PATTERN = r"^[\w.-]+\/[\w.-]+$"
 
+# The characters that count as blank, in code point order.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Timestamp layouts of listings and of run folders.
 LISTING_TIME = "yyyy-MM-dd HH:mm:ss"
 RUN_FOLDER_TIME = "yyyy-MM-dd_HHmmss"

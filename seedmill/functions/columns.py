@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from seedmill import fixed
 
-_BLANKS = " \t\r\n\f"
+_UNICODE = "(?U)"  # letters and digits of all scripts in the name patterns
 
 
 def exploded(df: DataFrame, keep: list, array: Column, position: str, name: str) -> DataFrame:
@@ -19,12 +19,12 @@ def exploded(df: DataFrame, keep: list, array: Column, position: str, name: str)
 
 
 def strip(text: Column) -> Column:
-    return F.trim(text, F.lit(_BLANKS))
+    return F.trim(text, F.lit(fixed.WHITESPACE))
 
 
 def words(text: Column) -> Column:
     """Items between blanks; an empty or blank text has none."""
-    return F.array_remove(F.split(strip(text), f"[{_BLANKS}]+"), "")
+    return F.array_remove(F.split(strip(text), f"[{fixed.WHITESPACE}]+"), "")
 
 
 def word_count(text: Column) -> Column:
@@ -52,7 +52,7 @@ def human_size(size: Column, places: int = 2) -> Column:
 
 
 def model_name_from_file(name: Column) -> Column:
-    found = F.regexp_extract(name, fixed.DATASET_NAME_PATTERN, 2)
+    found = F.regexp_extract(name, _UNICODE + fixed.DATASET_NAME_PATTERN, 2)
     return F.when(found == "", F.lit("General")).otherwise(found)
 
 
@@ -115,7 +115,7 @@ def is_oci_url(location: Column) -> Column:
 
 
 def is_owner_model(location: Column) -> Column:
-    return location.rlike(fixed.OWNER_MODEL_PATTERN)
+    return location.rlike(_UNICODE + fixed.OWNER_MODEL_PATTERN)
 
 
 def classify_repo(location: Column) -> Column:

@@ -6,7 +6,6 @@ The defaults here are deterministic and need no model.
 """
 
 import hashlib
-import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -73,9 +72,6 @@ def _schema(schema: str | T.StructType) -> T.StructType:
     return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
 
-_TOKEN = re.compile(r"[^ \t\r\n\f]+")
-
-
 @lru_cache(maxsize=100_000)
 def _slot_of(token: str, dim: int) -> int:
     return int(hashlib.md5(token.encode()).hexdigest()[:6], 16) % dim
@@ -90,7 +86,7 @@ class HashingEmbedder:
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
         for i, text in enumerate(texts):
-            slots = [_slot_of(token, self.dim) for token in _TOKEN.findall(text)]
+            slots = [_slot_of(token, self.dim) for token in text.split()]
             out[i] = np.bincount(slots, minlength=self.dim) if slots else 0
         return out
 

@@ -7,7 +7,9 @@ text itself.
 
 from pyspark.sql import SparkSession
 
-_BLANKS = r" \t\r\n\u000C"
+from seedmill import fixed
+
+_BLANKS = "".join(f"\\u{ord(c):04X}" for c in fixed.WHITESPACE)
 _WORDS = f"array_remove(split(trim(BOTH '{_BLANKS}' FROM body), '[{_BLANKS}]+'), '')"
 
 DEFINITIONS = (

@@ -4,11 +4,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seedmill import fixed
 from seedmill.functions.columns import word_count, words
 from seedmill.functions.sizing import lookup_join, task_slots
-from seedmill.functions.storage import materialize
+from seedmill.functions.storage import materialize, scratch_path
 from seedmill.functions.slots import GENERATED, Generator, run_generator, template_generator
 from seedmill.operators.messages import messages_of
 
@@ -89,8 +90,13 @@ def generate_resumable(
     spark = requests.sparkSession
     done = spark.read.schema(schema).parquet(folder) if _exists(spark, folder) else None
     todo = requests if done is None else resume_requests(requests, done)
-    for number in range(slices):
-        part = todo.filter(F.pmod(F.xxhash64("request_id"), F.lit(slices)) == number)
+    # Stored by slice, so that each slice reads its own requests only.
+    queue = scratch_path(spark, "requests")
+    number = F.pmod(F.xxhash64("request_id"), F.lit(slices)).cast("int")
+    todo.withColumn("_slice", number).write.partitionBy("_slice").parquet(queue)
+    queued = T.StructType([*todo.schema.fields, T.StructField("_slice", T.IntegerType())])
+    for n in range(slices):
+        part = spark.read.schema(queued).parquet(queue).filter(F.col("_slice") == n).drop("_slice")
         generate(part, generator, schema, batch_size).write.mode("append").parquet(folder)
     return spark.read.schema(schema).parquet(folder)
 

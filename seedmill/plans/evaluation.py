@@ -1,13 +1,17 @@
 """Queries on scores: comparison with a base, reports, answers, checkpoints."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from seedmill.fixed import RUBRIC_MAX
 from seedmill.functions.columns import round2
-from seedmill.functions.slots import overlap_score
+from seedmill.functions.slots import judge_column, overlap_score
+from seedmill.functions.storage import scratch_path
 from seedmill.operators import evaluation as ev
 from seedmill.operators.splits import take_first_n
 from seedmill.plans.registry import query
 from seedmill.plans.tables import JUDGED, PAIRS, judged_pairs, qna_pairs, table, words_sql
+from seedmill.sources import sinks
 
 COMPARED = f"""WITH {JUDGED},
 candidate AS (SELECT qna_file, avg(score) AS score FROM judged WHERE side = 1 GROUP BY qna_file),
@@ -97,6 +101,33 @@ def judge_overlap(spark, folder):
     return scored(spark, folder)
 
 
+def overlap_judge(questions, references, responses):
+    """The overlap judge once more as a user would write one: three series in, scores out."""
+    shares = [
+        len(set(e.split()) & set(g.split())) / max(len(set(e.split())), 1)
+        for e, g in zip(references.str.lower(), responses.str.lower(), strict=True)
+    ]
+    return pd.Series([1 + int(share * (RUBRIC_MAX - 1)) for share in shares], dtype="int32")
+
+
+@query(SCORED + "SELECT conv_id, turn, scores FROM scored")
+def judge_by_function(spark, folder):
+    text = F.col("question")
+    return qna_pairs(spark, folder).select(
+        "conv_id", "turn", judge_column(overlap_judge, text, text, F.col("answer")).alias("scores")
+    )
+
+
+@query(SCORED + "SELECT conv_id, turn, scores, 'candidate' AS model_name, f.format FROM scored CROSS JOIN (VALUES ('csv'), ('jsonl')) f(format)")
+def write_results(spark, folder):
+    """Scores written in two formats and read back."""
+    written = sinks.write_results(scored(spark, folder), ["jsonl", "csv"], scratch_path(spark, "results"), "candidate")
+    columns = "conv_id long, turn long, scores int, model_name string, timestamp string"
+    stored = spark.read.schema(columns).json(written[0]).withColumn("format", F.lit("jsonl"))
+    table_form = spark.read.schema(columns).csv(written[1], header=True).withColumn("format", F.lit("csv"))
+    return stored.unionByName(table_form).drop("timestamp")
+
+
 @query(
     SCORED
     + """SELECT count(*) AS questions, sum(scores)::BIGINT AS total_score, count(*) * 5 AS max_score,

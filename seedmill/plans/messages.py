@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from seedmill import fixed
 from seedmill.functions.sizing import lookup_join
-from seedmill.functions.storage import scratch_path
+from seedmill.functions.storage import materialize, scratch_path
 from seedmill.operators import messages as ms
 from seedmill.operators import sessions as ss
 from seedmill.operators.retrieval import augmented_context, retrieve_topk
@@ -344,5 +344,6 @@ def augment_sessions(spark, folder):
     topics = turns.filter("role = 'user'").select(
         "conv_id", "turn", ((F.col("conv_id") + F.col("turn")) % 10).cast("int").alias("query_id")
     )
-    context = lookup_join(topics, topic_context(spark, folder), ["query_id"], "inner").drop("query_id")
+    by_topic = materialize(topic_context(spark, folder), "context")
+    context = lookup_join(topics, by_topic, ["query_id"], "inner").drop("query_id")
     return ss.augment_sessions(turns, context)

@@ -176,7 +176,7 @@ def test_runtime_text(spark, seconds, text):
 
 
 @pytest.mark.parametrize(
-    "text,count", [("", 0), ("  \n\t ", 0), ("a", 1), (" a  b\tc\nd ", 4)]
+    "text,count", [("", 0), ("  \n\t ", 0), ("a", 1), (" a  b\tc\nd ", 4), ("a\u00a0b\u3000c\x0b", 3)]
 )
 def test_words(spark, text, count):
     assert spark.range(1).select(c.word_count(F.lit(text))).first()[0] == count
