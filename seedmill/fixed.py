@@ -60,6 +60,9 @@ WHITESPACE = (
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
+# The same characters as a pattern: a property class and four controls, which matches faster than a list.
+BLANKS_PATTERN = r"(?U)[\s\x1c-\x1f]+"
+
 # Timestamp layouts of listings and of run folders.
 LISTING_TIME = "yyyy-MM-dd HH:mm:ss"
 RUN_FOLDER_TIME = "yyyy-MM-dd_HHmmss"

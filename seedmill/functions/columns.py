@@ -24,7 +24,7 @@ def strip(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Items between blanks; an empty or blank text has none."""
-    return F.array_remove(F.split(strip(text), f"[{fixed.WHITESPACE}]+"), "")
+    return F.array_remove(F.split(strip(text), fixed.BLANKS_PATTERN), "")
 
 
 def word_count(text: Column) -> Column:

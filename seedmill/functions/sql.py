@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from seedmill import fixed
 
 _BLANKS = "".join(f"\\u{ord(c):04X}" for c in fixed.WHITESPACE)
-_WORDS = f"array_remove(split(trim(BOTH '{_BLANKS}' FROM body), '[{_BLANKS}]+'), '')"
+_WORDS = f"array_remove(split(trim(BOTH '{_BLANKS}' FROM body), r'{fixed.BLANKS_PATTERN}'), '')"
 
 DEFINITIONS = (
     f"""CREATE OR REPLACE TEMPORARY FUNCTION words_of(body STRING)

@@ -110,7 +110,7 @@ def fail_on_conversion_errors(report: DataFrame) -> DataFrame:
 def clean_text(text: Column) -> Column:
     """One blank between words, no empty lines."""
     lines = F.transform(
-        F.split(text, "\n"), lambda line: strip(F.regexp_replace(line, f"[{fixed.WHITESPACE}]+", " "))
+        F.split(text, "\n"), lambda line: strip(F.regexp_replace(line, fixed.BLANKS_PATTERN, " "))
     )
     return F.array_join(F.filter(lines, lambda line: line != ""), "\n")
 
