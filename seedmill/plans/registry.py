@@ -1,9 +1,12 @@
 """Named queries over the given tables, each with the SQL that states its result."""
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seedmill.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -15,7 +18,13 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
         key = name or fn.__name__
         if key in QUERIES:
             raise ValueError(f"query {key} exists")
-        QUERIES[key] = fn
+
+        @wraps(fn)
+        def shipped(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, folder)
+
+        QUERIES[key] = shipped
         if sql is not None:
             SQL[key] = sql.strip()
         return fn

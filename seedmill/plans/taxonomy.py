@@ -198,7 +198,7 @@ def explode_seeds(spark, folder):
 
 # Paths with good names, near misses and other folders, from the document ids.
 PATHS = """paths AS (
-  SELECT doc_id, text, ['knowledge', 'compositional_skills', 'docs'][doc_id % 3 + 1] || '/' || source || '/' || doc_id || '/'
+  SELECT doc_id, text, lang, ['knowledge', 'compositional_skills', 'docs'][doc_id % 3 + 1] || '/' || source || '/' || doc_id || '/'
          || ['qna.yaml', 'qna.yml', 'QNA.yaml', 'attribution.txt', 'qna.yaml'][doc_id % 5 + 1] AS path FROM documents),
 seed_paths AS (SELECT * FROM paths WHERE doc_id % 3 < 2 AND path LIKE '%/qna.yaml')"""
 
@@ -212,6 +212,7 @@ def paths(spark, folder):
     return text_table(spark, folder, "documents").select(
         "doc_id",
         "text",
+        "lang",
         F.concat_ws(
             "/",
             pick(["knowledge", "compositional_skills", "docs"], 3),
@@ -271,10 +272,10 @@ def taxonomy_diff_from_empty(spark, folder):
     return tx.taxonomy_diff(snapshots(spark, folder)[1])
 
 
-@query(DIFF + "SELECT path FROM diff UNION SELECT path FROM seed_paths WHERE doc_id % 2 = 0")
+@query(DIFF + "SELECT path FROM diff UNION SELECT path FROM seed_paths WHERE lang <> 'en'")
 def changed_files(spark, folder):
     base, head = snapshots(spark, folder)
-    untracked = paths(spark, folder).filter((F.col("doc_id") % 2 == 0) & is_seed_file(F.col("path")))
+    untracked = paths(spark, folder).filter((F.col("lang") != "en") & is_seed_file(F.col("path")))
     return tx.changed_files(untracked, tx.taxonomy_diff(head, base))
 
 

@@ -1,6 +1,9 @@
-"""Session settings for local work; a cluster brings its own session."""
+"""Session settings for local work, and the package for Python workers."""
 
 import os
+import shutil
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -18,3 +21,15 @@ def local_session(cpus: int | str = 8, name: str = "seedmill") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, as ``--py-files`` would at submission. Once per application."""
+    context = spark.sparkContext
+    if "seedmill.zip" in context._python_includes:
+        return
+    root = Path(__file__).resolve().parent.parent
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="seedmill-"), "seedmill"), "zip", root, "seedmill"
+    )
+    context.addPyFile(archive)
