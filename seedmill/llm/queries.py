@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seedmill.llm import sharding
+from seedmill.llm import quality_rules, sharding
 from seedmill.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -45,3 +45,11 @@ FROM placed
 )
 def op5_rendezvous_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), [1.0] * 40, grown_weight=1.0)
+
+
+@query()
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rated = quality_rules.rate_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return rated.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
+    )
