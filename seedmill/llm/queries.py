@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seedmill.llm import quality_rules, sharding
+from seedmill.llm import quality_rules, secret_ledger, sharding
 from seedmill.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -53,3 +53,8 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rated.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
     )
+
+
+@query()
+def op3_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_ledger.document_secrets(table(spark, folder, "documents"))
