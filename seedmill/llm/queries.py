@@ -1,8 +1,9 @@
 """One query for each operator of this subpackage, over whole tables and with production parameters."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seedmill.llm import quality_rules, secret_ledger, sharding
+from seedmill.llm import quality_rules, revisits, secret_ledger, sharding
 from seedmill.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -55,6 +56,171 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query()
+_ASSIGN_SQL = (
+    r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
+    r"|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+)
+
+
+def _matches_sql(number: int, rule: secret_ledger.SecretRule) -> str:
+    pattern = _ASSIGN_SQL if rule.kind == "assign" else rule.pattern
+    size = f"length(regexp_extract(found, '{pattern}', 1))" if rule.group else "length(found)"
+    return f"""
+  SELECT row_no, {number} AS kind_no, '{rule.kind}' AS kind, {size} >= {rule.least} AS good, length(found) AS size,
+         sum(length(gap) + length(found)) OVER (PARTITION BY row_no ORDER BY place) AS ends
+  FROM (SELECT row_no, unnest(regexp_extract_all(text, '{pattern}')) AS found,
+               unnest(string_split_regex(text, '{pattern}')) AS gap,
+               unnest(range(len(string_split_regex(text, '{pattern}')))) AS place
+        FROM texts WHERE regexp_matches(text, '{pattern}'))
+  WHERE found IS NOT NULL"""
+
+
+_SECRETS_SQL = f"""
+WITH texts AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({" UNION ALL ".join(_matches_sql(i, r) for i, r in enumerate(secret_ledger.RULES))}),
+named AS (
+  SELECT row_no, kind_no, kind, ends - size AS starts, kind || ':' || (ends - size)::BIGINT || ':' || ends::BIGINT AS span
+  FROM spans WHERE good),
+found AS (
+  SELECT row_no, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(span, ',' ORDER BY starts, kind_no) FILTER (kind_no < {len(secret_ledger.BASE_RULES)}) AS base,
+         string_agg(span, ',' ORDER BY starts, kind_no) AS spans
+  FROM named GROUP BY row_no)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN found USING (row_no)
+"""
+
+
+@query(_SECRETS_SQL)
 def op3_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return secret_ledger.document_secrets(table(spark, folder, "documents"))
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """Archive records of the pages: a full response each, a later revisit and an earlier one.
+
+    Some revisits have a changed tag, some only a date, some no validator.
+    """
+    page, tag = F.col("page_id"), F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 16), F.lit('"'))
+    tagless, changed, bare = page % 7 == 3, page % 5 == 0, page % 11 == 4
+    modified = F.concat(F.lit("day "), (page % 400).cast("string"))
+
+    def fields(**values) -> Column:
+        pairs = [F.struct(F.lit(k.replace("_", "-")).alias("k"), v.alias("v")) for k, v in values.items()]
+        return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["v"].isNotNull()))
+
+    def record(number: int, seconds, url, full: bool, headers) -> Column:
+        return F.struct(
+            (page * 3 + number).alias("record_id"),
+            url.alias("url"),
+            (page * 60 + seconds).cast("long").alias("ts"),
+            F.lit(full).alias("full"),
+            headers.alias("headers"),
+            F.md5("html").alias("digest"),
+        )
+
+    response = fields(
+        Content_Type=F.lit("text/html"),
+        Content_Length=F.octet_length("html").cast("string"),
+        Date=F.concat(F.lit("t"), page.cast("string")),
+        ETag=F.when(~tagless, tag),
+        Last_Modified=modified,
+    )
+
+    def not_modified(fresh_tag) -> Column:
+        return fields(
+            Cache_Control=F.lit("max-age=60"),
+            Connection=F.lit("close"),
+            Content_Length=F.lit("0"),
+            Date=F.concat(F.lit("again "), page.cast("string")),
+            ETag=F.when(~tagless & ~bare, fresh_tag),
+            Last_Modified=F.when(tagless, modified),
+        )
+
+    later_url = F.concat(F.regexp_replace("url", "^https://", "http://www."), F.lit("#again"))
+    later_tag = F.when(changed, F.lit('"changed"')).otherwise(tag)
+    return pages.select(
+        F.inline(
+            F.array(
+                record(0, F.lit(0), F.col("url"), True, response),
+                record(1, (page % 97) * 3600 + 30, later_url, False, not_modified(later_tag)),
+                record(2, F.lit(-45), F.col("url"), False, not_modified(F.concat(F.lit("W/"), tag))),
+            )
+        )
+    )
+
+
+_BARE_SQL = r"regexp_replace(regexp_replace({url}, '(?s)#.*$', ''), '^(?i:https?)://', '')"
+
+
+def canonical_sql(url: str) -> str:
+    bare = _BARE_SQL.format(url=url)
+    host = rf"regexp_replace(regexp_replace(lower(regexp_extract({bare}, '^([^/?]*)', 1)), '^www[0-9]*\.', ''), ':(80|443)$', '')"
+    path = rf"regexp_replace(regexp_extract({bare}, '^[^/?]*([^?]*)', 1), '/+$', '')"
+    parts = (
+        rf"list_filter(string_split(regexp_extract({bare}, '(?s)\?(.*)$', 1), '&'), "
+        rf"lambda p: p <> '' AND NOT regexp_matches(lower(p), '{revisits.TRACKING}'))"
+    )
+    joined = f"array_to_string(list_sort({parts}), '&')"
+    return f"{host} || {path} || CASE WHEN {joined} = '' THEN '' ELSE '?' || {joined} END"
+
+
+_HEADERS_SQL = ", ".join(
+    f"'{name}=' || CASE WHEN outcome = 'resolved' THEN {merged} ELSE {own} END"
+    for name, own, merged in (
+        ("cache-control", "'max-age=60'", "'max-age=60'"),
+        ("connection", "'close'", "NULL"),
+        ("content-length", "'0'", "p_length::VARCHAR"),
+        ("content-type", "NULL", "'text/html'"),
+        ("date", "'again ' || page_id", "'again ' || page_id"),
+        ("etag", "etag", "coalesce(etag, p_etag)"),
+        ("last-modified", "modified", "coalesce(modified, p_modified)"),
+    )
+)
+
+
+@query(
+    f"""
+WITH tagged AS (
+  SELECT *, '"' || substr(md5(html), 1, 16) || '"' AS tag, 'day ' || page_id % 400 AS day FROM pages),
+responses AS (
+  SELECT page_id * 3 AS p_id, page_id * 60 AS p_ts, {canonical_sql("url")} AS canonical_url, md5(html) AS p_digest,
+         strlen(html) AS p_length, CASE WHEN page_id % 7 <> 3 THEN tag END AS p_etag, day AS p_modified
+  FROM tagged),
+revisits AS (
+  SELECT page_id, page_id * 3 + 1 AS record_id, page_id * 60 + 30 + page_id % 97 * 3600 AS ts,
+         regexp_replace(url, '^https://', 'http://www.') || '#again' AS url,
+         CASE WHEN page_id % 7 <> 3 AND page_id % 11 <> 4
+              THEN CASE WHEN page_id % 5 = 0 THEN '"changed"' ELSE tag END END AS etag,
+         CASE WHEN page_id % 7 = 3 THEN day END AS modified FROM tagged
+  UNION ALL
+  SELECT page_id, page_id * 3 + 2, page_id * 60 - 45, url,
+         CASE WHEN page_id % 7 <> 3 AND page_id % 11 <> 4 THEN 'W/' || tag END,
+         CASE WHEN page_id % 7 = 3 THEN day END FROM tagged),
+named AS (SELECT *, {canonical_sql("url")} AS canonical_url FROM revisits),
+matched AS (
+  SELECT r.*, p_id, p_digest, p_length, p_etag, p_modified,
+         coalesce(regexp_replace(p_etag, '^W/', '') = regexp_replace(etag, '^W/', ''), p_modified = modified) AS agree
+  FROM named r ASOF LEFT JOIN responses p ON r.canonical_url = p.canonical_url AND r.ts > p.p_ts),
+judged AS (
+  SELECT *, CASE WHEN p_id IS NULL THEN 'no_response' WHEN agree IS NULL THEN 'unverified'
+                 WHEN agree THEN 'resolved' ELSE 'mismatch' END AS outcome FROM matched)
+SELECT record_id, canonical_url, ts, outcome, p_id AS refers_to,
+       CASE WHEN outcome = 'resolved' THEN p_digest END AS digest, concat_ws(';', {_HEADERS_SQL}) AS headers
+FROM judged
+"""
+)
+def op10_resolve_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    resolved = revisits.resolve_revisits(captures(table(spark, folder, "pages")))
+    lines = F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return resolved.select(
+        "record_id",
+        "canonical_url",
+        "ts",
+        "outcome",
+        "refers_to",
+        "digest",
+        F.array_join(F.sort_array(lines), ";").alias("headers"),
+    )
