@@ -1,11 +1,14 @@
 """One query for each operator of this subpackage, over whole tables and with production parameters."""
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedmill.llm import quality_rules, revisits, secret_ledger, sharding
+from seedmill.llm import quality_rules, revisits, secret_ledger, sharding, token_counts
 from seedmill.llm.registry import QUERIES, SQL, query, table
 
+BYTE_BPE = "byte_bpe_50k.json"
+
 __all__ = ["QUERIES", "SQL"]
 
 CRC32_SQL = """
@@ -224,3 +227,8 @@ def op10_resolve_revisits(spark: SparkSession, folder: str) -> DataFrame:
         "digest",
         F.array_join(F.sort_array(lines), ";").alias("headers"),
     )
+
+
+@query()
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE))
