@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedmill.llm import packing, quality_rules, revisits, secret_ledger, sharding, token_counts
+from seedmill.llm import packing, quality_rules, revisits, secret_ledger, sharding, token_counts, tree_bpe
 from seedmill.llm.registry import QUERIES, SQL, query, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -237,3 +237,8 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op4_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+@query()
+def op7_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return tree_bpe.encode_and_decode(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE))
