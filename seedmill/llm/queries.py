@@ -4,7 +4,16 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedmill.llm import packing, quality_rules, revisits, secret_ledger, sharding, token_counts, tree_bpe
+from seedmill.llm import (
+    hidden_markov,
+    packing,
+    quality_rules,
+    revisits,
+    secret_ledger,
+    sharding,
+    token_counts,
+    tree_bpe,
+)
 from seedmill.llm.registry import QUERIES, SQL, query, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -242,3 +251,8 @@ def op4_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op7_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return tree_bpe.encode_and_decode(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+@query()
+def op8_hidden_markov(spark: SparkSession, folder: str) -> DataFrame:
+    return hidden_markov.score_documents(table(spark, folder, "documents"))
