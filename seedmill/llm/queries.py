@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seedmill.llm import (
     hidden_markov,
     packing,
+    posting_lists,
     quality_rules,
     revisits,
     secret_ledger,
@@ -256,3 +257,8 @@ def op7_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op8_hidden_markov(spark: SparkSession, folder: str) -> DataFrame:
     return hidden_markov.score_documents(table(spark, folder, "documents"))
+
+
+@query()
+def op1_posting_lists(spark: SparkSession, folder: str) -> DataFrame:
+    return posting_lists.nearest(table(spark, folder, "embeddings"))
