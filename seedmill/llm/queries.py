@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seedmill.llm import (
     hidden_markov,
+    near_duplicates,
     packing,
     posting_lists,
     quality_rules,
@@ -262,3 +263,8 @@ def op8_hidden_markov(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op1_posting_lists(spark: SparkSession, folder: str) -> DataFrame:
     return posting_lists.nearest(table(spark, folder, "embeddings"))
+
+
+@query()
+def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.duplicate_classes(table(spark, folder, "documents"))
