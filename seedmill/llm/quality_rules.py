@@ -93,7 +93,7 @@ def learn_rules(
 
     Rows with a null label take no part; null features are below no threshold
     and above none. Candidate thresholds are the approximate quantiles of a
-    feature among the bad rows. No labelled row, or none bad, gives no rule.
+    feature among the bad rows and among the good ones. No labelled row, or none bad, gives no rule.
     Equal gains go to the earlier feature and the lower threshold, so the list
     is the same for the same rows in any order. ``key`` deals rows to the
     growing and the pruning part.
@@ -103,10 +103,11 @@ def learn_rules(
     )
     rows = materialize(rows, "labelled")
     steps = [i / thresholds for i in range(thresholds)]
-    cuts_row = rows.filter("_bad").agg(
-        *[F.percentile_approx(f, [*steps, 1.0], 10_000).alias(f) for f in features]
-    ).first()
-    cuts = {f: sorted(set(cuts_row[f] or [])) for f in features}
+    spread = F.percentile_approx
+    found = rows.groupBy("_bad").agg(*[spread(f, [*steps, 1.0], 10_000).alias(f) for f in features]).collect()
+    if not any(r["_bad"] for r in found):
+        return []
+    cuts = {f: sorted({c for r in found for c in r[f] or []}) for f in features}
     if not any(cuts.values()):
         return []
 
