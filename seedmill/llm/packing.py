@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from seedmill.llm.pieces import to_bytes, worker_pieces
+from seedmill.llm.pieces import byte_symbols, to_bytes, worker_encoder
 
 WIDTH = 1024
 SENTENCE_PENALTY = 4
@@ -148,11 +148,7 @@ def vocabulary_bytes(path: str) -> list[bytes]:
 
     tokenizer = Tokenizer.from_file(path)
     added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
-    # Byte-level vocabularies write a byte as the character of its code, and the bytes
-    # that do not print as the characters from code 256 on, in order.
-    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(b): b for b in prints}
-    byte_of |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(prints))}
+    byte_of = byte_symbols()
     table = [b""] * tokenizer.get_vocab_size()
     for token, number in tokenizer.get_vocab().items():
         table[number] = token.encode() if token in added else bytes(byte_of[c] for c in token)
@@ -176,7 +172,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, width: int = WIDTH) ->
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = worker_pieces(tokenizer_path, "ids", to_bytes)
+        encoder = worker_encoder(tokenizer_path)
         packer = Packer(worker_vocabulary(tokenizer_path), width)
         high = TaskContext.get().partitionId() << 33
 
@@ -190,7 +186,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, width: int = WIDTH) ->
         for batch in batches:
             like = batch.schema.field(0).type
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = packer.add(doc, b"".join(encoder.values(text or "")))
+                rows = packer.add(doc, to_bytes(encoder.ids(text or "")))
                 if rows:
                     yield batch_of(rows, like)
         rows = packer.finish()

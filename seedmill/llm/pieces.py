@@ -1,12 +1,14 @@
-"""Exact token ids of whole texts, piece by piece, with a bounded cache in each Python worker.
+"""Exact token ids of whole texts, and a bounded cache of what their pieces come to.
 
 A byte-level BPE tokenizer first cuts a text by a pattern and then encodes every
 cut by itself. A blank followed by a non-blank always begins a new cut, whatever
-stands around it, so a text may be cut there, with ``str.split``, and the
-pieces encoded one by one. Prose repeats its pieces: most are found in a
-dictionary, and the library encodes the rest. Results are those of the library
-for the whole text; texts that hold a string of an added token, and tokenizers of
-another make, are given to the library whole.
+stands around it, so a text may be taken apart there and the parts encoded one
+by one.
+
+Two libraries encode this kind of vocabulary; where the ids are the ranks of the
+merges, the quicker one gives the ids of the other. It encodes stretches that
+have such blanks; all else, and tokenizers of another make, go to the library
+that the file is made for.
 """
 
 import json
@@ -16,6 +18,10 @@ from collections.abc import Callable, Iterable
 
 MAX_CACHED = 1 << 18
 MAX_KEY = 64
+BLOCK_CHARS = 1 << 16
+
+# Fixed value: the pattern by which byte-level tokenizers cut a text.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -42,16 +48,39 @@ def cut_at_blanks(text: str) -> list[str]:
     return pieces
 
 
-class Pieces:
-    """Maps texts to what ``value`` makes of the token ids of their pieces."""
-
-    def __init__(
-        self,
-        path: str,
-        value: Callable[[list[int]], object],
-        known: dict[str, object] | None = None,
-        max_cached: int = MAX_CACHED,
-    ):
+def blocks(text: str, size: int = BLOCK_CHARS) -> list[str]:
+    """The text cut before blanks that begin a word, into parts of at most ``size`` characters where that can be."""
+    found, start = [], 0
+    while len(text) - start > size:
+        cut = text.rfind(" ", start + 1, start + size)
+        while cut > start and text[cut + 1] == " ":
+            cut = text.rfind(" ", start + 1, cut)
+        if cut <= start:
+            cut = text.find(" ", start + size)
+            while 0 <= cut < len(text) - 1 and text[cut + 1] == " ":
+                cut += 1
+            if cut < 0 or cut == len(text) - 1:
+                break
+        found.append(text[start:cut])
+        start = cut
+    return [*found, text[start:]]
+
+
+def byte_symbols() -> dict[str, int]:
+    """The characters that stand for bytes in byte-level vocabularies.
+
+    Fixed values: a byte that prints is the character of its code, and the bytes
+    that do not print are the characters from code 256 on, in order.
+    """
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(prints)]
+    return {chr(b): b for b in prints} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+class Encoder:
+    """The ids that the tokenizers library gives for whole texts, without special tokens added."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -59,6 +88,7 @@ class Pieces:
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as file:
             made = json.load(file)
+        self.special = [t["content"] for t in made.get("added_tokens", [])]
         cut = made.get("pre_tokenizer") or {}
         self.splits = (
             cut.get("type") == "ByteLevel"
@@ -67,56 +97,83 @@ class Pieces:
             and not made.get("normalizer")
             and made["model"]["type"] == "BPE"
         )
-        self.special = [t["content"] for t in made.get("added_tokens", [])]
-        self.value = value
-        self.known = known or {}
-        self.max_cached = max_cached + len(self.known)
-        self.cache: dict[str, object] = dict(self.known)
+        self.ordinary = self._quick(made["model"]) if self.splits else None
 
-    def ids(self, text: str) -> list[int]:
+    def _quick(self, model: dict) -> Callable[[str], list[int]] | None:
+        import tiktoken
+
+        vocabulary = model["vocab"]
+        merged = (("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in model["merges"])
+        symbols = byte_symbols()
+        ranked = all(vocabulary.get(token) == 256 + rank for rank, token in enumerate(merged))
+        if not ranked or any(vocabulary.get(s, 256) > 255 for s in symbols):
+            return None
+        ranks = {bytes(symbols[c] for c in t): n for t, n in vocabulary.items() if t not in self.special}
+        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def values(self, text: str) -> list:
-        """What the pieces of the text come to, in order; their sum or join is that of the text."""
-        if not text:
-            return []
-        if not self.splits or any(s in text for s in self.special):
-            return [self.value(self.ids(text))]
+    def ids(self, text: str) -> list[int]:
+        if self.ordinary is None or any(s in text for s in self.special):
+            return self.whole(text)
+        if len(text) <= BLOCK_CHARS:
+            return self.ordinary(text)
+        found: list[int] = []
+        for block in blocks(text):
+            found += self.ordinary(block) if len(block) <= BLOCK_CHARS else self.whole(block)
+        return found
+
+
+class Pieces:
+    """Counts the tokens of texts piece by piece: from a given table, a bounded cache, or the encoder."""
+
+    def __init__(self, path: str, known: dict[str, int] | None = None, max_cached: int = MAX_CACHED):
+        self.encoder = worker_encoder(path)
+        self.known = known or {}
+        self.max_cached = max_cached + len(self.known)
+        self.cache: dict[str, int] = dict(self.known)
+
+    def count(self, text: str) -> int:
+        encoder = self.encoder
+        if not encoder.splits or any(s in text for s in encoder.special):
+            return len(encoder.whole(text))
         first, *rest = cut_at_blanks(text)
         found = list(map(self.cache.get, rest))
+        total = len(encoder.ids(first)) if first else 0
         if None in found:
-            self._learn(rest, found)
-        if first:
-            found.insert(0, self.value(self.ids(first)))
-        return found
+            missing = [piece for piece, n in zip(rest, found, strict=True) if n is None]
+            total += self._learn(missing)
+            found = [n for n in found if n is not None]
+        return total + sum(found)
 
-    def _learn(self, pieces: list[str], found: list) -> None:
-        places: dict[str, list[int]] = {}
-        for place, value in enumerate(found):
-            if value is None:
-                places.setdefault(pieces[place], []).append(place)
-        if len(self.cache) + len(places) > self.max_cached:
+    def _learn(self, missing: list[str]) -> int:
+        if len(self.cache) + len(missing) > self.max_cached:
             self.cache = dict(self.known)
-        missing = list(places)
-        encoded = self.tokenizer.encode_batch_fast([" " + p for p in missing], add_special_tokens=False)
-        for piece, encoding in zip(missing, encoded, strict=True):
-            value = self.value(encoding.ids)
-            for place in places[piece]:
-                found[place] = value
-            if len(piece) <= MAX_KEY and len(self.cache) < self.max_cached:
-                self.cache[piece] = value
-
-
-_made: dict = {}
-
-
-def worker_pieces(
-    path: str, name: str, value: Callable, known: Callable[[], dict] = dict, token: object = None
-) -> Pieces:
-    """The one ``Pieces`` of this Python worker for this path, name and token; it lives on from task to task."""
-    key = (path, name, token)
-    if key not in _made:
-        for old in [k for k in _made if k[:2] == key[:2]]:
-            del _made[old]
-        _made[key] = Pieces(path, value, known())
-    return _made[key]
+        total = 0
+        for piece in missing:
+            n = self.cache.get(piece)
+            if n is None:
+                n = len(self.encoder.ids(" " + piece))
+                if len(piece) <= MAX_KEY and len(self.cache) < self.max_cached:
+                    self.cache[piece] = n
+            total += n
+        return total
+
+
+_encoders: dict[str, Encoder] = {}
+_pieces: dict[str, tuple[object, Pieces]] = {}
+
+
+def worker_encoder(path: str) -> Encoder:
+    """The one encoder of this Python worker for this path; it lives on from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def worker_pieces(path: str, known: Callable[[], dict], token: object) -> Pieces:
+    """The one ``Pieces`` of this Python worker for this path; a new table, told by its token, replaces it."""
+    if path not in _pieces or _pieces[path][0] != token:
+        _pieces[path] = (token, Pieces(path, known()))
+    return _pieces[path][1]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seedmill.functions.storage import materialize
-from seedmill.llm.pieces import MAX_KEY, Pieces, cut_at_blanks, worker_pieces
+from seedmill.llm.pieces import MAX_KEY, cut_at_blanks, worker_encoder, worker_pieces
 
 TABLE_SIZE = 1 << 16
 TASK_SUMMARY = 1 << 13
@@ -71,17 +71,16 @@ def count_tokens(
     """
     spark = docs.sparkSession
     pieces = frequent_pieces(docs, table_size)
-    encoder = Pieces(tokenizer_path, len)
-    encoded = encoder.tokenizer.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)
-    lengths = [len(e.ids) for e in encoded]
+    encoder = worker_encoder(tokenizer_path)
+    lengths = [len(encoder.ids(" " + p)) for p in pieces]
     table = spark.sparkContext.broadcast((pieces, lengths))
     token = uuid.uuid4().hex
     names = ["doc_id", "n_bytes", "n_tokens"]
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = worker_pieces(tokenizer_path, "count", len, lambda: dict(zip(*table.value, strict=True)), token)
+        lookup = worker_pieces(tokenizer_path, lambda: dict(zip(*table.value, strict=True)), token)
         for batch in batches:
-            n_tokens = [sum(lookup.values(text)) if text else 0 for text in batch.column(1).to_pylist()]
+            n_tokens = [lookup.count(text) if text else 0 for text in batch.column(1).to_pylist()]
             columns = [batch.column(0), batch.column(2), pa.array(n_tokens, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

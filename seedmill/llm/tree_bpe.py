@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from seedmill.functions.storage import materialize
 from seedmill.llm.packing import worker_vocabulary
-from seedmill.llm.pieces import to_bytes, worker_pieces
+from seedmill.llm.pieces import worker_encoder
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -245,15 +245,14 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, leaf_chars: int = LE
     first += "row string, segment int, part int, leaf string, special int"
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_pieces(tokenizer_path, "ids", to_bytes)
+        encoder = worker_encoder(tokenizer_path)
         tree = worker_tree(tokenizer_path)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text or ""
                 if len(text) <= leaf_chars:
-                    ids = np.frombuffer(b"".join(encoder.values(text)), dtype="<u4").tolist()
-                    rows.append((doc, *digests(ids, tree.vocabulary), None, None, None, None, None))
+                    rows.append((doc, *digests(encoder.ids(text), tree.vocabulary), None, None, None, None, None))
                     continue
                 row = uuid.uuid4().hex
                 for s, segment in enumerate(tree.segments(text)):

@@ -10,8 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from seedmill.llm import packing, token_counts, tree_bpe
-from seedmill.llm.pieces import Pieces, to_bytes
+from seedmill.llm import packing, pieces, token_counts, tree_bpe
+from seedmill.llm.pieces import Encoder, Pieces, to_bytes
 from seedmill.session import ship_package
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,17 +35,35 @@ def odd(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
 
 
+ENCODER = Encoder(PATH)
+
+
 @settings(max_examples=300, deadline=None)
 @given(TEXTS)
-def test_pieces_join_to_the_ids_of_the_whole_text(text):
-    known = Pieces(PATH, to_bytes)
-    assert b"".join(known.values(text)) == to_bytes(ids_of(text))
+def test_encoder_and_pieces_agree_with_the_library(text):
+    assert ENCODER.ids(text) == ids_of(text)
+    assert Pieces(PATH).count(text) == len(ids_of(text))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(" a\n", max_size=60))
+def test_blocks_encode_to_the_whole(text):
+    parts = pieces.blocks(text, 7)
+    assert "".join(parts) == text
+    assert [i for p in parts for i in ids_of(p)] == ids_of(text)
+
+
+def test_both_libraries_cut_every_character_alike():
+    codes = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for k in range(0, len(codes), 50):
+        text = "".join(f"a{chr(c)}b {chr(c)} 1{chr(c)}2 !{chr(c)}? \n{chr(c)}{chr(c)}" for c in codes[k : k + 50])
+        assert ENCODER.ordinary(text) == ids_of(text)
 
 
 def test_full_cache_starts_again_and_stays_exact():
-    known = Pieces(PATH, len, {"a": 1}, max_cached=3)
+    known = Pieces(PATH, {"a": 1}, max_cached=3)
     for n in range(30):
-        assert sum(known.values(f"x a w{n} v{n} u{n}")) == len(ids_of(f"x a w{n} v{n} u{n}"))
+        assert known.count(f"x a w{n} v{n} u{n}") == len(ids_of(f"x a w{n} v{n} u{n}"))
 
 
 def test_token_counts(odd):
