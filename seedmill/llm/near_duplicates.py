@@ -39,7 +39,7 @@ IDF_SPAN = 0.25
 CHUNK_SHINGLES = 2_000_000
 BLOCK_SHINGLES = 32_768
 BITMAP_BITS = 24
-PIVOTS = 16
+PIVOTS = 128
 GROUP_MEMBERS = 256
 FOLD = np.uint64(0x9FB21C651E98DF25)
 
@@ -437,12 +437,31 @@ def link(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         pairs = pairs.distinct().join(met, ["a", "b"], "left_anti")
         low, high = F.least("a", "b"), F.greatest("a", "b")
         pairs = pairs.select(low.alias("a"), high.alias("b")).distinct()
-        known.append(materialize(similarities(pairs, sets), "compared"))
-        found = components(_linked(known, threshold))
+        compared = materialize(similarities(pairs, sets), "compared")
+        known.append(compared)
+        found = _merged(found, _linked([compared], threshold))
         finished = pivots.select("key", F.col("a").alias("row"))
         done = materialize(finished if done is None else done.union(finished), "finished")
 
 
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links: those that the links connect become one."""
+    if links.isEmpty():
+        return found
+
+    def own(side: str) -> DataFrame:
+        return found.select(F.col("node").alias(side), F.col("component").alias(f"{side}_own"))
+
+    owned = links.select("a", "b").join(own("a"), "a", "left").join(own("b"), "b", "left")
+    between = owned.select(F.coalesce("a_own", "a").alias("a"), F.coalesce("b_own", "b").alias("b"))
+    joined = components(between.filter("a <> b"))
+    joined = joined.select(F.col("node").alias("old"), F.col("component").alias("least"))
+    new = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    new = new.join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
+    every = found.unionByName(new).join(joined, F.col("component") == F.col("old"), "left")
+    return materialize(every.select("node", F.coalesce("least", "component").alias("component")), "components")
+
+
 def _linked(known: list[DataFrame], threshold: float) -> DataFrame:
     pairs = known[0]
     for more in known[1:]:
