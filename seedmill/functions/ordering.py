@@ -5,7 +5,8 @@ one task, and a window over a key does the same to the hottest key. Here the
 sort key itself, keys first and then the order, is cut into buckets at sampled
 split points, and every bucket is ranked on its own. A split point cuts at most
 one key, so a bucket has at most one key that began earlier; what came before
-it is one number per bucket, a constant of the final plan.
+it is one number per bucket, a constant of the final plan. There is one way for
+every size; a small table just has few rows in each bucket.
 
 The split points only balance the work: every row is kept and positions are
 exact. The order columns must identify a row, as they do for any stable sort.
@@ -22,10 +23,7 @@ from pyspark.sql import types as T
 
 from seedmill.functions.sizing import task_slots
 
-SINGLE_TASK_ROWS = 1_000_000
-ROWS_PER_BUCKET = 4_000_000
-BUCKETS_PER_SLOT = 4
-MAX_BUCKETS = 4096
+ROWS_PER_BUCKET = 1_000_000
 SAMPLES_PER_BUCKET = 16
 
 
@@ -35,7 +33,7 @@ def _literal(row, schema: T.StructType) -> Column:
 
 def _split_points(sort_keys: DataFrame, rows: int, buckets: int) -> list:
     """At most ``buckets - 1`` sort keys from a bounded random sample, in order."""
-    fraction = min(1.0, buckets * SAMPLES_PER_BUCKET / rows)
+    fraction = min(1.0, buckets * SAMPLES_PER_BUCKET / max(1, rows))
     sample = sort_keys.sample(False, fraction, seed=17).orderBy(*sort_keys.columns).collect()
     step = max(1, len(sample) // buckets)
     return sample[step::step][: buckets - 1]
@@ -88,7 +86,6 @@ def with_position(
     running: Mapping[str, Column] | None = None,
     position: str = "position",
     rows: int | None = None,
-    single_task_rows: int = SINGLE_TASK_ROWS,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Add the 0-based ``position`` of each row, overall or within ``keys``.
@@ -117,17 +114,14 @@ def with_position(
         ]
         return source.select(*df.columns, place.alias(position), *sums)
 
-    if rows <= single_task_rows:
-        return ranked(staged, key_names, F.lit(0), {n: F.lit(0) for n in running})
-
     sort_names = [*key_names, *order_names]
     sort_keys = staged.select(*sort_names)
-    buckets = max(BUCKETS_PER_SLOT * task_slots(df.sparkSession), math.ceil(rows / rows_per_bucket))
-    points = _split_points(sort_keys, rows, min(MAX_BUCKETS, buckets))
+    buckets = max(task_slots(df.sparkSession), math.ceil(rows / rows_per_bucket))
+    points = _split_points(sort_keys, rows, buckets)
     bucketed = _with_bucket(staged, sort_names, points, sort_keys.schema)
 
     key_schema = T.StructType([f for f in sort_keys.schema.fields if f.name in key_names])
-    if key_names and points:
+    if key_names:
         point_keys = F.array(*[_literal(p, key_schema) for p in points]).cast(T.ArrayType(key_schema))
     else:
         point_keys = F.array_repeat(F.lit(0), len(points))
@@ -162,7 +156,6 @@ def cut_at(
     order: Sequence[Column],
     positions: Sequence[int],
     rows: int | None = None,
-    single_task_rows: int = SINGLE_TASK_ROWS,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> list[Column]:
     """For each position, the condition "this row comes before that position".
@@ -180,7 +173,6 @@ def cut_at(
             keys_only,
             [F.col(n) for n in names],
             rows=rows,
-            single_task_rows=single_task_rows,
             rows_per_bucket=rows_per_bucket,
         )
         found = {r["position"]: r for r in ranked.filter(F.col("position").isin(wanted)).collect()}

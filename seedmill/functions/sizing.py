@@ -1,30 +1,6 @@
-"""Size checks in front of broadcasts, and the join to use beyond them."""
+"""How many partitions a step gets."""
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 32
-
-
-def _cell_bytes(field: T.StructField) -> Column:
-    cell = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-        size = F.octet_length(cell)
-    elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-        size = F.octet_length(F.to_json(F.struct(cell)))
-    else:
-        size = F.lit(16)
-    return F.coalesce(size, F.lit(0)).cast("long") + 8
-
-
-def measured_bytes(df: DataFrame) -> int:
-    """Upper estimate of the in-memory size of a frame, from its actual rows."""
-    row = sum((_cell_bytes(field) for field in df.schema.fields), F.lit(16).cast("long"))
-    return df.agg(F.coalesce(F.sum(row), F.lit(0)).alias("bytes")).first()["bytes"]
+from pyspark.sql import SparkSession
 
 
 def task_slots(spark: SparkSession) -> int:
@@ -32,41 +8,3 @@ def task_slots(spark: SparkSession) -> int:
     return max(
         spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
     )
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores on a file scan that comes in fewer splits than there are cores.
-
-    A small file with one row group is one task, however heavy the work per
-    row. A large input has splits enough and is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
-
-
-def lookup_join(
-    big: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    salt_by: Sequence[str] = (),
-    max_bytes: int = BROADCAST_BYTES,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join rows to a table with one row per key, whatever the share of the hottest key.
-
-    The lookup side is measured. Up to ``max_bytes`` it is broadcast and the
-    big side does not move. Beyond that, both sides are salted: the lookup row
-    is repeated per salt and the rows of a hot key spread over ``salts`` tasks.
-    The salt is a hash of ``salt_by`` (row identity; all columns by default),
-    so a retried task sends every row to the same place.
-    """
-    if how not in ("left", "inner", "left_semi", "left_anti"):
-        raise ValueError(f"lookup_join cannot do a {how} join")
-    keys = list(on)
-    if measured_bytes(lookup) <= max_bytes:
-        return big.join(F.broadcast(lookup), keys, how)
-    identity = list(salt_by) or big.columns
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*identity), F.lit(salts)).cast("int"))
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

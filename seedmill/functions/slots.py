@@ -46,7 +46,7 @@ def run_generator(
     """Call the generator on batches of at most ``batch_size`` rows; 0 turns batching off.
 
     Columns of ``schema`` that the generator does not return are taken from the
-    request with the same ``request_id``.
+    request with the same ``request_id``; an id that comes twice is an error.
     """
     target = _schema(schema)
 
@@ -62,6 +62,8 @@ def run_generator(
             out = pd.concat(parts, ignore_index=True)
             carried = [n for n in target.names if n not in out.columns]
             if carried:
+                if not frame["request_id"].is_unique:
+                    raise ValueError("a request_id belongs to more than one request")
                 out = out.merge(frame[["request_id", *carried]], on="request_id", how="left")
             yield out[target.names]
 

@@ -31,11 +31,11 @@ def html_lines(html: Column) -> Column:
     """Visible text lines of a page; heading lines start with a mark."""
     text = html
     for tag in FURNITURE_TAGS:
-        text = F.regexp_replace(text, f"(?is)<{tag}( [^>]*)?>.*?</{tag}>", "")
+        text = F.regexp_replace(text, f"(?is)<{tag}(\\s[^>]*)?>.*?</{tag}>", "")
     text = F.regexp_replace(text, "(?s)<!--.*?-->", "")
-    text = F.regexp_replace(text, "(?i)<h[1-6]( [^>]*)?>", "\n" + _HEADING_MARK)
+    text = F.regexp_replace(text, "(?i)<h[1-6](\\s[^>]*)?>", "\n" + _HEADING_MARK)
     text = F.regexp_replace(text, "(?i)</h[1-6]>", "\n")
-    text = F.regexp_replace(text, f"(?i)</?({'|'.join(LINE_TAGS)})( [^>]*)?/?>", "\n")
+    text = F.regexp_replace(text, f"(?i)</?({'|'.join(LINE_TAGS)})(\\s[^>]*)?/?>", "\n")
     text = F.regexp_replace(text, "<[^>]+>", "")
     for name, character in NAMED_CHARACTERS:
         text = F.replace(text, F.lit(name), F.lit(character))

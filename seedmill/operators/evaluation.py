@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seedmill import fixed
 from seedmill.functions.columns import fixed_text, round2
-from seedmill.functions.ordering import SINGLE_TASK_ROWS, with_position
+from seedmill.functions.ordering import with_position
 from seedmill.functions.storage import materialize
 
 
@@ -54,7 +54,6 @@ def compare_tasks(candidate: DataFrame, base: DataFrame, key: str = "task", scor
 def rank_improvements(
     compared: DataFrame,
     order: Sequence[Column],
-    single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """1-based rank inside each class: improvements from the largest rounded delta, regressions from
     the smallest, the other classes in input order; ``order`` is that order and settles ties.
@@ -68,7 +67,7 @@ def rank_improvements(
         .otherwise(F.lit(0.0))
     )
     ranked = with_position(
-        compared, [signed, *order], keys=["change"], position="_at", single_task_rows=single_task_rows
+        compared, [signed, *order], keys=["change"], position="_at"
     )
     return ranked.withColumn("rank", F.col("_at") + 1).drop("_at")
 
@@ -90,9 +89,9 @@ def report_lines(ranked: DataFrame, key: str = "qna_file") -> DataFrame:
 
 
 def question_number(
-    df: DataFrame, order: Sequence[Column], single_task_rows: int = SINGLE_TASK_ROWS
+    df: DataFrame, order: Sequence[Column]
 ) -> DataFrame:
-    placed = with_position(df, order, position="_at", single_task_rows=single_task_rows)
+    placed = with_position(df, order, position="_at")
     return placed.withColumn("number", F.col("_at") + 1).drop("_at")
 
 
@@ -127,7 +126,6 @@ def results_summary(
     scored: DataFrame,
     order: Sequence[Column] = (),
     score: str = "scores",
-    single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """Second results table ``(metric, value)``: the three totals, then one row per question.
 
@@ -150,7 +148,7 @@ def results_summary(
             )
         ).alias("metric", "value")
     )
-    numbered = question_number(scored, [F.col(n) for n in names], single_task_rows)
+    numbered = question_number(scored, [F.col(n) for n in names])
     each = numbered.select(
         F.concat(F.lit("Q"), F.col("number").cast("string")).alias("metric"),
         F.col(score).cast("double").alias("value"),
@@ -216,12 +214,11 @@ def before_after(
     old: DataFrame,
     new: DataFrame,
     order: str,
-    single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """Question, old answer, new answer and expected answer by position; the shortest side ends it."""
 
     def placed(df: DataFrame) -> DataFrame:
-        return with_position(df, [F.col(order)], single_task_rows=single_task_rows).drop(order)
+        return with_position(df, [F.col(order)]).drop(order)
 
     return (
         placed(test.select(order, "user", F.col("assistant").alias("assistant_expected")))

@@ -8,20 +8,26 @@ from pyspark.sql import types as T
 
 from seedmill import fixed
 from seedmill.functions.columns import word_count, words
-from seedmill.functions.sizing import lookup_join, task_slots
-from seedmill.functions.storage import materialize, scratch_path
+from seedmill.functions.sizing import task_slots
+from seedmill.functions.storage import scratch_path
 from seedmill.functions.slots import GENERATED, Generator, run_generator, template_generator
 from seedmill.operators.messages import messages_of
 
 
 def with_request_id(requests: DataFrame, parts: list[str]) -> DataFrame:
-    return requests.withColumn("request_id", F.md5(F.concat_ws("|", *[F.col(p).cast("string") for p in parts])))
+    """An id made from ``parts``, which name a request. Lengths keep different parts from giving one text."""
+
+    def told(part: str):
+        text = F.col(part).cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    return requests.withColumn("request_id", F.md5(F.concat_ws("|", *[told(p) for p in parts])))
 
 
 def seed_requests(seeds: DataFrame, scale: int = fixed.SCALE_FACTOR) -> DataFrame:
-    """``scale`` requests per seed example, numbered from 1."""
+    """``scale`` requests per seed pair, numbered from 1. Pairs are told apart by place, not by question."""
     repeated = seeds.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(scale))))
-    return with_request_id(repeated, ["path", "question", "repeat"])
+    return with_request_id(repeated, ["path", "example", "pair", "repeat"])
 
 
 def knowledge_requests(files: DataFrame, chunks: DataFrame, scale: int = 1) -> DataFrame:
@@ -32,8 +38,8 @@ def knowledge_requests(files: DataFrame, chunks: DataFrame, scale: int = 1) -> D
     chunk request carries the examples as few-shot context instead of being
     repeated for each of them, so a leaf never multiplies into all pairs.
     """
-    leaves = materialize(files.select("leaf", "examples"), "leaves")
-    chunk_rows = lookup_join(chunks, leaves, ["leaf"], "inner", salt_by=["leaf", "chunk_id"])
+    leaves = files.select("leaf", "examples")
+    chunk_rows = chunks.join(leaves, "leaf")
     from_chunks = chunk_rows.select(
         "leaf",
         F.lit("chunk").alias("origin"),

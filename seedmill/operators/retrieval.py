@@ -1,7 +1,7 @@
 """Exact top-k search over an index of vectors."""
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -9,11 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedmill import fixed
-from seedmill.functions.sizing import lookup_join
-from seedmill.functions.storage import materialize
 
-QUERY_ROWS = 4096
-BLOCK_QUERIES = 2048
+BLOCK_QUERIES = 16_384
 BLOCK_VECTORS = 50_000
 STEP_ROWS = 2048
 
@@ -58,21 +55,6 @@ def _frame(pool, query_ids: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"query_id": query_ids[number], "id": ids, "score": score})
 
 
-def _candidates_by_broadcast(local: pd.DataFrame, index: DataFrame, k: int, metric: str, schema: str) -> DataFrame:
-    """Each task scans its part of the index once against all queries."""
-    shared = index.sparkSession.sparkContext.broadcast(
-        (local["query_id"].to_numpy(), _matrix(local["embedding"], metric))
-    )
-
-    def search(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = shared.value
-        pool = _search(matrix, frames, k, metric) if len(ids) else None
-        if pool is not None:
-            yield _frame(pool, ids)
-
-    return index.mapInPandas(search, schema)
-
-
 def _candidates_by_blocks(
     queries: DataFrame, index: DataFrame, k: int, metric: str, schema: str, block_queries: int, block_vectors: int
 ) -> DataFrame:
@@ -103,26 +85,21 @@ def retrieve_topk(
     index: DataFrame,
     k: int = fixed.RETRIEVER_TOP_K,
     metric: str = "dot",
-    query_rows: int = QUERY_ROWS,
     block_queries: int = BLOCK_QUERIES,
     block_vectors: int = BLOCK_VECTORS,
 ) -> DataFrame:
     """The k best index rows per query, exactly; ties go to the smaller id.
 
     ``queries`` is ``(query_id, embedding)``, ``index`` is ``(id, embedding)``.
-    Up to ``query_rows`` queries are broadcast and the index is scanned in place;
-    more of them are joined block by block. Only k rows per query leave a task.
+    Blocks of queries meet blocks of the index, at every size by the same plan; a
+    block has a bounded number of rows, and only k rows per query leave a task.
     """
     if metric not in ("dot", "cosine"):
         raise ValueError("metric is 'dot' or 'cosine'")
     q, n = queries.select("query_id", "embedding"), index.select("id", "embedding")
     types = dict(q.dtypes)["query_id"], dict(n.dtypes)["id"]
     schema = f"query_id {types[0]}, id {types[1]}, score double"
-    few = q.limit(query_rows + 1).toPandas()
-    if len(few) <= query_rows:
-        candidates = _candidates_by_broadcast(few, n, k, metric, schema)
-    else:
-        candidates = _candidates_by_blocks(q, n, k, metric, schema, block_queries, block_vectors)
+    candidates = _candidates_by_blocks(q, n, k, metric, schema, block_queries, block_vectors)
     ranking = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     best = candidates.withColumn("rank", F.row_number().over(ranking)).filter(F.col("rank") <= k)
     return best.withColumn("rank", F.col("rank").cast("long"))
@@ -130,10 +107,7 @@ def retrieve_topk(
 
 def augmented_context(hits: DataFrame, index: DataFrame, content: str = "content") -> DataFrame:
     """Contents of a query's hits joined with line breaks, best first. At most k rows per query."""
-    hits = materialize(hits, "hits")
-    narrow = index.select("id", content)
-    found = lookup_join(narrow, hits.select("id").distinct(), ["id"], "left_semi", salt_by=["id"])
-    texts = hits.join(found, "id")
+    texts = hits.join(index.select("id", content), "id")
     return texts.groupBy("query_id").agg(
         F.array_join(
             F.transform(

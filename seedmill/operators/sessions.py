@@ -3,9 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedmill.functions.ordering import SINGLE_TASK_ROWS, with_position
-from seedmill.functions.sizing import lookup_join
-from seedmill.functions.storage import materialize
+from seedmill.functions.ordering import with_position
 
 
 def trim_history(
@@ -14,7 +12,6 @@ def trim_history(
     key: str = "conv_id",
     text: str = "text",
     compat: bool = False,
-    single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """Drop the oldest messages until the characters fit; the last message always stays.
 
@@ -24,8 +21,7 @@ def trim_history(
     length = F.length(text).cast("long")
     if compat:
         totals = turns.groupBy(key).agg(F.sum(length).alias("_total"), F.max("turn").alias("_last"))
-        totals = materialize(totals, "session-totals")
-        joined = lookup_join(turns, totals, [key], "inner", salt_by=[key, "turn"])
+        joined = turns.join(totals, key)
         return joined.filter(
             (F.col("_total") <= max_chars) | (F.col("turn") == F.col("_last"))
         ).select(*turns.columns)
@@ -35,7 +31,6 @@ def trim_history(
         keys=[key],
         running={"_suffix": length},
         position="_from_end",
-        single_task_rows=single_task_rows,
     )
     return suffix.filter((F.col("_suffix") <= max_chars) | (F.col("_from_end") == 0)).select(
         *turns.columns
@@ -45,8 +40,7 @@ def trim_history(
 def drop_oldest(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     """One step of the reaction to a context-length error: the oldest message goes, unless it is the only one."""
     ends = turns.groupBy(key).agg(F.min("turn").alias("_first"), F.max("turn").alias("_last"))
-    ends = materialize(ends, "session-ends")
-    joined = lookup_join(turns, ends, [key], "inner", salt_by=[key, "turn"])
+    joined = turns.join(ends, key)
     return joined.filter(
         (F.col("turn") != F.col("_first")) | (F.col("_first") == F.col("_last"))
     ).select(*turns.columns)

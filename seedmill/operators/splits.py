@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from seedmill import fixed
 from seedmill.functions.columns import word_count
-from seedmill.functions.ordering import SINGLE_TASK_ROWS, cut_at, with_position
+from seedmill.functions.ordering import cut_at, with_position
 
 
-def split_80_20(df: DataFrame, order: Sequence[Column], single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+def split_80_20(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """First ``n*8//10`` rows train, the rest valid. The wide rows are labelled where they are."""
     rows = df.count()
-    (train,) = cut_at(df, order, [rows * 8 // 10], rows, single_task_rows)
+    (train,) = cut_at(df, order, [rows * 8 // 10], rows)
     return df.withColumn("split", F.when(train, "train").otherwise("valid"))
 
 
@@ -25,7 +25,6 @@ def split_70_20(
     df: DataFrame,
     order: Sequence[Column],
     compat: bool = False,
-    single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """Tenths of the row count: seven train, two valid, the remaining rows test.
 
@@ -34,7 +33,7 @@ def split_70_20(
     rows = df.count()
     n = rows // 10 * 7
     m = n + rows // 10 * 2
-    train, valid = cut_at(df, order, [n, m], rows, single_task_rows)
+    train, valid = cut_at(df, order, [n, m], rows)
     if not compat:
         return df.withColumn(
             "split", F.when(train, "train").when(valid, "valid").otherwise("test")
@@ -60,11 +59,11 @@ def shuffle_key(seed: int, row_id: Column) -> Column:
 
 
 def shuffle(
-    df: DataFrame, seed: int, row_id: str, single_task_rows: int = SINGLE_TASK_ROWS
+    df: DataFrame, seed: int, row_id: str
 ) -> DataFrame:
     """A permutation that the seed fixes, as a 0-based ``position``."""
     return with_position(
-        df, [shuffle_key(seed, F.col(row_id)), F.col(row_id)], single_task_rows=single_task_rows
+        df, [shuffle_key(seed, F.col(row_id)), F.col(row_id)]
     )
 
 
@@ -72,11 +71,10 @@ def batches(
     df: DataFrame,
     size: int,
     order: Sequence[Column],
-    single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """Consecutive batches of exactly ``size`` rows; an incomplete last batch is not formed."""
     rows = df.count()
-    placed = with_position(df, order, rows=rows, single_task_rows=single_task_rows)
+    placed = with_position(df, order, rows=rows)
     return (
         placed.withColumn("batch", F.floor(F.col("position") / size))
         .withColumn("slot", F.col("position") % size)
@@ -126,7 +124,6 @@ def pack_sequences(
     length: str,
     max_batch_len: int,
     order: Sequence[Column],
-    single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """Assign samples to packs of at most ``max_batch_len`` tokens.
 
@@ -144,7 +141,6 @@ def pack_sequences(
         df.withColumn("fit", fit),
         [-F.col(length), *order],
         keys=["fit"],
-        single_task_rows=single_task_rows,
     )
     return placed.withColumn("pack", F.floor(F.col("position") / F.col("fit"))).drop("position")
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from seedmill import fixed
 from seedmill.functions.columns import base_name, exploded, file_suffix, glob_to_regex, is_seed_file
 from seedmill.functions.ordering import with_position
-from seedmill.functions.sizing import lookup_join
 from seedmill.functions.storage import materialize
 
 PATTERNS_PER_ROW = 256
@@ -169,9 +168,7 @@ def match_patterns(files: DataFrame, patterns: DataFrame) -> DataFrame:
     packed = placed.groupBy("repo", F.floor(F.col("position") / PATTERNS_PER_ROW).alias("_part")).agg(
         F.collect_list(F.struct("pattern", glob_to_regex(F.col("pattern")).alias("regex"))).alias("globs")
     )
-    joined = lookup_join(
-        places, materialize(packed, "globs"), ["repo"], "inner", salt_by=["repo", "path"]
-    )
+    joined = places.join(packed, "repo")
     hits = F.filter("globs", lambda g: F.rlike(F.col("path"), g["regex"]))
     globbed = exploded(joined, ["repo", "path"], hits, "_n", "glob").select(
         "repo", "path", F.col("glob.pattern").alias("pattern")

@@ -8,7 +8,7 @@ from seedmill.functions.storage import scratch_path
 from seedmill.operators import documents as dc
 from seedmill.operators.retrieval import retrieve_topk
 from seedmill.plans.registry import query
-from seedmill.plans.tables import table, text_table, words_sql
+from seedmill.plans.tables import table, words_sql
 from seedmill.sources import records, sinks
 
 CLEANED = r"""array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x:
@@ -18,7 +18,7 @@ CLEANED = r"""array_to_string(list_filter(list_transform(string_split(text, chr(
 
 @query(f"SELECT doc_id, {CLEANED} AS text FROM documents")
 def clean_documents(spark, folder):
-    return dc.clean_documents(text_table(spark, folder, "documents").select("doc_id", "text"))
+    return dc.clean_documents(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 def chunks_sql(size: int) -> str:
@@ -30,7 +30,7 @@ SELECT doc_id, s // {size} AS chunk, len(w[s + 1 : s + {size}]) AS n_words,
 
 @query(chunks_sql(1000))
 def chunk_by_words(spark, folder):
-    chunks = dc.chunk_by_words(text_table(spark, folder, "documents").select("doc_id", "text"))
+    chunks = dc.chunk_by_words(table(spark, folder, "documents").select("doc_id", "text"))
     return chunks.select(
         "doc_id", F.col("chunk").cast("long"), F.col("n_words").cast("long"), F.md5("content").alias("content")
     )
@@ -38,7 +38,7 @@ def chunk_by_words(spark, folder):
 
 @query(chunks_sql(100))
 def chunk_by_100_words(spark, folder):
-    chunks = dc.chunk_by_words(text_table(spark, folder, "documents").select("doc_id", "text"), 100)
+    chunks = dc.chunk_by_words(table(spark, folder, "documents").select("doc_id", "text"), 100)
     return chunks.select(
         "doc_id", F.col("chunk").cast("long"), F.col("n_words").cast("long"), F.md5("content").alias("content")
     )
@@ -47,7 +47,7 @@ def chunk_by_100_words(spark, folder):
 @query(chunks_sql(100))
 def chunk_in_sql(spark, folder):
     sql.register(spark)
-    docs = text_table(spark, folder, "documents").select("doc_id", "text")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     return spark.sql(
         """SELECT doc_id, CAST(chunk AS LONG) AS chunk, CAST(size(words_of(content)) AS LONG) AS n_words,
                   md5(content) AS content
@@ -61,11 +61,11 @@ def chunk_in_sql(spark, folder):
 def _html_sql() -> str:
     text = "html"
     for tag in dc.FURNITURE_TAGS:
-        text = f"regexp_replace({text}, '(?is)<{tag}( [^>]*)?>.*?</{tag}>', '', 'g')"
+        text = f"regexp_replace({text}, '(?is)<{tag}(\\s[^>]*)?>.*?</{tag}>', '', 'g')"
     text = f"regexp_replace({text}, '(?s)<!--.*?-->', '', 'g')"
-    text = f"regexp_replace({text}, '(?i)<h[1-6]( [^>]*)?>', chr(10) || chr(1), 'g')"
+    text = f"regexp_replace({text}, '(?i)<h[1-6](\\s[^>]*)?>', chr(10) || chr(1), 'g')"
     text = f"regexp_replace({text}, '(?i)</h[1-6]>', chr(10), 'g')"
-    text = f"regexp_replace({text}, '(?i)</?({'|'.join(dc.LINE_TAGS)})( [^>]*)?/?>', chr(10), 'g')"
+    text = f"regexp_replace({text}, '(?i)</?({'|'.join(dc.LINE_TAGS)})(\\s[^>]*)?/?>', chr(10), 'g')"
     text = f"regexp_replace({text}, '<[^>]+>', '', 'g')"
     for name, character in dc.NAMED_CHARACTERS:
         text = "replace({}, '{}', '{}')".format(text, name, character.replace("'", "''"))
@@ -86,7 +86,7 @@ SHOWN = """array_to_string(list_transform(lines, lambda x:
 
 
 def converted(spark, folder):
-    return dc.convert_documents(text_table(spark, folder, "pages"))
+    return dc.convert_documents(table(spark, folder, "pages"))
 
 
 def _shown(items):
@@ -276,7 +276,7 @@ def retrieve_topk_cosine(spark, folder):
 
 @query(_topk_sql("list_dot_product"))
 def retrieve_topk_by_blocks(spark, folder):
-    return _topk(spark, folder, "dot", query_rows=0)
+    return _topk(spark, folder, "dot", block_queries=3, block_vectors=100)
 
 
 # The index over documents: cleaned lines, headings by leading #, first copy of equal chunks kept.
@@ -306,7 +306,7 @@ index_rows AS (
 
 
 def index_of(spark, folder):
-    return dc.build_index(text_table(spark, folder, "documents").select("doc_id", "text"))
+    return dc.build_index(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 @query(
@@ -332,16 +332,21 @@ def write_index(spark, folder):
     return stored.select(F.lit(ok & (documents >= 0)).alias("ok"), "documents")
 
 
-@query("SELECT count(DISTINCT text) AS documents FROM documents")
+@query(
+    """SELECT sha256(text) AS id, coalesce(min(doc_id) FILTER (lang = 'en'), min(doc_id)) % 10 AS first FROM documents
+GROUP BY text"""
+)
 def append_index(spark, folder):
     """An index over one language, then the documents of all appended: known ids are skipped."""
     path = scratch_path(spark, "index")
     docs = dc.with_content_id(
-        table(spark, folder, "documents").select("doc_id", "lang", F.col("text").alias("content"))
+        table(spark, folder, "documents").select(
+            "doc_id", (F.col("doc_id") % 10).alias("first"), "lang", F.col("text").alias("content")
+        )
     )
-    sinks.write_index(dc.dedup_skip(docs.filter("lang = 'en'"), "doc_id"), path)
-    sinks.append_index(docs, path)
-    return dc.index_count(spark.read.parquet(path))
+    sinks.write_index(dc.dedup_skip(docs.filter("lang = 'en'"), "doc_id").drop("doc_id"), path)
+    sinks.append_index(docs, path, "doc_id")
+    return spark.read.parquet(path).select("id", "first")
 
 
 @query(
@@ -356,7 +361,7 @@ FROM products QUALIFY rank <= 3"""
 )
 def search_texts(spark, folder):
     """Every benchmark item searches all documents with the default embedder."""
-    texts = text_table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     asked = table(spark, folder, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("content")
     )

@@ -35,9 +35,12 @@ def compared(spark, folder):
     return ev.compare_to_base(candidate, base)
 
 
-@query(f"WITH {JUDGED} SELECT qna_file, avg(score) AS avg_score FROM judged WHERE side = 1 GROUP BY qna_file")
+@query(f"WITH {JUDGED} SELECT side, qna_file, avg(score) AS avg_score FROM judged GROUP BY side, qna_file")
 def avg_score_by_qna(spark, folder):
-    return ev.avg_score_by_qna(judged_pairs(spark, folder, 1))
+    def of(side: int):
+        return ev.avg_score_by_qna(judged_pairs(spark, folder, side)).withColumn("side", F.lit(side).cast("long"))
+
+    return of(0).unionByName(of(1))
 
 
 @query(COMPARED + "SELECT * FROM compared")
@@ -159,15 +162,17 @@ def question_number(spark, folder):
     return ev.question_number(pairs, [F.col("conv_id"), F.col("turn")])
 
 
-ANSWERED = """SELECT b.item_id, {response} AS response
-FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id"""
-
-
-@query(ANSWERED.format(response="sha256(d.text)"))
+@query(
+    """SELECT d.doc_id AS item_id, 'quality ' || l.quality AS response
+FROM documents d LEFT JOIN labels l USING (doc_id)"""
+)
 def questions_with_responses(spark, folder):
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("item_id"), F.sha2("text", 256).alias("response"))
-    questions = table(spark, folder, "benchmark").join(docs, "item_id", "left")
-    return ev.answered(questions, F.lit("unused")).select("item_id", "response")
+    """Every document is a question; labels are its response, where there is one."""
+    responses = table(spark, folder, "labels").select(
+        "doc_id", F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("response")
+    )
+    questions = table(spark, folder, "documents").join(responses, "doc_id", "left")
+    return ev.answered(questions, F.lit("unused")).select(F.col("doc_id").alias("item_id"), "response")
 
 
 @query("SELECT item_id, sha256(text) AS response FROM benchmark")
@@ -236,9 +241,13 @@ def round2_scores(spark, folder):
     return table(spark, folder, "events").select("event_id", round2(F.col("value") / 7).alias("rounded"))
 
 
+MODELS = ["click", "error", "purchase", "signup", "view"]
+
+
 @query(
-    """SELECT user_id AS question, arg_max(props, event_id) FILTER (event_type = 'click') AS click,
-  arg_max(props, event_id) FILTER (event_type = 'view') AS view FROM events GROUP BY user_id"""
+    "SELECT user_id AS question, "
+    + ", ".join(f"arg_max(props, event_id) FILTER (event_type = '{m}') AS {m}" for m in MODELS)
+    + " FROM events GROUP BY user_id"
 )
 def answers_by_model(spark, folder):
     answers = table(spark, folder, "events").select(
@@ -247,7 +256,7 @@ def answers_by_model(spark, folder):
         F.col("props").alias("answer"),
         "event_id",
     )
-    return ev.answers_by_model(answers, ["click", "view"], "event_id")
+    return ev.answers_by_model(answers, MODELS, "event_id")
 
 
 @query(

@@ -8,13 +8,15 @@ from seedmill.operators import generation as gn
 from seedmill.operators import taxonomy as tx
 from seedmill.operators.documents import chunk_by_words
 from seedmill.plans.registry import query
-from seedmill.plans.tables import table, text_table, words_sql
+from seedmill.plans.tables import table, words_sql
 from seedmill.plans.taxonomy import EXPLODED, parsed
 from seedmill.sources import sinks
 
 REQUESTS = f"""WITH seeds AS ({EXPLODED}),
 requests AS (
-  SELECT s.*, r.repeat::INT AS repeat, md5(path || '|' || question || '|' || r.repeat) AS request_id
+  SELECT s.*, r.repeat::INT AS repeat,
+         md5(length(path) || ':' || path || '|' || length(example::VARCHAR) || ':' || example || '|1:0|'
+             || length(r.repeat::VARCHAR) || ':' || r.repeat) AS request_id
   FROM seeds s CROSS JOIN (SELECT unnest(range(1, 31)) AS repeat) r)
 """
 
@@ -68,7 +70,8 @@ chunks AS (SELECT leaf, doc_id || '-' || unnest(range(0, (len(w) + 999) // 1000)
 items AS (
   SELECT leaf, 'chunk' AS origin, item FROM chunks
   UNION ALL SELECT leaf, 'pair', i::VARCHAR FROM (SELECT DISTINCT lang AS leaf FROM documents), range(0, 2) t(i))
-SELECT leaf, origin, md5(leaf || '|' || origin || '|' || item || '|' || repeat) AS request_id, repeat::INT AS repeat,
+SELECT leaf, origin, md5(length(leaf) || ':' || leaf || '|' || length(origin) || ':' || origin || '|'
+         || length(item) || ':' || item || '|1:' || repeat) AS request_id, repeat::INT AS repeat,
        CASE origin WHEN 'pair' THEN 1 ELSE 2 END AS examples
 FROM items CROSS JOIN (SELECT unnest(range(1, 4)) AS repeat)"""
 
@@ -76,7 +79,7 @@ FROM items CROSS JOIN (SELECT unnest(range(1, 4)) AS repeat)"""
 @query(LEAF_CHUNKS)
 def knowledge_requests(spark, folder):
     """Leaves are languages with two seed pairs each; every document chunk becomes requests of its leaf."""
-    docs = text_table(spark, folder, "documents").select("doc_id", F.col("lang").alias("leaf"), "text")
+    docs = table(spark, folder, "documents").select("doc_id", F.col("lang").alias("leaf"), "text")
     chunks = chunk_by_words(docs).select(
         "leaf", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk").cast("string")).alias("chunk_id"), "content"
     )
@@ -126,7 +129,7 @@ def write_run(spark, folder):
 SELECT doc_id, md5(CASE WHEN len(w) > 200 THEN array_to_string(w[1:200], ' ') ELSE text END) AS text FROM split"""
 )
 def limit_tokens(spark, folder):
-    docs = text_table(spark, folder, "documents").select("doc_id", "text")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     return gn.limit_tokens(docs, 200, "text").withColumn("text", F.md5("text"))
 
 

@@ -3,8 +3,7 @@
 from pyspark.sql import functions as F
 
 from seedmill import fixed
-from seedmill.functions.sizing import lookup_join
-from seedmill.functions.storage import materialize, scratch_path
+from seedmill.functions.storage import scratch_path
 from seedmill.operators import messages as ms
 from seedmill.operators import sessions as ss
 from seedmill.operators.retrieval import augmented_context, retrieve_topk
@@ -26,10 +25,10 @@ def _shown(messages):
 SHOWN = "string_agg(role || ': ' || text, chr(10) ORDER BY turn)"
 
 
-@query(f"SELECT conv_id, 0::BIGINT AS part, count(*) AS n, {SHOWN} AS shown FROM conversations GROUP BY conv_id")
+@query(f"SELECT conv_id, count(*) AS n, {SHOWN} AS shown FROM conversations GROUP BY conv_id")
 def collect_messages(spark, folder):
     return samples(spark, folder).select(
-        "conv_id", "part", F.size("messages").cast("long").alias("n"), _shown(F.col("messages")).alias("shown")
+        "conv_id", F.size("messages").cast("long").alias("n"), _shown(F.col("messages")).alias("shown")
     )
 
 
@@ -103,8 +102,11 @@ def pretraining_to_legacy(spark, folder):
 
 
 def mixed_samples(spark, folder):
-    first = ms.first_messages(table(spark, folder, "conversations"))
-    standard = first.select((F.col("conv_id") * -1 - 1).alias("sample"), "messages")
+    return _mixed(spark, folder, ms.first_messages(table(spark, folder, "conversations")))
+
+
+def _mixed(spark, folder, conversations):
+    standard = conversations.select((F.col("conv_id") * -1 - 1).alias("sample"), "messages")
     return standard.unionByName(pretraining_samples(spark, folder))
 
 
@@ -129,7 +131,7 @@ def to_legacy_by_first_record(spark, folder):
   (SELECT count(DISTINCT conv_id) FROM conversations) AS standard_rows"""
 )
 def dataset_kind(spark, folder):
-    mixed = mixed_samples(spark, folder)
+    mixed = _mixed(spark, folder, samples(spark, folder))
     first = F.min_by(ms.has_pretraining(F.col("messages")), F.col("sample"))
     return mixed.agg(
         F.lit("messages" in mixed.columns).alias("is_messages"),
@@ -214,15 +216,14 @@ def merge_system_into_user(spark, folder):
 
 
 @query(
-    r"""SELECT doc_id, regexp_replace(split_part(text, chr(10), 1), '^[ \t\r\n\f]+|[ \t\r\n\f]+$', '', 'g')
+    r"""SELECT doc_id, regexp_replace(text, '^[ \t\r\n\f]+|[ \t\r\n\f]+$', '', 'g')
   || chr(10) || 'A. ' || lang || chr(10) || 'B. ' || source || chr(10) || 'C. ' || n_chars
   || chr(10) || 'D. ' || chr(10) || 'Answer:' AS prompt FROM documents"""
 )
 def render_multiple_choice(spark, folder):
     choices = F.array("lang", "source", F.col("n_chars").cast("string"))
-    question = F.substring_index("text", "\n", 1)
     return table(spark, folder, "documents").select(
-        "doc_id", ms.render_multiple_choice(question, choices).alias("prompt")
+        "doc_id", ms.render_multiple_choice(F.col("text"), choices).alias("prompt")
     )
 
 
@@ -254,8 +255,8 @@ def read_inputs_targets(spark, folder):
 
 
 @query(
-    f"""SELECT printf('%d', conv_id) AS session_id, 0::BIGINT AS part, count(*) AS n, {SHOWN} AS shown
-FROM conversations GROUP BY conv_id"""
+    """SELECT printf('%d', conv_id) AS session_id,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, text AS content FROM conversations"""
 )
 def write_session(spark, folder):
     path = scratch_path(spark, "sessions")
@@ -263,11 +264,7 @@ def write_session(spark, folder):
         F.col("conv_id").cast("string").alias("session_id"), "turn", "role", F.col("text").alias("content")
     )
     sinks.write_session(turns, path)
-    stored = spark.read.schema("session_id string, part long, messages string").json(path)
-    messages = F.from_json("messages", "array<struct<content: string, role: string>>")
-    return stored.withColumn("m", messages).select(
-        "session_id", "part", F.size("m").cast("long").alias("n"), _shown(F.col("m")).alias("shown")
-    )
+    return records.read_session(spark, path)
 
 
 @query(
@@ -344,6 +341,5 @@ def augment_sessions(spark, folder):
     topics = turns.filter("role = 'user'").select(
         "conv_id", "turn", ((F.col("conv_id") + F.col("turn")) % 10).cast("int").alias("query_id")
     )
-    by_topic = materialize(topic_context(spark, folder), "context")
-    context = lookup_join(topics, by_topic, ["query_id"], "inner").drop("query_id")
+    context = topics.join(topic_context(spark, folder), "query_id").drop("query_id")
     return ss.augment_sessions(turns, context)

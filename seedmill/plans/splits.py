@@ -6,7 +6,7 @@ from seedmill.functions.columns import words
 from seedmill.functions.storage import materialize, scratch_path
 from seedmill.operators import splits as sp
 from seedmill.plans.registry import query
-from seedmill.plans.tables import table, text_table, words_sql
+from seedmill.plans.tables import table, words_sql
 from seedmill.sources import sinks
 
 def by(*names):
@@ -86,7 +86,7 @@ longest AS (SELECT batch, max(len(tokens)) AS longest FROM tokens GROUP BY batch
 
 def token_batches(spark, folder):
     """Batches of four documents; the tokens are word lengths."""
-    docs = text_table(spark, folder, "documents").select("doc_id", "text")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     placed = sp.batches(docs.select("doc_id"), 4, by("doc_id"))
     tokens = F.transform(words(F.col("text")), lambda w: F.length(w))
     return docs.join(placed, "doc_id").select("doc_id", "batch", tokens.alias("tokens"))
@@ -126,7 +126,7 @@ LENGTHS = f"WITH lengths AS (SELECT doc_id, len({words_sql('text')}) AS n_words
 
 
 def lengths(spark, folder):
-    return text_table(spark, folder, "documents").select("doc_id", sp.token_length(F.col("text")).cast("long").alias("n_words"))
+    return table(spark, folder, "documents").select("doc_id", sp.token_length(F.col("text")).cast("long").alias("n_words"))
 
 
 @query(LENGTHS + "SELECT doc_id, n_words FROM lengths WHERE n_words <= 4096")
@@ -137,7 +137,7 @@ def drop_long(spark, folder):
 PACKED = (
     LENGTHS
     + """, fitted AS (
-  SELECT doc_id, n_words, 20000 // greatest(n_words, 1) AS fit FROM lengths WHERE n_words <= 4096),
+  SELECT doc_id, n_words, 32768 // greatest(n_words, 1) AS fit FROM lengths),
 packed AS (
   SELECT *, (row_number() OVER (PARTITION BY fit ORDER BY n_words DESC, doc_id) - 1) // fit AS pack FROM fitted)
 """
@@ -146,8 +146,7 @@ packed AS (
 
 def packed(spark, folder):
     """Packing reads the lengths several times, so the texts are counted once and the lengths stored."""
-    short = sp.drop_long(materialize(lengths(spark, folder), "lengths"), F.col("n_words"))
-    return sp.pack_sequences(short, "n_words", 20_000, by("doc_id"))
+    return sp.pack_sequences(materialize(lengths(spark, folder), "lengths"), "n_words", 32_768, by("doc_id"))
 
 
 @query(PACKED + "SELECT doc_id, n_words, fit, pack FROM packed")

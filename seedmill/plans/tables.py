@@ -3,21 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedmill.functions.sizing import spread
-
-
-ROW_IDS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table whose rows take much work each, on all cores even when it is one small file."""
-    return spread(table(spark, folder, name), *ROW_IDS[name])
-
-
 def qna_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """User turns with the assistant turn that follows. The join key is one turn, so it is even."""
     turns = table(spark, folder, "conversations")

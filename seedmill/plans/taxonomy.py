@@ -6,7 +6,7 @@ from seedmill.functions.columns import is_seed_file, seed_name_warning
 from seedmill.functions.storage import materialize
 from seedmill.operators import taxonomy as tx
 from seedmill.plans.registry import query
-from seedmill.plans.tables import PAIRS, qna_pairs, table, text_table
+from seedmill.plans.tables import PAIRS, qna_pairs, table
 from seedmill.sources.taxonomy import parse_seed_files
 
 # Four conversations make a seed file. Every fifth one is knowledge with a document
@@ -30,15 +30,13 @@ def seed_path(number):
 def seed_texts(spark, folder):
     """``(path, content)``: the YAML text of each seed file (JSON is YAML).
 
-    A file takes the pairs of four conversations. A conversation has at most
-    one pair per turn and a file continues in a further one after 1000 turns,
-    so no file grows without bound.
+    A file takes all pairs of four conversations.
     """
     pairs = qna_pairs(spark, folder).withColumn("f", F.floor(F.col("conv_id") / 4))
-    grouped = pairs.groupBy("f", F.floor(F.col("turn") / 1000).alias("part")).agg(
+    grouped = pairs.groupBy("f").agg(
         F.array_sort(F.collect_list(F.struct("conv_id", "turn", "question", "answer"))).alias("pairs")
     )
-    f = F.col("f") + F.col("part") * 1_000_000_000
+    f = F.col("f")
     knowledge = f % 5 == 0
     flat = F.transform("pairs", lambda p: F.struct(p["question"].alias("question"), p["answer"].alias("answer")))
     nested = F.transform(
@@ -209,7 +207,7 @@ def paths(spark, folder):
     def pick(names, count):
         return F.element_at(F.array(*[F.lit(n) for n in names]), (d % count + 1).cast("int"))
 
-    return text_table(spark, folder, "documents").select(
+    return table(spark, folder, "documents").select(
         "doc_id",
         "text",
         "lang",
@@ -267,9 +265,9 @@ def taxonomy_diff(spark, folder):
     return tx.taxonomy_diff(head, base)
 
 
-@query(f"WITH {PATHS} SELECT path, 'added' AS state FROM seed_paths WHERE doc_id % 13 <> 0")
+@query(f"WITH {PATHS} SELECT path, 'added' AS state FROM seed_paths")
 def taxonomy_diff_from_empty(spark, folder):
-    return tx.taxonomy_diff(snapshots(spark, folder)[1])
+    return tx.taxonomy_diff(paths(spark, folder).select("path", F.col("text").alias("content")))
 
 
 @query(DIFF + "SELECT path FROM diff UNION SELECT path FROM seed_paths WHERE lang <> 'en'")

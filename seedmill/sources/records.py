@@ -115,9 +115,19 @@ def read_job_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_session(spark: SparkSession, path: str) -> DataFrame:
-    """Saved sessions (one JSON array of messages per file) as rows ``(session_id, turn, role, content)``."""
-    whole = spark.read.text(path, wholetext=True).select(
-        file_stem(F.col("_metadata.file_path")).alias("session_id"),
+    """Saved sessions (one JSON array of messages per file) as rows ``(session_id, turn, role, content)``.
+
+    A session is named by its folder ``session_id=...``, as written by
+    ``write_session``, or by its file.
+    """
+    def decoded(name):
+        return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+    # The path is given as a URI, and the name of a partition folder is escaped in it once more.
+    place = F.col("_metadata.file_path")
+    named = decoded(decoded(F.regexp_extract(place, "session_id=([^/]*)/[^/]*$", 1)))
+    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
+        F.when(F.contains(place, F.lit("session_id=")), named).otherwise(file_stem(place)).alias("session_id"),
         F.from_json("value", T.ArrayType(schemas.MESSAGE)).alias("messages"),
     )
     return whole.select("session_id", F.posexplode("messages").alias("turn", "m")).select(

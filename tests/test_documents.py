@@ -145,7 +145,7 @@ def best(queries, index, k, metric):
 
 
 @pytest.mark.parametrize("metric", ["dot", "cosine"])
-@pytest.mark.parametrize("limits", [{}, {"query_rows": 0, "block_queries": 7, "block_vectors": 50}])
+@pytest.mark.parametrize("limits", [{}, {"block_queries": 7, "block_vectors": 50}])
 def test_topk_equals_brute_force(spark, metric, limits):
     """A third of the index are copies of one vector, so ties reach far beyond k."""
     random = np.random.default_rng(5)

@@ -25,12 +25,11 @@ def lines(ranked, key):
     return {k: [r["line"] for r in got if r["change"] == k] for k in {r["change"] for r in got}}
 
 
-@pytest.mark.parametrize("limits", [{}, {"single_task_rows": 2}])
-def test_skill_report(spark, limits):
+def test_skill_report(spark):
     compared = ev.compare_to_base(
         ev.avg_score_by_qna(pairs(spark, True)), ev.avg_score_by_qna(pairs(spark, False))
     )
-    ranked = ev.rank_improvements(compared, [F.col("qna_file")], **limits)
+    ranked = ev.rank_improvements(compared, [F.col("qna_file")])
     assert lines(ranked, "qna_file") == {
         "improvement": [
             "1. category1/qna.yaml: 0.1 -> 0.2 (+0.1)",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seedmill.functions.slots import judge_column
 from seedmill.functions.storage import materialize, shared_folder
 from seedmill.operators.catalog import dataset_listing, datasets_by_run
+from seedmill.operators.generation import generate, seed_requests
 from seedmill.sources import files as fl
 from seedmill.sources import records, sinks
 
@@ -168,9 +169,22 @@ def test_sessions(spark, tmp_path):
     assert [tuple(r) for r in turns.orderBy("turn").collect()] == [
         ("chat", 0, "user", "hi"), ("chat", 1, "assistant", "ho"),
     ]
-    sinks.write_session(turns, str(tmp_path / "out"))
-    stored = spark.read.json(str(tmp_path / "out")).first()
-    assert json.loads(stored["messages"]) == [{"content": "hi", "role": "user"}, {"content": "ho", "role": "assistant"}]
+    odd = turns.unionByName(spark.createDataFrame([("a/b c+d%é", 0, "user", "line\nbreak")], turns.schema))
+    sinks.write_session(odd, str(tmp_path / "out"))
+    back = records.read_session(spark, str(tmp_path / "out"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, odd.collect()))
+
+
+def test_parts_name_one_request_each(spark):
+    rows = [("p", 0, 0, "same", "x"), ("p", 0, 1, "same", "y"), ("p|0", 0, 1, "same", "z")]
+    seeds = spark.createDataFrame(rows, "path string, example int, pair int, question string, answer string")
+    requests = seed_requests(seeds, 2)
+    assert requests.select("request_id").distinct().count() == 6
+    columns = "request_id string, question string, answer string, path string"
+    assert generate(requests, schema=columns).count() == 6
+    twice = requests.union(requests).withColumn("request_id", F.lit("one"))
+    with pytest.raises(Exception, match="more than one request"):
+        generate(twice, schema=columns).collect()
 
 
 def test_choice_tasks(spark, tmp_path):
@@ -197,7 +211,7 @@ def test_results(spark, tmp_path):
         assert rows["q1"]["response"] == 'say "x", y' and rows["q2"]["response"] is None
         assert int(rows["q1"]["scores"]) == 5 and rows["q1"]["model_name"] == "model"
     assert spark.read.csv(written[2] + "/summary", header=True).count() == 5
-    with pytest.raises(ValueError, match="not a valid output format"):
+    with pytest.raises(ValueError, match="choose from"):
         sinks.write_results(df, ["pdf"], str(tmp_path), "model")
 
 
@@ -238,8 +252,14 @@ def test_index_is_rebuilt_and_appended(spark, tmp_path):
     docs = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, content string")
     assert sinks.write_index(docs, uri) == (True, 2)
     assert sinks.write_index(docs.limit(1), uri) == (True, 1)
-    more = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z"), ("c", "z")], "id string, content string")
-    assert sinks.append_index(more, uri) == 3
+    more = spark.createDataFrame(
+        [("a", "x", 1), ("b", "y", 2), ("c", "later", 4), ("c", "first", 3)], "id string, content string, n int"
+    )
+    assert sinks.append_index(more, uri, "n") == 3
+    assert spark.read.parquet(uri).filter("id = 'c'").first()["content"] == "first"
+    kept = docs.withColumn("id", F.raise_error(F.lit("no")).cast("string"))
+    assert sinks.write_index(kept, uri) == (False, -1)
+    assert spark.read.parquet(uri).count() == 3
     broken = docs.withColumn("id", F.raise_error(F.lit("no")).cast("string"))
     assert sinks.write_index(broken, str(tmp_path / "broken")) == (False, -1)
 

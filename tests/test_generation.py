@@ -8,8 +8,9 @@ from seedmill.operators import generation as gn
 
 @pytest.fixture
 def seeds(spark):
-    data = [(f"knowledge/leaf{i % 2}/qna.yaml" if i < 4 else "compositional_skills/a/qna.yaml", f"q{i}", f"a{i}") for i in range(6)]
-    return spark.createDataFrame(data, "path string, question string, answer string")
+    paths = [f"knowledge/leaf{i % 2}/qna.yaml" if i < 4 else "compositional_skills/a/qna.yaml" for i in range(6)]
+    data = [(path, i, 0, f"q{i}", f"a{i}") for i, path in enumerate(paths)]
+    return spark.createDataFrame(data, "path string, example int, pair int, question string, answer string")
 
 
 def test_scale_factor(seeds):

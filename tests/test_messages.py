@@ -164,10 +164,9 @@ def test_sessions_in_parts_lose_nothing(turns, rows):
     assert rows(back) == rows(turns.withColumnRenamed("text", "content"))
 
 
-@pytest.mark.parametrize("limits", [{}, {"single_task_rows": 2}])
 @pytest.mark.parametrize("limit,kept", [(7, [2, 3, 4]), (6, [3, 4]), (4, [4]), (0, [4]), (14, [0, 1, 2, 3, 4])])
-def test_trim_history(turns, limits, limit, kept):
-    got = ss.trim_history(turns, limit, **limits)
+def test_trim_history(turns, limit, kept):
+    got = ss.trim_history(turns, limit)
     assert sorted(r["turn"] for r in got.filter("conv_id = 1").collect()) == kept
     assert got.filter("conv_id = 2").count() == 1
 

@@ -5,7 +5,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seedmill.functions.ordering import cut_at, with_position
-from seedmill.functions.sizing import lookup_join, measured_bytes
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +18,7 @@ def skewed(spark):
     )
 
 
-SMALL = {"single_task_rows": 100, "rows_per_bucket": 400}
+SMALL = {"rows_per_bucket": 400}
 
 
 @pytest.mark.parametrize("order", ["s", "v", "-v"])
@@ -54,20 +53,3 @@ def test_cut_labels_exactly(skewed, limits):
     before, none, every = cut_at(skewed, [F.col("s")], [1234, 0, 6000], **limits)
     counted = skewed.agg(F.count_if(before), F.count_if(none), F.count_if(every)).first()
     assert tuple(counted) == (1234, 0, 6000)
-
-
-@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-@pytest.mark.parametrize("max_bytes", [0, 1 << 20])
-def test_lookup_join_keeps_all_rows(spark, skewed, how, max_bytes):
-    lookup = spark.range(30).select(F.col("id").alias("k"), F.concat(F.lit("n"), "id").alias("name"))
-    got = lookup_join(skewed, lookup, ["k"], how, salt_by=["s"], max_bytes=max_bytes)
-    want = skewed.join(lookup, "k", how)
-    assert got.count() == want.count()
-    assert got.exceptAll(want.select(*got.columns)).isEmpty()
-
-
-def test_measured_bytes_follows_the_data(spark):
-    small = spark.range(10).select(F.lit("ab").alias("x"), F.array(F.lit(1)).alias("y"))
-    large = spark.range(10).select(F.repeat(F.lit("ab"), 1000).alias("x"), F.array(F.lit(1)).alias("y"))
-    assert measured_bytes(large) - measured_bytes(small) == 10 * (2000 - 2)
-    assert measured_bytes(small.limit(0)) == 0

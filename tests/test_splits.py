@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from seedmill.operators import splits as sp
 
-BUCKETS = {"single_task_rows": 3}
 
 
 def numbers(spark, n):
@@ -25,10 +24,9 @@ def sides(df):
     }
 
 
-@pytest.mark.parametrize("limits", [{}, BUCKETS])
 @pytest.mark.parametrize("n", [0, 1, 9, 10, 37])
-def test_80_20(spark, n, limits):
-    got = sides(sp.split_80_20(numbers(spark, n), by(), **limits))
+def test_80_20(spark, n):
+    got = sides(sp.split_80_20(numbers(spark, n), by()))
     every, cut = list(range(1, n + 1)), n * 8 // 10
     assert got == {"train": every[:cut], "valid": every[cut:], "test": []}
 
@@ -59,16 +57,15 @@ def test_empty_split_is_an_error(spark):
 def test_shuffle_is_a_fixed_permutation(spark):
     df = numbers(spark, 60)
 
-    def order(seed, **limits):
-        return [r["n"] for r in sp.shuffle(df, seed, "n", **limits).orderBy("position").collect()]
+    def order(seed):
+        return [r["n"] for r in sp.shuffle(df, seed, "n").orderBy("position").collect()]
 
     assert sorted(order(1)) == list(range(1, 61))
-    assert order(1) == order(1, **BUCKETS) and order(1) != order(2)
+    assert order(1) == order(1) and order(1) != order(2)
 
 
-@pytest.mark.parametrize("limits", [{}, BUCKETS])
-def test_incomplete_batch_is_not_formed(spark, limits):
-    got = sp.batches(numbers(spark, 23), 5, by(), **limits)
+def test_incomplete_batch_is_not_formed(spark):
+    got = sp.batches(numbers(spark, 23), 5, by())
     assert got.count() == 20
     assert [r["count"] for r in got.groupBy("batch").count().collect()] == [5] * 4
     assert sorted(r["n"] for r in got.filter("batch = 1").collect()) == [6, 7, 8, 9, 10]
@@ -91,7 +88,7 @@ def test_long_rows(spark):
 @given(lengths=st.lists(st.integers(0, 100), min_size=1, max_size=80))
 def test_packs_stay_under_the_limit(spark, lengths):
     df = spark.createDataFrame(list(enumerate(lengths)), "id int, n int")
-    packed = sp.pack_sequences(df, "n", 100, by("id"), **BUCKETS)
+    packed = sp.pack_sequences(df, "n", 100, by("id"))
     rows = packed.collect()
     assert sorted(r["id"] for r in rows) == list(range(len(lengths)))
     packs = {}
