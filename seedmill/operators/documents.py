@@ -119,13 +119,13 @@ def clean_documents(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(text, clean_text(F.col(text)))
 
 
-def _windows(items: Column, size: int) -> Column:
+def _windows(items: Column, size: Column) -> Column:
     """An array column cut into consecutive arrays of at most ``size``; none for an empty array.
 
-    ``items`` should be a stored column: inside the lambda an expression would
-    be worked out again for every window.
+    Both should be stored columns: inside the lambda an expression would be
+    worked out again for every window.
     """
-    starts = F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(size))
+    starts = F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), size)
     return F.when(F.size(items) == 0, F.array().cast("array<array<string>>")).otherwise(
         F.transform(starts, lambda start: F.slice(items, start + 1, size))
     )
@@ -135,7 +135,7 @@ def chunk_by_words(df: DataFrame, max_words: int = fixed.CHUNK_WORDS, text: str
     """Consecutive chunks of at most ``max_words`` words covering the whole text."""
     keep = [c for c in df.columns if c != text]
     split = df.select(*keep, words(F.col(text)).alias("_all"))
-    cut = exploded(split, keep, _windows(F.col("_all"), max_words), "chunk", "_words")
+    cut = exploded(split, keep, _windows(F.col("_all"), F.lit(max_words)), "chunk", "_words")
     return cut.select(
         *keep,
         "chunk",
@@ -190,6 +190,8 @@ def split_documents(
 ) -> DataFrame:
     """Chunks of at most ``max_tokens`` tokens that never cross a heading and carry it in front.
 
+    The limit holds for heading and body together (a heading that fills it leaves
+    one token for the body). A heading without text is a chunk of its own.
     ``tokenize`` counts tokens; the default takes words, which is a different
     unit from a model's tokens. A document without content is an error, or is
     left out for ``on_error='skip'``.
@@ -201,20 +203,24 @@ def split_documents(
         missing = F.raise_error(F.lit("Missing content for document")).cast(df.schema[items].dataType)
         source = df.withColumn(items, F.when(F.col(items).isNull(), missing).otherwise(F.col(items)))
     sections = exploded(with_sections(source, items), keep, F.col("sections"), "section", "_s")
-    tokens = sections.withColumn("_all", tokenize(F.col("_s.text")))
-    chunks = exploded(
-        tokens, [*keep, "section", "_s"], _windows(F.col("_all"), max_tokens), "chunk", "_tokens"
-    )
     heading = F.array_join("_s.headings", "\n")
+    tokens = sections.withColumn("_all", tokenize(F.col("_s.text"))).withColumn("_head", F.size(tokenize(heading)))
+    tokens = tokens.withColumn("_room", F.greatest(F.lit(1), F.lit(max_tokens) - F.col("_head")))
+    alone = (F.size("_all") == 0) & (F.col("_head") > 0)
+    parts = F.when(alone, F.array(F.col("_all"))).otherwise(_windows(F.col("_all"), F.col("_room")))
+    chunks = exploded(tokens, [*keep, "section", "_s", "_head"], parts, "chunk", "_tokens")
     body = F.array_join("_tokens", " ")
     return chunks.select(
         *keep,
         "section",
         "chunk",
-        F.when(heading == "", body).otherwise(F.concat(heading, F.lit("\n"), body)).alias("content"),
+        F.when(heading == "", body)
+        .when(body == "", heading)
+        .otherwise(F.concat(heading, F.lit("\n"), body))
+        .alias("content"),
         F.col("_s.headings").alias("headings"),
         F.col("_s.captions").alias("captions"),
-        F.size("_tokens").alias("n_tokens"),
+        (F.col("_head") + F.size("_tokens")).alias("n_tokens"),
     )
 
 

@@ -145,6 +145,32 @@ def parse_converted_docs(spark, folder):
         )
     )
     docs = rows.select(name.alias("file_path"), content.alias("content"))
+    return _documents_shown(docs)
+
+
+@query(
+    CONVERTED
+    + f"""SELECT printf('page-%d.html', page_id) AS filename, (10000000000000000000 + page_id)::VARCHAR AS binary_hash,
+  {SHOWN} AS shown FROM converted"""
+)
+def read_converted_docs(spark, folder):
+    """The same documents as files, one each, found by the reader."""
+    rows = converted(spark, folder)
+    number = F.col("page_id").cast("decimal(20,0)") + F.lit("10000000000000000000").cast("decimal(20,0)")
+    files = rows.select(
+        F.lit("Document").alias("schema_name"),
+        F.struct(
+            number.cast("decimal(20,0)").alias("binary_hash"),
+            F.format_string("page-%d.html", F.col("page_id")).alias("filename"),
+        ).alias("origin"),
+        F.col("items").alias("texts"),
+    )
+    path = scratch_path(spark, "converted-docs")
+    files.write.option("maxRecordsPerFile", 1).json(path)
+    return _documents_shown(records.read_converted_docs(spark, path))
+
+
+def _documents_shown(docs):
     return records.parse_converted_docs(docs).select(
         "origin.filename", F.col("origin.binary_hash").cast("string").alias("binary_hash"), _shown(F.col("items")).alias("shown")
     )
@@ -165,11 +191,14 @@ sections AS (
   SELECT page_id, section, coalesce(max(replace(line, chr(1), '')) FILTER (WHERE is_head), '') AS heading,
          coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT is_head), '') AS body
   FROM numbered GROUP BY page_id, section),
-tokens AS (SELECT *, {words_sql('body')} AS w FROM sections),
-starts AS (SELECT *, unnest(range(0, len(w), 150)) AS s FROM tokens),
+tokens AS (
+  SELECT *, len(h) AS head, greatest(1, 150 - len(h)) AS room FROM (
+    SELECT *, {words_sql('body')} AS w, {words_sql('heading')} AS h FROM sections)),
+starts AS (
+  SELECT *, unnest(CASE WHEN len(w) = 0 AND head > 0 THEN [0] ELSE range(0, len(w), room) END) AS s FROM tokens),
 chunks AS (
-  SELECT page_id, section::INT AS section, (s // 150)::INT AS chunk, len(w[s + 1 : s + 150])::INT AS n_tokens, heading,
-         CASE WHEN heading = '' THEN '' ELSE heading || chr(10) END || array_to_string(w[s + 1 : s + 150], ' ') AS content
+  SELECT page_id, section::INT AS section, (s // room)::INT AS chunk, (head + len(w[s + 1 : s + room]))::INT AS n_tokens, heading,
+         concat_ws(chr(10), nullif(heading, ''), nullif(array_to_string(w[s + 1 : s + room], ' '), '')) AS content
   FROM starts)
 """
 )
@@ -293,11 +322,14 @@ sections AS (
   SELECT doc_id, section, coalesce(max(replace(line, chr(1), '')) FILTER (WHERE is_head), '') AS heading,
          coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT is_head), '') AS body
   FROM numbered GROUP BY doc_id, section),
-tokens AS (SELECT *, {words_sql('body')} AS w FROM sections),
-starts AS (SELECT *, unnest(range(0, len(w), 150)) AS s FROM tokens),
+tokens AS (
+  SELECT *, len(h) AS head, greatest(1, 150 - len(h)) AS room FROM (
+    SELECT *, {words_sql('body')} AS w, {words_sql('heading')} AS h FROM sections)),
+starts AS (
+  SELECT *, unnest(CASE WHEN len(w) = 0 AND head > 0 THEN [0] ELSE range(0, len(w), room) END) AS s FROM tokens),
 chunks AS (
-  SELECT doc_id, section, s // 150 AS chunk,
-         CASE WHEN heading = '' THEN '' ELSE heading || chr(10) END || array_to_string(w[s + 1 : s + 150], ' ') AS content
+  SELECT doc_id, section, s // room AS chunk,
+         concat_ws(chr(10), nullif(heading, ''), nullif(array_to_string(w[s + 1 : s + room], ' '), '')) AS content
   FROM starts),
 index_rows AS (
   SELECT sha256(content) AS id, first(content ORDER BY doc_id, section, chunk) AS content,

@@ -111,7 +111,7 @@ def append_job_status(spark, folder):
 SELECT uuid, pid, type, status, {RUNTIME} AS runtime FROM timed"""
 )
 def read_job_registry(spark, folder):
-    """Registries as JSON objects keyed by job id, one object per day of job starts and part of 500 jobs."""
+    """Registry files, each one JSON object keyed by job id, of 500 jobs."""
     entry = F.struct(
         "pid",
         "type",
@@ -128,7 +128,7 @@ def read_job_registry(spark, folder):
         .select(F.to_json("jobs").alias("value"))
     )
     path = scratch_path(spark, "registry")
-    registry.write.text(path)
-    stored = records.parse_job_registry(spark.read.text(path))
+    registry.write.option("maxRecordsPerFile", 1).text(path)
+    stored = records.read_job_registry(spark, path)
     runtime = runtime_text(elapsed_seconds(F.col("start_time"), F.coalesce(F.col("end_time"), now())))
     return stored.select("uuid", "pid", "type", "status", runtime.alias("runtime"))

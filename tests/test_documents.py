@@ -84,9 +84,11 @@ def test_chunks_keep_headings_and_captions(spark):
     got = dc.split_documents(df, max_tokens=3).orderBy("section", "chunk").collect()
     assert [(r["content"], r["headings"], r["captions"], r["n_tokens"]) for r in got] == [
         ("before", [], [], 1),
-        ("H\na b c", ["H"], ["Fig 1"], 3),
-        ("H\nd e", ["H"], ["Fig 1"], 2),
-        ("T\nz", ["T"], [], 1),
+        ("H\na b", ["H"], ["Fig 1"], 3),
+        ("H\nc d", ["H"], ["Fig 1"], 3),
+        ("H\ne", ["H"], ["Fig 1"], 2),
+        ("Empty", ["Empty"], [], 1),
+        ("T\nz", ["T"], [], 2),
     ]
 
 
