@@ -41,6 +41,7 @@ BLOCK_SHINGLES = 32_768
 BITMAP_BITS = 24
 PIVOTS = 128
 GROUP_MEMBERS = 256
+REMEMBERED_TEXTS = 1 << 18
 FOLD = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -289,7 +290,7 @@ def sign(docs: DataFrame, frequent: np.ndarray, weights: np.ndarray, rare: float
                         sets.append(None)
                         set_weights.append(None)
                         continue
-                    if len(had) < 1_000_000:
+                    if len(had) < REMEMBERED_TEXTS:
                         had.add(digest)
                     part = slice(bounds[k], bounds[k + 1])
                     bands.append(keys[k] if n[k] else [])
@@ -323,6 +324,7 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     node of a pair, cut into parts of bounded size.
     """
     size = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP_MEMBERS).cast("int").alias("parts"))
+    size = materialize(size, "group-sizes")
     part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
     members = pairs.join(size, "a").select("a", part.alias("part"), F.col("b").alias("row"), F.lit(False).alias("first"))
     firsts = size.select(
@@ -356,7 +358,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn, each written to the shared folder,
     until the edges no longer change; they halve the distances, so few are needed.
+    What is joined to all edges of a node is stored first: a join of two stored
+    tables is one whose hot keys Spark can split.
     """
+
     def both(e: DataFrame) -> DataFrame:
         return e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b"), F.col("a")))
 
@@ -369,12 +374,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # Large star: neighbours above a node go to the least node around it.
         around = both(now)
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = materialize(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = around.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = materialize(large.filter("a <> b").distinct(), "edges")
         # Small star: each node has only smaller neighbours now; they and it go to the least of them.
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         small = small.union(least.select("u", "m")).filter("a <> b").distinct()
         now = materialize(small, "edges")
@@ -489,7 +494,7 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     """doc_id, class_id (the least doc_id of the class) and class_rows of every row of ``docs``."""
     placed = materialize(classes(docs, threshold).select("doc_id", "component"), "classes")
     named = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows"))
-    return placed.join(named, "component").select("doc_id", "class_id", "class_rows")
+    return placed.join(materialize(named, "class-names"), "component").select("doc_id", "class_id", "class_rows")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

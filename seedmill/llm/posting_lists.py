@@ -327,6 +327,8 @@ def nearest(
     )
     pair = F.struct((-F.col("score")).alias("far"), "id")
     best = hits.groupBy("query").agg(F.slice(F.sort_array(F.collect_set(pair)), 1, k + 1).alias("best"))
+    # Stored, so that the join below can be split where many queries are one vector.
+    best = materialize(best, "best")
     own = asked.join(best, F.col("rep") == F.col("query"))
     others = F.slice(F.filter("best", lambda b: b["id"] != F.col("query_id")), 1, k)
     return own.select("query_id", F.posexplode(others).alias("place", "b")).select(
