@@ -14,9 +14,10 @@ mean number of shingles of a document, whatever the corpus.
 
 No group is held by one task and no group's pairs are all built. In each bucket
 of a band one text is compared with the others; only texts of a bucket that are
-not connected after that are compared further, a bounded number of pivots a
-round, until each such text has met all texts of its bucket that are not
-connected with it. Equal texts are one node throughout.
+not connected after that are compared further: a bounded number of pivots a round
+meets the members of the bucket in blocks, until each such text has met all texts
+of its bucket. No pair becomes a row unless it links what was not yet connected.
+Equal texts are one node throughout.
 """
 
 import math
@@ -39,7 +40,8 @@ IDF_SPAN = 0.25
 CHUNK_SHINGLES = 2_000_000
 BLOCK_SHINGLES = 32_768
 BITMAP_BITS = 24
-PIVOTS = 128
+PIVOTS = 64
+BLOCK_MEMBERS = 1024
 GROUP_MEMBERS = 256
 REMEMBERED_TEXTS = 1 << 18
 FOLD = np.uint64(0x9FB21C651E98DF25)
@@ -353,6 +355,68 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return placed.groupBy("a", "part").applyInArrow(compare, "a long, b long, similarity double")
 
 
+def links_in_block(group: pa.Table, threshold: float) -> pa.Table:
+    """Links between the pivots and the members of a block that connect different components.
+
+    All pivots are compared with all members on their full sets; of the links only
+    those of a spanning forest leave the task, so no more than there are rows.
+    """
+    rows = group.to_pylist()
+    pivots, members = [r for r in rows if r["pivot"]], [r for r in rows if not r["pivot"]]
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    found_a, found_b = [], []
+    if pivots and members:
+        sets = [unpack_hashes(r["shingles"]) for r in pivots]
+        weights = [np.frombuffer(r["weights"], np.float32) for r in pivots]
+        sums = np.array([w.sum(dtype=np.float64) for w in weights])
+        every, every_weight = np.concatenate(sets), np.concatenate(weights)
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(every, kind="stable")
+        every, every_weight, owner = every[order], every_weight[order], owner[order]
+        for member in members:
+            open_pivots = [i for i, p in enumerate(pivots) if find(p["own"]) != find(member["own"])]
+            if not open_pivots:
+                continue
+            own, own_weight = unpack_hashes(member["shingles"]), np.frombuffer(member["weights"], np.float32)
+            low = np.searchsorted(every, own)
+            n = np.searchsorted(every, own, side="right") - low
+            place = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            least = np.minimum(every_weight[place], np.repeat(own_weight, n))
+            shared = np.bincount(owner[place], weights=least, minlength=len(sets))
+            similar = shared / np.maximum(sums + own_weight.sum(dtype=np.float64) - shared, 1e-30)
+            for i in np.flatnonzero(similar >= threshold).tolist():
+                a, b = find(pivots[i]["own"]), find(member["own"])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    found_a.append(pivots[i]["row"])
+                    found_b.append(member["row"])
+    return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+
+
+def meet(pivots: DataFrame, placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links between the pivots of a bucket and its members, block by block."""
+    parts = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+    open_keys = materialize(pivots.select("key", "n").distinct(), "open-buckets")
+    members = placed.join(open_keys.select("key"), "key", "left_semi").select(
+        "key", F.pmod(F.xxhash64("row"), parts).cast("int").alias("part"), "row", "own", F.lit(False).alias("pivot")
+    )
+    sent = pivots.select(
+        "key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "row", "own", F.lit(True).alias("pivot")
+    )
+    routed = materialize(members.unionByName(sent), "routes")
+    blocks = routed.join(sets, "row").select("key", "part", "row", "own", "pivot", "shingles", "weights")
+    return blocks.groupBy("key", "part").applyInArrow(
+        lambda group: links_in_block(group, threshold), "a long, b long"
+    )
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b): the least node that can be reached.
 
@@ -406,46 +470,28 @@ def link(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     members = materialize(keyed.join(buckets, "key").select("key", "n", "head", "row"), "members")
 
-    def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.filter("a <> b").distinct()
-
-    pairs = ordered(members.select(F.col("head").alias("a"), F.col("row").alias("b")))
-    compared = materialize(similarities(pairs, sets), "compared")
-    known = [compared]
-    found = components(_linked(known, threshold))
+    pairs = members.select(F.col("head").alias("a"), F.col("row").alias("b")).filter("a <> b").distinct()
+    links = similarities(pairs, sets).filter(F.col("similarity") >= threshold).select("a", "b")
+    found = components(materialize(links, "links"))
+    waiting = materialize(members.filter("n > 2").select("key", "n", "head", "row"), "waiting")
     done = None
     while True:
         # What is not connected with the head of its bucket has yet to meet the others there.
         component = found.withColumnRenamed("node", "row").withColumnRenamed("component", "own")
         heads = found.select(F.col("node").alias("head"), F.col("component").alias("head_own"))
-        placed = (
-            members.filter("n > 2")
-            .join(component, "row", "left")
-            .join(heads, "head", "left")
-            .select("key", "head", "row", F.coalesce("own", "row").alias("own"), F.coalesce("head_own", "head").alias("head_own"))
-        )
-        placed = materialize(placed, "placed")
-        apart = placed.filter("own <> head_own").select("key", "row", "own")
+        own, head_own = F.coalesce("own", "row").alias("own"), F.coalesce("head_own", "head").alias("head_own")
+        placed = waiting.join(component, "row", "left").join(heads, "head", "left")
+        placed = materialize(placed.select("key", "n", "head", "row", own, head_own), "placed")
+        apart = placed.filter("own <> head_own")
         if done is not None:
             apart = apart.join(done, ["key", "row"], "left_anti")
         turn = F.row_number().over(Window.partitionBy("key").orderBy(F.col("row").bitwiseXOR(F.col("key"))))
         pivots = apart.withColumn("turn", turn).filter(F.col("turn") <= PIVOTS)
-        pivots = materialize(pivots.select("key", F.col("row").alias("a"), F.col("own").alias("a_own")), "pivots")
+        pivots = materialize(pivots.select("key", "n", "row", "own"), "pivots")
         if pivots.isEmpty():
             return found
-        others = placed.select("key", F.col("row").alias("b"), F.col("own").alias("b_own"))
-        pairs = pivots.join(others, "key").filter("a_own <> b_own").select("a", "b")
-        met = None
-        for k in known:
-            turned = k.select("a", "b").union(k.select(F.col("b"), F.col("a")))
-            met = turned if met is None else met.union(turned)
-        pairs = pairs.distinct().join(met, ["a", "b"], "left_anti")
-        low, high = F.least("a", "b"), F.greatest("a", "b")
-        pairs = pairs.select(low.alias("a"), high.alias("b")).distinct()
-        compared = materialize(similarities(pairs, sets), "compared")
-        known.append(compared)
-        found = _merged(found, _linked([compared], threshold))
-        finished = pivots.select("key", F.col("a").alias("row"))
+        found = _merged(found, materialize(meet(pivots, placed, sets, threshold), "links"))
+        finished = pivots.select("key", "row")
         done = materialize(finished if done is None else done.union(finished), "finished")
 
 
@@ -467,13 +513,6 @@ def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(every.select("node", F.coalesce("least", "component").alias("component")), "components")
 
 
-def _linked(known: list[DataFrame], threshold: float) -> DataFrame:
-    pairs = known[0]
-    for more in known[1:]:
-        pairs = pairs.union(more)
-    return pairs.filter(F.col("similarity") >= threshold)
-
-
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """row, doc_id, digest and component of every row of ``docs``.
 

@@ -105,6 +105,7 @@ def test_classes_against_all_pairs(spark, corpus):
 def test_few_pivots_a_round_find_the_same(spark, corpus, monkeypatch):
     monkeypatch.setattr(near_duplicates, "PIVOTS", 1)
     monkeypatch.setattr(near_duplicates, "GROUP_MEMBERS", 3)
+    monkeypatch.setattr(near_duplicates, "BLOCK_MEMBERS", 4)
     docs = spark.createDataFrame([(n, t) for n, t in enumerate(corpus)], "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in near_duplicates.duplicate_classes(docs).collect()}
     assert [got[n] for n in range(len(corpus))] == brute_classes(corpus)
