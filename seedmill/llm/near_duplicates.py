@@ -40,8 +40,8 @@ IDF_SPAN = 0.25
 CHUNK_SHINGLES = 2_000_000
 BLOCK_SHINGLES = 32_768
 BITMAP_BITS = 24
-PIVOTS = 64
-BLOCK_MEMBERS = 1024
+PIVOTS = 512
+BLOCK_MEMBERS = 512
 GROUP_MEMBERS = 256
 REMEMBERED_TEXTS = 1 << 18
 FOLD = np.uint64(0x9FB21C651E98DF25)
