@@ -4,10 +4,13 @@ A long text is halved until its leaves are short. Leaves are rows, so the cluste
 encodes them side by side. Neighbours are then joined pairwise. Around a join
 the text is encoded anew in a window that grows until both sides agree:
 
-* The pattern that cuts a text into units reads from left to right and looks at
-  most three characters past a place. From a unit of the left side that ends so
-  far before the join, the window is cut anew; where one of its cuts falls on a
-  cut of the right side, all cuts after it are those of the right side.
+* The window grows to places on both sides where any text of this kind is cut, a
+  blank before a non-blank, and one piece further. Its ids have to begin with
+  those of the left side for that piece and to end with those of the right side.
+* Where there are no such blanks, the pattern's own cuts are compared. It reads
+  from left to right and looks at most three characters past a place, so from a
+  unit of the left side that ends before that, the window is cut anew until one
+  of its cuts falls on a cut of the right side.
 * A unit that runs over the join, such as a long string without any break, is
   not encoded anew but put together from the ids of its two parts: ids around
   the seam are encoded again, in a window that grows until its first ids are
@@ -19,6 +22,7 @@ The outcome is exactly that of the library for the whole text.
 
 import hashlib
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,11 +35,14 @@ from pyspark.sql import functions as F
 
 from seedmill.functions.storage import materialize
 from seedmill.llm.packing import worker_vocabulary
-from seedmill.llm.pieces import worker_encoder
+from seedmill.llm.pieces import byte_symbols, worker_encoder
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 LEAF_CHARS = 16_384
+FIRST_WINDOW = 64
+LAST_WINDOW = 4096
+CUT = re.compile(r" (?=[^ ])")
 LOOKAHEAD = 3
 LONG_UNIT = 512
 AGREE = 2
@@ -43,28 +50,22 @@ AGREE = 2
 
 @dataclass
 class Segment:
-    """A stretch of text with the sizes of its units, in characters and in ids, and the ids."""
+    """A stretch of text and its ids by itself."""
 
     text: str
-    chars: np.ndarray
-    counts: np.ndarray
     ids: np.ndarray
 
 
 class TreeEncoder:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.encoder = worker_encoder(path)
+        if not self.encoder.splits:
+            raise ValueError("the tree joins ids of byte-level BPE only")
+        self.tokenizer = self.encoder.tokenizer
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.tokenizer.encode_special_tokens = True
         self.vocabulary = worker_vocabulary(path)
-        self.symbols = {}
-        for token in self.tokenizer.get_vocab():
-            if len(token) == 1:
-                self.symbols[self.vocabulary[self.tokenizer.token_to_id(token)][0]] = token
+        self.sizes = np.array([len(t) for t in self.vocabulary])
+        self.symbols = {b: c for c, b in byte_symbols().items()}
 
     def segments(self, text: str) -> list[str | int]:
         """The text cut at added tokens, which are given as their ids."""
@@ -86,12 +87,15 @@ class TreeEncoder:
 
     def leaf(self, text: str) -> Segment:
         """Encode a short stretch by itself."""
-        units = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
-        encoding = self.tokenizer.encode(text, add_special_tokens=False)
-        words = np.array(encoding.word_ids, dtype=np.int64)
-        chars = np.array([end - start for _, (start, end) in units], dtype=np.int64)
-        counts = np.bincount(words, minlength=len(units)).astype(np.int64)
-        return Segment(text, chars, counts, np.array(encoding.ids, dtype="<u4"))
+        return Segment(text, np.array(self.encoder.ids(text), dtype="<u4"))
+
+    def units(self, segment: Segment) -> tuple[np.ndarray, np.ndarray]:
+        """The sizes of the units of a segment, in characters and in ids."""
+        spans = self.tokenizer.pre_tokenizer.pre_tokenize_str(segment.text)
+        chars = np.array([end - start for _, (start, end) in spans], dtype=np.int64)
+        in_bytes = np.cumsum([len(unit) for unit, _ in spans])
+        ends = np.searchsorted(np.cumsum(self.sizes[segment.ids]), in_bytes) + 1
+        return chars, np.diff(ends, prepend=0)
 
     def bpe(self, data: bytes) -> np.ndarray:
         """The ids of one unit."""
@@ -101,6 +105,10 @@ class TreeEncoder:
     def _bytes(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids.tolist()))
 
+    def text(self, ids: np.ndarray) -> str:
+        """The text of whole leaves; ids hold it, so it need not travel with them."""
+        return self._bytes(ids).decode()
+
     def concat(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The ids of a unit from those of its two parts."""
         if not len(left) or not len(right):
@@ -120,7 +128,43 @@ class TreeEncoder:
         """The segment of both texts together."""
         if not left.text or not right.text:
             return left if left.text else right
-        left_ends, right_ends = np.cumsum(left.chars), np.cumsum(right.chars)
+        return self._join_at_blanks(left, right) or self._join_at_units(left, right)
+
+    def _join_at_blanks(self, left: Segment, right: Segment) -> Segment | None:
+        """Join in a window between blanks that are cuts; None when there are none near."""
+        size = FIRST_WINDOW
+        while True:
+            tail, head = left.text[-size:], right.text[:size]
+            left_cuts = [m.start() for m in CUT.finditer(tail)]
+            right_cuts = [m.start() for m in CUT.finditer(head)]
+            if len(left_cuts) > 1 and len(right_cuts) > 1:
+                outer, near = left_cuts[-2:]
+                far, last = right_cuts[:2]
+                window = np.array(self.encoder.ids(tail[outer:] + head[:last]), dtype="<u4")
+                taken_left = self._ids_of(left.ids[::-1], tail[outer:])
+                taken_right = self._ids_of(right.ids, head[:last])
+                own = left.ids[len(left.ids) - taken_left :]
+                other = right.ids[:taken_right]
+                before = taken_left - self._ids_of(left.ids[::-1], tail[near:])
+                after = taken_right - self._ids_of(right.ids, head[:far])
+                left_agrees = np.array_equal(window[:before], own[:before])
+                right_agrees = np.array_equal(window[len(window) - after :], other[len(other) - after :])
+                if left_agrees and right_agrees:
+                    ids = [left.ids[: len(left.ids) - taken_left], window, right.ids[taken_right:]]
+                    return Segment(left.text + right.text, np.concatenate(ids))
+            if size >= LAST_WINDOW:
+                return None
+            size *= 4
+
+    def _ids_of(self, ids: np.ndarray, text: str) -> int:
+        """How many of the first ``ids`` make up as many bytes as ``text`` has."""
+        size = len(text.encode())
+        return int(np.searchsorted(np.cumsum(self.sizes[ids[: size + 1]]), size)) + 1 if size else 0
+
+    def _join_at_units(self, left: Segment, right: Segment) -> Segment:
+        left_chars, left_counts = self.units(left)
+        right_chars, right_counts = self.units(right)
+        left_ends, right_ends = np.cumsum(left_chars), np.cumsum(right_chars)
         sure = int(np.searchsorted(left_ends, len(left.text) - LOOKAHEAD, side="right"))
         begin = int(left_ends[sure - 1]) if sure else 0
         tail = left.text[begin:]
@@ -138,37 +182,31 @@ class TreeEncoder:
             units_in *= 2
         meet = agreed[0]
         skip = int(np.searchsorted(right_ends, meet - len(tail), side="right"))
-        middle = self._units(left, right, sure, begin, window, [e for e in ends if e <= meet])
-        left_ids = int(left.counts[:sure].sum())
-        right_ids = int(right.counts[:skip].sum())
-        return Segment(
-            left.text + right.text,
-            np.concatenate([left.chars[:sure], [len(w) for w, _ in middle], right.chars[skip:]]).astype(np.int64),
-            np.concatenate([left.counts[:sure], [len(i) for _, i in middle], right.counts[skip:]]).astype(np.int64),
-            np.concatenate([left.ids[:left_ids], *[i for _, i in middle], right.ids[right_ids:]]).astype("<u4"),
-        )
-
-    def _units(
-        self, left: Segment, right: Segment, sure: int, begin: int, window: str, ends: list[int]
-    ) -> list[tuple[str, np.ndarray]]:
-        """The units of the window with their ids; long ones from the parts whose ids are known."""
-        known = []  # (start in the window, end, ids) of the old units
-        at, used = 0, int(left.counts[:sure].sum())
-        for chars, count in zip(left.chars[sure:].tolist(), left.counts[sure:].tolist(), strict=True):
-            known.append((at, at + chars, left.ids[used : used + count]))
-            at, used = at + chars, used + count
-        used = 0
-        for chars, count in zip(right.chars.tolist(), right.counts.tolist(), strict=True):
-            if at + chars > len(window):
-                break
-            known.append((at, at + chars, right.ids[used : used + count]))
-            at, used = at + chars, used + count
+        left_ids = int(left_counts[:sure].sum())
+        right_ids = int(right_counts[:skip].sum())
+        known = self._known(left.ids[left_ids:], left_chars[sure:], left_counts[sure:], 0)
+        known += self._known(right.ids[:right_ids], right_chars[:skip], right_counts[:skip], len(tail))
+        middle = self._units(known, window, [e for e in ends if e <= meet])
+        ids = [left.ids[:left_ids], *middle, right.ids[right_ids:]]
+        return Segment(left.text + right.text, np.concatenate(ids).astype("<u4"))
+
+    @staticmethod
+    def _known(ids: np.ndarray, chars: np.ndarray, counts: np.ndarray, at: int) -> list[tuple[int, int, np.ndarray]]:
+        """(start in the window, end, ids) of units whose ids are known."""
+        ends, used = at + np.cumsum(chars), np.cumsum(counts)
+        return [
+            (int(e - c), int(e), ids[u - n : u])
+            for e, c, u, n in zip(ends.tolist(), chars.tolist(), used.tolist(), counts.tolist(), strict=True)
+        ]
+
+    def _units(self, known: list[tuple[int, int, np.ndarray]], window: str, ends: list[int]) -> list[np.ndarray]:
+        """The ids of the units of the window; those of long units from the parts whose ids are known."""
         units = []
         start = 0
         for end in ends:
             text = window[start:end]
             if len(text) <= LONG_UNIT:
-                units.append((text, self.bpe(text.encode())))
+                units.append(self.bpe(text.encode()))
             else:
                 ids, at = np.array([], dtype="<u4"), start
                 for a, b, part in known:
@@ -178,7 +216,7 @@ class TreeEncoder:
                         ids, at = self.concat(ids, part), b
                 if at < end:
                     ids = self.concat(ids, self.bpe(window[at:end].encode()))
-                units.append((text, ids))
+                units.append(ids)
             start = end
         return units
 
@@ -246,16 +284,16 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, leaf_chars: int = LE
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(tokenizer_path)
-        tree = worker_tree(tokenizer_path)
+        vocabulary = worker_vocabulary(tokenizer_path)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text or ""
-                if len(text) <= leaf_chars:
-                    rows.append((doc, *digests(encoder.ids(text), tree.vocabulary), None, None, None, None, None))
+                if len(text) <= leaf_chars or not encoder.splits:
+                    rows.append((doc, *digests(encoder.ids(text), vocabulary), None, None, None, None, None))
                     continue
                 row = uuid.uuid4().hex
-                for s, segment in enumerate(tree.segments(text)):
+                for s, segment in enumerate(worker_tree(tokenizer_path).segments(text)):
                     if isinstance(segment, int):
                         rows.append((doc, None, None, None, row, s, 0, None, segment))
                     else:
@@ -273,30 +311,23 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, leaf_chars: int = LE
 
     def leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree = worker_tree(tokenizer_path)
+        narrow = "<u2" if len(tree.vocabulary) <= 1 << 16 else "<u4"
         for frame in frames:
-            made = [tree.leaf(t) if t is not None else None for t in frame["leaf"]]
-            yield frame[["doc_id", "row", "segment", "part", "leaf", "special"]].assign(
-                chars=[m.chars.tobytes() if m else b"" for m in made],
-                counts=[m.counts.tobytes() if m else b"" for m in made],
-                ids=[m.ids.tobytes() if m else b"" for m in made],
-            )
+            ids = [tree.leaf(t).ids.astype(narrow).tobytes() if t is not None else None for t in frame["leaf"]]
+            yield frame[["doc_id", "row", "segment", "part", "special"]].assign(ids=ids)
 
     def joined(frame: pd.DataFrame) -> pd.DataFrame:
         tree = worker_tree(tokenizer_path)
+        narrow = "<u2" if len(tree.vocabulary) <= 1 << 16 else "<u4"
         found = []
         for _, part in frame.sort_values(["segment", "part"]).groupby("segment", sort=True):
-            if part["leaf"].iloc[0] is None:
+            if part["ids"].iloc[0] is None:
                 found.append(int(part["special"].iloc[0]))
                 continue
-            segments = [
-                Segment(
-                    r.leaf,
-                    np.frombuffer(r.chars, dtype=np.int64),
-                    np.frombuffer(r.counts, dtype=np.int64),
-                    np.frombuffer(r.ids, dtype="<u4"),
-                )
-                for r in part.itertuples()
-            ]
+            segments = []
+            for data in part["ids"]:
+                ids = np.frombuffer(data, dtype=narrow).astype("<u4")
+                segments.append(Segment(tree.text(ids), ids))
             found.extend(tree.tree(segments).ids.tolist())
         return pd.DataFrame(
             [(frame["doc_id"].iloc[0], *digests(found, tree.vocabulary))],
@@ -312,8 +343,7 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, leaf_chars: int = LE
         .repartition("row", "segment", "part")
         .mapInPandas(
             leaves,
-            "doc_id string, row string, segment int, part int, leaf string, special int, "
-            "chars binary, counts binary, ids binary",
+            "doc_id string, row string, segment int, part int, special int, ids binary",
         )
     )
     long = encoded.groupBy("row").applyInPandas(
