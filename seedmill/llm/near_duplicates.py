@@ -323,7 +323,8 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, similarity) of pairs of nodes, by their full weighted sets.
 
     A set goes once to each group that needs it. Groups are those of the first
-    node of a pair, cut into parts of bounded size.
+    node of a pair, cut into parts of bounded size. The join is by shuffle at every
+    size: routes grow with the documents, so they are not for broadcasting.
     """
     size = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP_MEMBERS).cast("int").alias("parts"))
     size = materialize(size, "group-sizes")
@@ -333,7 +334,8 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("row"), F.lit(True).alias("first")
     )
     routed = materialize(members.unionByName(firsts), "routes")
-    placed = routed.join(sets, "row").select("a", "part", "row", "first", "shingles", "weights")
+    placed = routed.hint("shuffle_merge").join(sets, "row")
+    placed = placed.select("a", "part", "row", "first", "shingles", "weights")
 
     def compare(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
@@ -411,7 +413,8 @@ def meet(pivots: DataFrame, placed: DataFrame, sets: DataFrame, threshold: float
         "key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "row", "own", F.lit(True).alias("pivot")
     )
     routed = materialize(members.unionByName(sent), "routes")
-    blocks = routed.join(sets, "row").select("key", "part", "row", "own", "pivot", "shingles", "weights")
+    blocks = routed.hint("shuffle_merge").join(sets, "row")
+    blocks = blocks.select("key", "part", "row", "own", "pivot", "shingles", "weights")
     return blocks.groupBy("key", "part").applyInArrow(
         lambda group: links_in_block(group, threshold), "a long, b long"
     )
@@ -469,6 +472,9 @@ def link(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         buckets.filter("n > 1").select("key", "n", F.col("head").bitwiseXOR(F.col("key")).alias("head")), "buckets"
     )
     members = materialize(keyed.join(buckets, "key").select("key", "n", "head", "row"), "members")
+    # Only texts with a candidate are compared; their sets are picked out once.
+    candidates = members.select("row").distinct().hint("shuffle_merge")
+    sets = materialize(sets.join(candidates, "row", "left_semi"), "candidate-sets")
 
     pairs = members.select(F.col("head").alias("a"), F.col("row").alias("b")).filter("a <> b").distinct()
     links = similarities(pairs, sets).filter(F.col("similarity") >= threshold).select("a", "b")
