@@ -203,7 +203,9 @@ def _active(lengths: np.ndarray, steps: int) -> list[int]:
     return np.searchsorted(-lengths, -np.arange(steps), side="left").tolist()
 
 
-def _forward(model: Model, emitted: np.ndarray, active: list[int], at: int, before: np.ndarray | None, keep=None, scales=None):
+def _forward(
+    model: Model, emitted: np.ndarray, active: list[int], at: int, before: np.ndarray | None, keep=None, scales=None
+) -> tuple[np.ndarray, np.ndarray]:
     """Run the scaled forward recursion over the steps of ``emitted``, the first of which is step ``at``.
 
     ``before`` is the state of the texts after the step before. Gives the last

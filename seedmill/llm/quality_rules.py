@@ -12,7 +12,7 @@ threshold, at most features x thresholds x 4 numbers a step.
 """
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -51,7 +51,7 @@ class Rule:
         return " and ".join(str(c) for c in self.conditions)
 
 
-def ratios(n_lines: str | None = None) -> dict[str, Column]:
+def ratios() -> dict[str, Column]:
     """The features a rule may use, from the counts of a text."""
     words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     chars = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
@@ -194,7 +194,7 @@ def document_stats(docs: DataFrame) -> DataFrame:
     return counted.withColumn("base_failed", base_failed())
 
 
-def learn_from_labels(stats: DataFrame, labels: DataFrame, **settings: Mapping) -> list[Rule]:
+def learn_from_labels(stats: DataFrame, labels: DataFrame, **settings) -> list[Rule]:
     """The rules for documents that the labels call low quality and the base rule lets pass.
 
     Several labels of one document count as its lowest. Labels of unknown
@@ -203,7 +203,8 @@ def learn_from_labels(stats: DataFrame, labels: DataFrame, **settings: Mapping)
     marked = labels.groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
     columns = ratios()
     rows = stats.filter(~F.col("base_failed")).join(marked, "doc_id")
-    return learn_rules(rows.select("doc_id", "bad", *[c.alias(f) for f, c in columns.items()]), list(columns), "bad", "doc_id", **settings)
+    rows = rows.select("doc_id", "bad", *[c.alias(f) for f, c in columns.items()])
+    return learn_rules(rows, list(columns), "bad", "doc_id", **settings)
 
 
 def judge(stats: DataFrame, rules: Sequence[Rule]) -> DataFrame:
