@@ -2,11 +2,12 @@
 
 Vectors belong to lists around centroids. A vector near the border of several
 lists is copied to each of them, so a query finds it although it reads few
-lists. Centroids are searched through a graph held in memory, and a query reads
-the lists whose centroid is at most ``ratio`` times as far as its nearest one.
-That ratio is not guessed: it is read off the exact neighbours of a bounded
-sample of queries, so that the wanted share of neighbours lies in lists that are
-read, however little structure the vectors have.
+lists. Centroids are searched through a graph held in memory for a query's
+nearest lists, and those are pruned whose centroid is more than ``ratio`` times as
+far as the nearest one. How many lists and which ratio is not guessed: both are
+read off the exact neighbours of a bounded sample of queries, so that the wanted
+share of neighbours lies in lists that are read, however little structure the
+vectors have.
 
 Every vector is indexed and every query answered. Bounds hold for the fitted part
 only: centroids (and with them all that is broadcast) are at most
@@ -32,6 +33,7 @@ LIST_VECTORS = 32
 MAX_COPIES = 8
 BORDER_RATIO = 1.15
 WANTED_RECALL = 0.97
+UNPRUNED_RECALL = 0.995
 CALIBRATION_QUERIES = 256
 BLOCK_VECTORS = 4096
 LINKS = 16
@@ -175,23 +177,24 @@ def lists_of(graph: Graph, vectors: np.ndarray, copies: int = MAX_COPIES, border
     return [row[keep] for row, keep in zip(ids, near, strict=True)]
 
 
-def lists_to_read(graph: Graph, queries: np.ndarray, ratio: float, primary: np.ndarray, least: int) -> list[np.ndarray]:
-    """The lists within ``ratio`` of the nearest, and as many more as it takes to hold ``least`` vectors.
+def lists_to_read(
+    graph: Graph, queries: np.ndarray, most: int, ratio: float, primary: np.ndarray, least: int
+) -> list[np.ndarray]:
+    """The ``most`` nearest lists without those beyond ``ratio`` times the nearest distance.
 
-    ``primary`` counts each vector in its nearest list only. The search widens
-    until it has gone past the ratio.
+    More are taken where it needs them to hold ``least`` vectors; ``primary``
+    counts each vector in its nearest list only.
     """
     found: list = [None] * len(queries)
-    left, wanted = np.arange(len(queries)), 64
+    left, wanted = np.arange(len(queries)), most
     while len(left):
         ids, distance = graph.search(queries[left], wanted)
-        whole = wanted >= len(graph.centroids)
         again = []
         for place, row, dist in zip(left.tolist(), ids, distance, strict=True):
             within = int(np.searchsorted(dist, ratio * max(dist[0], 1e-9), side="right"))
             enough = int(np.searchsorted(np.cumsum(primary[row]), least)) + 1
-            take = max(within, enough)
-            if take >= len(row) and not whole:
+            take = max(min(within, most), enough)
+            if take > len(row) and wanted < len(graph.centroids):
                 again.append(place)
             else:
                 found[place] = row[:take]
@@ -277,7 +280,7 @@ def nearest(
 
     posted = unique.mapInArrow(post, f"rep long, v {kind}, ids array<bigint>, lists array<int>")
     posted = materialize(posted, "posting-lists")
-    ratio = _calibrate(posted, some(CALIBRATION_QUERIES), sent, dim, k, kind, wanted_recall)
+    most, ratio = _calibrate(posted, some(CALIBRATION_QUERIES), sent, dim, k, kind, wanted_recall)
 
     sizes = posted.select(F.posexplode("lists").alias("place", "list")).groupBy("list")
     sizes = sizes.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("place") == 0).alias("primary")).collect()
@@ -292,7 +295,7 @@ def nearest(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            chosen = lists_to_read(sent.value, unit(_matrix(batch.column(1), dim)), ratio, counts, k + 1)
+            chosen = lists_to_read(sent.value, unit(_matrix(batch.column(1), dim)), most, ratio, counts, k + 1)
             for start in range(0, batch.num_rows, 256):
                 rows = chosen[start : start + 256]
                 lists = np.concatenate(rows)
@@ -370,8 +373,8 @@ def best_in_block(left: pa.Table, right: pa.Table, dim: int, k: int) -> pa.Table
     )
 
 
-def _calibrate(posted: DataFrame, sample: DataFrame, graph, dim: int, k: int, kind: str, wanted: float) -> float:
-    """The distance ratio at which ``wanted`` of the exact neighbours of the sampled vectors are in lists that are read.
+def _calibrate(posted: DataFrame, sample: DataFrame, graph, dim: int, k: int, kind: str, wanted: float) -> tuple[int, float]:
+    """How many lists hold ``wanted`` of the exact neighbours of the sampled vectors, and the ratio to prune by.
 
     One pass over all vectors compares them with the sample; a task sends on the
     ``k`` best it has for each sampled vector.
@@ -380,12 +383,13 @@ def _calibrate(posted: DataFrame, sample: DataFrame, graph, dim: int, k: int, ki
     names, vectors = chosen["rep"].to_numpy(), unit(_matrix(chosen["v"], dim))
     from_centroids = _distance(vectors @ graph.value.centroids.T)
     ratios = from_centroids / np.maximum(from_centroids.min(axis=1, keepdims=True), 1e-9)
-    sent = posted.sparkSession.sparkContext.broadcast((names, vectors, ratios))
+    ranks = np.argsort(np.argsort(from_centroids, axis=1, kind="stable"), axis=1) + 1
+    sent = posted.sparkSession.sparkContext.broadcast((names, vectors, ratios, ranks))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, asked, needed = sent.value
+        own, asked, needed, places = sent.value
         near = np.full((len(own), k), -np.inf)
-        ratio = np.full((len(own), k), np.inf)
+        ratio, rank = np.full((len(own), k), np.inf), np.zeros((len(own), k), np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -402,17 +406,22 @@ def _calibrate(posted: DataFrame, sample: DataFrame, graph, dim: int, k: int, ki
                     for at in best[row].tolist():
                         if score[row, at] > near[row, -1]:
                             end = starts[start + at + 1] if start + at + 1 < len(starts) else len(flat)
-                            need = needed[row, flat[starts[start + at] : end]].min()
+                            lists_of_it = flat[starts[start + at] : end]
+                            need, need_rank = needed[row, lists_of_it].min(), places[row, lists_of_it].min()
                             order = np.argsort(-np.append(near[row], score[row, at]), kind="stable")[:k]
                             near[row] = np.append(near[row], score[row, at])[order]
                             ratio[row] = np.append(ratio[row], need)[order]
+                            rank[row] = np.append(rank[row], need_rank)[order]
         q, place = np.nonzero(np.isfinite(near))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(q, pa.int32()), pa.array(near[q, place]), pa.array(ratio[q, place])], names=["q", "near", "ratio"]
+            [pa.array(q, pa.int32()), pa.array(near[q, place]), pa.array(ratio[q, place]), pa.array(rank[q, place])],
+            names=["q", "near", "ratio", "rank"],
         )
 
-    found = posted.select("rep", "v", "lists").mapInArrow(exact, "q int, near double, ratio double")
+    found = posted.select("rep", "v", "lists").mapInArrow(exact, "q int, near double, ratio double, rank long")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "ratio"))
     best = found.withColumn("place", place).filter(F.col("place") <= k)
-    ratio = best.agg(F.percentile("ratio", F.lit(wanted)).alias("r")).first()["r"]
-    return float(ratio or 1.0) * (1 + 1e-9)
+    found = best.agg(
+        F.percentile("rank", F.lit(wanted)).alias("rank"), F.percentile("ratio", F.lit(UNPRUNED_RECALL)).alias("ratio")
+    ).first()
+    return max(1, math.ceil(found["rank"] or 1)), float(found["ratio"] or 1.0) * (1 + 1e-9)
