@@ -326,10 +326,10 @@ def nearest(
     hits = (
         queries.groupBy("list", "block")
         .cogroup(listed.select("list", "block", "v", "ids").groupBy("list", "block"))
-        .applyInArrow(compare, "query long, id long, score double")
+        .applyInArrow(compare, "query long, best array<struct<far: double, id: bigint>>")
     )
-    pair = F.struct((-F.col("score")).alias("far"), "id")
-    best = hits.groupBy("query").agg(F.slice(F.sort_array(F.collect_set(pair)), 1, k + 1).alias("best"))
+    every = F.array_distinct(F.flatten(F.collect_list("best")))
+    best = hits.groupBy("query").agg(F.slice(F.sort_array(every), 1, k + 1).alias("best"))
     # Stored, so that the join below can be split where many queries are one vector.
     best = materialize(best, "best")
     own = asked.join(best, F.col("rep") == F.col("query"))
@@ -343,12 +343,12 @@ def nearest(
 
 
 def best_in_block(left: pa.Table, right: pa.Table, dim: int, k: int) -> pa.Table:
-    """The ``k + 1`` nearest ids of a block for each query that reads it.
+    """The ``k + 1`` nearest ids of a block for each query that reads it, as one row: pairs of negated score and id.
 
     Products of matrices choose, with room for rounding; the chosen pairs are
     scored one by one, so that a pair has the same score wherever it is met.
     """
-    queries, ids, scores = [], [], []
+    queries, offsets, ids, far = [], [0], [], []
     if left.num_rows and right.num_rows:
         asked, stored = _matrix(left["v"], dim), _matrix(right["v"], dim)
         stored_unit = unit(stored)
@@ -364,13 +364,14 @@ def best_in_block(left: pa.Table, right: pa.Table, dim: int, k: int) -> pa.Table
             for row in range(len(part)):
                 lo, hi = np.searchsorted(q, [row, row + 1])
                 found = [(-s, i) for s, at in zip(exact[lo:hi].tolist(), c[lo:hi].tolist(), strict=True) for i in own_ids[at]]
-                for far, i in sorted(found)[: k + 1]:
-                    queries.append(int(names[start + row]))
+                for distance, i in sorted(found)[: k + 1]:
                     ids.append(i)
-                    scores.append(-far)
-    return pa.table(
-        {"query": pa.array(queries, pa.int64()), "id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())}
-    )
+                    far.append(distance)
+                queries.append(int(names[start + row]))
+                offsets.append(len(ids))
+    pairs = pa.StructArray.from_arrays([pa.array(far, pa.float64()), pa.array(ids, pa.int64())], names=["far", "id"])
+    best = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
+    return pa.table({"query": pa.array(queries, pa.int64()), "best": best})
 
 
 def _calibrate(posted: DataFrame, sample: DataFrame, graph, dim: int, k: int, kind: str, wanted: float) -> tuple[int, float]:
