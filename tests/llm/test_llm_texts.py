@@ -60,6 +60,29 @@ def test_both_libraries_cut_every_character_alike():
         assert ENCODER.ordinary(text) == ids_of(text)
 
 
+SPACED = ["a \u00a0 \u00a0 \u00a0 \u00a0 b", "x \u00a0 \u00a0\ny", "price: \u00a0 \u00a0 \u00a0 5", " \t \t x\u00a0 \u00a0", "a \n \n b \x1f \x1f c "]
+
+
+@pytest.mark.parametrize("text", SPACED)
+def test_runs_of_mixed_white_space_stay_whole(text):
+    assert Pieces(PATH).count(text) == len(ids_of(text))
+    assert sum(len(ids_of(p)) for p in pieces.blocks(text * 9, 7)) == len(ids_of(text * 9))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(" \u00a0\t\n\u2003\x1ca5", max_size=60))
+def test_random_runs_of_mixed_white_space(text):
+    assert Pieces(PATH).count(text) == len(ids_of(text))
+    assert [i for p in pieces.blocks(text, 7) for i in ids_of(p)] == ids_of(text)
+
+
+def test_cuts_before_every_character():
+    for c in range(0x3100):
+        text = f"a  {chr(c)}"
+        cuts = [span for _, span in ENCODER.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        assert (len(pieces.cut_at_blanks(text)) == 2) == (cuts[1] == (1, 2)), hex(c)
+
+
 def test_full_cache_starts_again_and_stays_exact():
     known = Pieces(PATH, {"a": 1}, max_cached=3)
     for n in range(30):
