@@ -304,7 +304,7 @@ def sign(docs: DataFrame, frequent: np.ndarray, weights: np.ndarray, rare: float
 
     text = F.coalesce("text", F.lit(""))
     source = docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", F.md5(text.cast("binary")).alias("digest"), text.alias("text")
+        "row", "doc_id", F.md5(text.cast("binary")).alias("digest"), text.alias("text")
     )
     return source.mapInArrow(signed, fields)
 
@@ -520,12 +520,11 @@ def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """row, doc_id, digest and component of every row of ``docs``.
+    """row, doc_id, digest and component of every row of ``docs`` (row, doc_id, text).
 
-    ``row`` numbers the rows as ``monotonically_increasing_id`` does over the
-    same stored table. Equal texts share a component. A null text is an empty
-    one; texts without words are near duplicates of equal texts only. An empty
-    table gives an empty one; extra columns are not read.
+    Equal texts share a component. A null text is an empty one; texts without
+    words are near duplicates of equal texts only. An empty table gives an empty
+    one; extra columns are not read.
     """
     frequent, n, total = frequent_shingles(docs)
     signed = materialize(sign(docs, frequent, idf(n, max(1, total)), 1 + IDF_SPAN), "signed")
@@ -535,9 +534,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return signed.select("row", "doc_id", "digest").join(named, "digest")
 
 
+def number_rows(docs: DataFrame) -> DataFrame:
+    """``row`` and ``doc`` (all columns) of every row of ``docs``, stored, so that the numbers hold for every later read."""
+    boxed = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc"))
+    return materialize(boxed, "numbered")
+
+
 def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class) and class_rows of every row of ``docs``."""
-    placed = materialize(classes(docs, threshold).select("doc_id", "component"), "classes")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    placed = materialize(classes(rows, threshold).select("doc_id", "component"), "classes")
     named = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows"))
     return placed.join(materialize(named, "class-names"), "component").select("doc_id", "class_id", "class_rows")
 
@@ -545,16 +551,16 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, the one with the least doc_id, with all columns of ``docs``.
 
-    ``docs`` must be a stored table: its rows are numbered twice, in the order in
-    which they are read. Of rows with the same doc_id the first stays; a null
-    doc_id comes after all others.
+    The rows are numbered once and stored. Of rows with the same doc_id the first
+    stays; a null doc_id comes after all others.
     """
-    placed = materialize(classes(docs, threshold).select("row", "doc_id", "component"), "classes")
+    rows = number_rows(docs)
+    read = rows.select("row", "doc.doc_id", "doc.text")
+    placed = materialize(classes(read, threshold).select("row", "doc_id", "component"), "classes")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
     firsts = placed.groupBy("component").agg(F.min(order).alias("first"))
     dropped = placed.select("row").join(firsts.select(F.col("first.row").alias("row")), "row", "left_anti")
     dropped = materialize(dropped, "dropped")
-    boxed = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc"))
-    return boxed.join(dropped, "row", "left_anti").select("doc.*")
+    return rows.join(dropped, "row", "left_anti").select("doc.*")
 
 

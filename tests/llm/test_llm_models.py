@@ -122,6 +122,27 @@ def test_keep_one_of_each_class(spark, corpus, tmp_path):
     assert ids == collections.Counter([*set(brute_classes(corpus)), None])
 
 
+def test_keep_one_when_later_reads_are_split_otherwise(spark, tmp_path, monkeypatch):
+    ship_package(spark)
+    rows = [(n, f"text {n % 30} of words {n % 30} and more {n % 30}") for n in range(60)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(path)
+    store = near_duplicates.materialize
+
+    def fewer_splits(frame, name):
+        stored = store(frame, name)
+        if name == "classes":
+            spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        return stored
+
+    monkeypatch.setattr(near_duplicates, "materialize", fewer_splits)
+    try:
+        kept = near_duplicates.keep_one(spark.read.parquet(path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert sorted(r.doc_id for r in kept) == list(range(30))
+
+
 def test_samples_agree_as_often_as_the_sets_do():
     rng = np.random.default_rng(6)
     a = np.sort(rng.integers(0, 2**63, 400).astype(np.uint64))
