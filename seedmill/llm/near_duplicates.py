@@ -7,10 +7,11 @@ probability of their weighted Jaccard similarity. Texts that share a band of
 four samples are candidates, and every candidate pair that counts is verified on
 the full weighted sets. Links of at least the threshold form classes.
 
-What is counted, is counted over all documents: the frequency of every shingle
-that is in one document of a hundred or more is exact, and rarer ones count as
-that frequent, so the table of frequencies is bounded by a hundred times the
-mean number of shingles of a document, whatever the corpus.
+Document frequencies are exact for every shingle. The rows are stored in chunks;
+each chunk sends its distinct shingles, with the numbers of its texts that hold
+them, to parts of the hash range. A part adds them up and answers each chunk with
+the frequencies above 1, which meet the texts of the chunk by shuffle. What
+travels are packed arrays, not rows of single shingles.
 
 No group is held by one task and no group's pairs are all built. In each bucket
 of a band one text is compared with the others; only texts of a bucket that are
@@ -35,15 +36,14 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 16
 BAND_ROWS = 4
-FREQUENT_SHARE = 0.01
 IDF_SPAN = 0.25
 CHUNK_SHINGLES = 2_000_000
 BLOCK_SHINGLES = 32_768
-BITMAP_BITS = 24
+CHUNK_BITS = 11
+PART_BYTES = 8 << 20
 PIVOTS = 512
 BLOCK_MEMBERS = 512
 GROUP_MEMBERS = 256
-REMEMBERED_TEXTS = 1 << 18
 FOLD = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -182,99 +182,120 @@ def _runs(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, n
         yield first, end, *unique_in_texts(*shingles_of(hashes, counts))
 
 
-def frequent_shingles(docs: DataFrame, share: float = FREQUENT_SHARE) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted hashes and exact document frequencies of the shingles in ``share`` of all documents, and their number.
+def pack_numbers(numbers: np.ndarray) -> bytes:
+    """64-bit numbers byte plane by byte plane, which compresses."""
+    return numbers.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T.tobytes()
 
-    What is that frequent in all documents is as frequent in at least one chunk
-    of them. So the chunks name the candidates, and a second pass counts these.
-    The candidates are sent as a bitmap of fixed size; what it lets through by
-    chance falls away when the counts meet the candidates.
-    """
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size, texts = [], 0, 0
+def unpack_numbers(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
-        def flush() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(waiting), return_counts=True)
-            found = found[n >= math.ceil(share * texts)]
-            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["shingle"])
 
-        for batch in batches:
-            for first, end, shingles, _, _ in _runs(batch.column(0)):
-                waiting.append(shingles)
-                size, texts = size + len(shingles), texts + end - first
-                if size >= CHUNK_SHINGLES:
-                    yield flush()
-                    waiting, size, texts = [], 0, 0
-        if waiting:
-            yield flush()
+def pack_shingles(shingles: np.ndarray) -> bytes:
+    """Sorted 64-bit hashes as differences."""
+    return pack_numbers(np.diff(shingles, prepend=np.uint64(0)))
+
+
+def unpack_shingles(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack_numbers(data), dtype=np.uint64)
 
-    total = docs.count()
-    named = docs.select("text").mapInArrow(candidates, "shingle long").distinct()
-    named = materialize(named, "frequent-candidates")
-    place = F.shiftrightunsigned("shingle", 64 - BITMAP_BITS).cast("int").alias("place")
-    bitmap = np.zeros(1 << BITMAP_BITS, dtype=bool)
-    bitmap[named.select(place).distinct().toArrow()["place"].to_numpy()] = True
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(sent.value).astype(bool)
-        waiting, size = [], 0
+ASKED = "chunk long, part long, shingles binary, n binary"
+
+
+def document_frequencies(docs: DataFrame, parts: int) -> DataFrame:
+    """(chunk, part, shingles, n): exact frequencies in all documents of the shingles of a chunk of ``docs`` (chunk, text).
+
+    Shingles of a single document are left out. A chunk that is read by several
+    tasks asks several times and gets several answers.
+    """
+    names = [f.split()[0] for f in ASKED.split(", ")]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+        size, chunk = 0, None
 
         def flush() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate(waiting), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+            part = (found >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            places, firsts = np.unique(part, return_index=True)
+            bounds = np.append(firsts, len(found)).tolist()
+            runs = [slice(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            columns = [
+                pa.array([chunk] * len(runs), pa.int64()),
+                pa.array(places.astype(np.int64)),
+                pa.array([pack_shingles(found[r]) for r in runs], pa.binary()),
+                pa.array([pack_numbers(n[r]) for r in runs], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
-            for _, _, shingles, _, _ in _runs(batch.column(0)):
-                waiting.append(shingles[bits[shingles >> np.uint64(64 - BITMAP_BITS)]])
-                size += len(waiting[-1])
-                if size >= CHUNK_SHINGLES:
-                    yield flush()
-                    waiting, size = [], 0
+            chunks = batch.column(0).to_numpy()
+            for first, end, shingles, _, n in _runs(batch.column(1)):
+                ends = np.cumsum(n)
+                borders = np.flatnonzero(np.diff(chunks[first:end])) + 1
+                for lo, hi in zip([0, *borders.tolist()], [*borders.tolist(), end - first], strict=True):
+                    if hi == lo:
+                        continue
+                    if waiting and (chunks[first + lo] != chunk or size >= CHUNK_SHINGLES):
+                        yield flush()
+                        waiting, size = [], 0
+                    chunk = int(chunks[first + lo])
+                    waiting.append(shingles[ends[lo] - n[lo] : ends[hi - 1]])
+                    size += len(waiting[-1])
         if waiting:
             yield flush()
 
-    counted = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle")
-    counted = counted.agg(F.sum("n").alias("n")).filter(F.col("n") >= share * total)
-    found = counted.join(named, "shingle", "left_semi").toArrow()
-    shingles, n = found["shingle"].to_numpy().view(np.uint64), found["n"].to_numpy()
-    order = np.argsort(shingles)
-    return shingles[order], n[order], total
+    def answer(group: pa.Table) -> pa.Table:
+        sets = [unpack_shingles(x) for x in group["shingles"].to_pylist()]
+        counts = np.concatenate([unpack_numbers(x) for x in group["n"].to_pylist()])
+        _, place = np.unique(np.concatenate(sets), return_inverse=True)
+        total = np.bincount(place, weights=counts).astype(np.int64)[place]
+        found, numbers, at = [], [], 0
+        for shingles in sets:
+            n = total[at : at + len(shingles)]
+            at += len(shingles)
+            found.append(pack_shingles(shingles[n > 1]))
+            numbers.append(pack_numbers(n[n > 1]))
+        answered = [group["chunk"], group["part"], pa.array(found, pa.binary()), pa.array(numbers, pa.binary())]
+        return pa.table(answered, names=names)
 
+    asked = docs.select("chunk", "text").mapInArrow(ask, ASKED)
+    return asked.groupBy("part").applyInArrow(answer, ASKED)
 
-def idf(n: np.ndarray, total: int, share: float = FREQUENT_SHARE, span: float = IDF_SPAN) -> np.ndarray:
-    """From 1 for a shingle of all documents to ``1 + span`` for rare ones.
+
+def idf(n: np.ndarray, total: int, span: float = IDF_SPAN) -> np.ndarray:
+    """From 1 for a shingle of all documents to ``1 + span`` for one of a single document.
 
     The span is small on purpose: the threshold is meant for shingles of equal
     weight, and a wider span would pull apart near copies that are many.
     """
-    return 1 + span * np.log(total / np.maximum(n, share * total)) / math.log(1 / share)
+    return 1 + span * np.log(total / n) / math.log(max(total, 2))
 
 
-def sign(docs: DataFrame, frequent: np.ndarray, weights: np.ndarray, rare: float) -> DataFrame:
-    """row, doc_id, digest (of the text), bands, shingles and weights of every row of ``docs``.
+def sign(docs: DataFrame) -> DataFrame:
+    """row, doc_id, digest (of the text), bands, shingles and weights of every row of ``docs`` (row, doc_id, text).
 
-    A text that the task has had already is a row without bands.
+    A text that the chunk has had already is a row without bands. The rows must
+    be stored ones, since they are read more than once.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((frequent, weights.astype(np.float32)))
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    total = size["n"]
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = f"row long, doc_id {kind}, digest string, bands array<bigint>, shingles binary, weights binary"
     names = [f.split()[0] for f in fields.split(", ")]
 
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, common_weights = sent.value
+    def signed(batches: list[pa.RecordBatch], common: np.ndarray, common_n: np.ndarray) -> Iterator[pa.RecordBatch]:
         had: set[str] = set()
         for batch in batches:
-            texts = batch.column(3)
-            for first, end, shingles, tf, n in _runs(texts):
-                w = np.full(len(shingles), rare, dtype=np.float32)
+            for first, end, shingles, tf, n in _runs(batch.column("text")):
+                in_docs = np.ones(len(shingles))
                 if len(common):
                     place = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
                     known = common[place] == shingles
-                    w[known] = common_weights[place[known]]
-                w *= (1 + np.log(tf)).astype(np.float32)
+                    in_docs[known] = common_n[place[known]]
+                w = (idf(in_docs, total) * (1 + np.log(tf))).astype(np.float32)
                 log_w = np.log(w)
                 bounds = np.append(0, np.cumsum(n))
                 full = np.flatnonzero(n)
@@ -284,7 +305,7 @@ def sign(docs: DataFrame, frequent: np.ndarray, weights: np.ndarray, rare: float
                     samples = sample(shingles[lo:hi], log_w[lo:hi], bounds[block] - lo, BANDS * BAND_ROWS)
                     keys[block] = band_keys(samples).view(np.int64)
                 small = (shingles >> np.uint64(32)).astype(np.uint32)
-                digests = batch.column(2).slice(first, end - first).to_pylist()
+                digests = batch.column("digest").slice(first, end - first).to_pylist()
                 bands, sets, set_weights = [], [], []
                 for k, digest in enumerate(digests):
                     if digest in had:
@@ -292,21 +313,33 @@ def sign(docs: DataFrame, frequent: np.ndarray, weights: np.ndarray, rare: float
                         sets.append(None)
                         set_weights.append(None)
                         continue
-                    if len(had) < REMEMBERED_TEXTS:
-                        had.add(digest)
+                    had.add(digest)
                     part = slice(bounds[k], bounds[k + 1])
                     bands.append(keys[k] if n[k] else [])
                     sets.append(pack_hashes(small[part]))
                     set_weights.append(w[part].tobytes())
-                columns = [batch.column(c).slice(first, end - first) for c in range(3)]
+                columns = [batch.column(c).slice(first, end - first) for c in names[:3]]
                 columns += [pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary()), pa.array(set_weights, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    def sign_chunk(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        none = np.empty(0, np.uint64)
+        common = np.concatenate([none, *map(unpack_shingles, answers["shingles"].to_pylist())])
+        common_n = np.concatenate([none, *map(unpack_numbers, answers["n"].to_pylist())])
+        order = np.argsort(common)
+        return pa.Table.from_batches(signed(texts.to_batches(), common[order], common_n[order]))
+
     text = F.coalesce("text", F.lit(""))
     source = docs.select(
-        "row", "doc_id", F.md5(text.cast("binary")).alias("digest"), text.alias("text")
+        F.shiftright("row", CHUNK_BITS).alias("chunk"),
+        "row",
+        "doc_id",
+        F.md5(text.cast("binary")).alias("digest"),
+        text.alias("text"),
     )
-    return source.mapInArrow(signed, fields)
+    parts = max(1, math.ceil((size["bytes"] or 0) / PART_BYTES))
+    answers = materialize(document_frequencies(source, parts), "frequencies")
+    return source.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(sign_chunk, fields)
 
 
 def _blocks(texts: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
@@ -520,14 +553,13 @@ def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """row, doc_id, digest and component of every row of ``docs`` (row, doc_id, text).
+    """row, doc_id, digest and component of every row of ``docs`` (row, doc_id, text), a stored table.
 
     Equal texts share a component. A null text is an empty one; texts without
     words are near duplicates of equal texts only. An empty table gives an empty
     one; extra columns are not read.
     """
-    frequent, n, total = frequent_shingles(docs)
-    signed = materialize(sign(docs, frequent, idf(n, max(1, total)), 1 + IDF_SPAN), "signed")
+    signed = materialize(sign(docs), "signed")
     found = link(signed, threshold)
     nodes = signed.filter("bands IS NOT NULL").groupBy("digest").agg(F.min("row").alias("node"))
     named = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
@@ -542,7 +574,7 @@ def number_rows(docs: DataFrame) -> DataFrame:
 
 def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class) and class_rows of every row of ``docs``."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rows = number_rows(docs.select("doc_id", "text")).select("row", "doc.doc_id", "doc.text")
     placed = materialize(classes(rows, threshold).select("doc_id", "component"), "classes")
     named = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows"))
     return placed.join(materialize(named, "class-names"), "component").select("doc_id", "class_id", "class_rows")
