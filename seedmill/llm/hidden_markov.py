@@ -36,6 +36,7 @@ SHARED_CLASSES = 1024
 ROUNDS = 3
 TABLE_WORDS = 1 << 20
 SIDE_BY_SIDE = 1024
+MOST_CELLS = 1 << 22
 STEPS = 256
 PRIOR = 10.0
 
@@ -184,12 +185,14 @@ def first_model(vocabulary: Vocabulary, states: int = STATES, seed: int = 7) ->
 def side_by_side(classes: np.ndarray, counts: np.ndarray, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Groups of texts of similar length: (text numbers, lengths, classes as steps x texts), longest first.
 
-    Each text gets the end token. What lies beyond a text's end is 0 and not read.
+    Each text gets the end token. Steps x texts are at most ``MOST_CELLS``, or it is one text. What lies beyond a text's end is 0 and not read.
     """
     starts = np.append(0, np.cumsum(counts))[:-1]
     order = np.argsort(-counts, kind="stable")
-    for k in range(0, len(order), SIDE_BY_SIDE):
-        texts = order[k : k + SIDE_BY_SIDE]
+    k = 0
+    while k < len(order):
+        texts = order[k : k + min(SIDE_BY_SIDE, max(1, MOST_CELLS // (int(counts[order[k]]) + 1)))]
+        k += len(texts)
         lengths = counts[texts] + 1
         table = np.zeros((int(lengths[0]), len(texts)), dtype=np.int32)
         for column, t in enumerate(texts.tolist()):

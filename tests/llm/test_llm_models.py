@@ -288,6 +288,16 @@ def test_forward_and_counts_against_all_paths(monkeypatch):
     assert emits == pytest.approx(expected[2]) and log == pytest.approx(likelihood.sum())
 
 
+def test_a_long_text_does_not_widen_its_neighbours():
+    counts = np.array([5] * 1500 + [1_000_000, 0])
+    classes = np.arange(counts.sum()) % 3
+    found = []
+    for texts, lengths, table in hidden_markov.side_by_side(classes, counts, 3):
+        assert table.size <= hidden_markov.MOST_CELLS and lengths.tolist() == (counts[texts] + 1).tolist()
+        found += texts.tolist()
+    assert sorted(found) == list(range(len(counts)))
+
+
 def check_scores(docs, **settings):
     rows = docs.collect()
     got = sorted(hidden_markov.score_documents(docs, **settings).collect(), key=lambda r: (r.doc_id or 0, r.n_tokens))
