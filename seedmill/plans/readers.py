@@ -13,11 +13,13 @@ from seedmill.sources import records, sinks
 
 @query("SELECT md5(text) AS digest FROM documents")
 def read_documents(spark, folder):
-    """Files of digests, one line for each document, found and opened as documents."""
+    """Files of whole texts, one JSON line for each document, found and opened as documents."""
     path = scratch_path(spark, "files")
-    table(spark, folder, "documents").select(F.md5("text").alias("value")).write.text(path)
-    found = fl.read_documents(spark, path).select(F.explode(F.split(F.col("content").cast("string"), "\n")).alias("digest"))
-    return found.filter("digest <> ''")
+    lines = table(spark, folder, "documents").select(F.to_json(F.struct("text")).alias("value"))
+    # A file is read as one value, so files are kept small.
+    lines.write.option("maxRecordsPerFile", 1000).text(path)
+    found = fl.read_documents(spark, path).select(F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line"))
+    return found.filter("line <> ''").select(F.md5(F.from_json("line", "text string")["text"]).alias("digest"))
 
 
 @query("SELECT text AS user_input, 'item ' || item_id AS reference FROM benchmark")

@@ -11,6 +11,7 @@ from seedmill.functions.slots import judge_column
 from seedmill.functions.storage import materialize, shared_folder
 from seedmill.operators.catalog import dataset_listing, datasets_by_run
 from seedmill.operators.generation import generate, seed_requests
+from seedmill.plans import readers
 from seedmill.sources import files as fl
 from seedmill.sources import records, sinks
 
@@ -270,3 +271,19 @@ def test_stored_table_has_a_short_lineage(spark):
     assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, df.collect()))
     assert "md5" not in stored._jdf.queryExecution().toString()
     assert shared_folder(spark)
+
+
+def test_whole_texts_pass_through_the_document_reader(spark, tmp_path, monkeypatch):
+    texts = ["one\nof two lines\r\n", "日本語 \u00a0 é", "long " * 100_000, "\"quoted\" \\n", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    read, seen = fl.read_documents, []
+
+    def watched(*args):
+        seen.append(read(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(readers.fl, "read_documents", watched)
+    got = readers.read_documents(spark, str(tmp_path)).collect()
+    assert sorted(r.digest or "" for r in got) == sorted(r.d or "" for r in rows.select(F.md5("text").alias("d")).collect())
+    assert sum(len(r.content) for r in seen[0].collect()) > sum(len((t or "").encode()) for t in texts)
