@@ -67,6 +67,16 @@ MORE_RULES = (
 )
 RULES = (*BASE_RULES, *MORE_RULES)
 RULE_VERSION = "1"
+# For masking, a key goes with its first line: headers, body and END line, however long.
+MASK_RULES = (
+    *RULES,
+    SecretRule(
+        "private_key_block",
+        r"-----BEGIN [A-Z0-9\x20]{0,40}PRIVATE KEY-----\s*(?:Proc-Type:[^\n]*\n)?(?:DEK-Info:[^\n]*\n)?"
+        r"[A-Za-z0-9+/=\\\s]*+-----END [A-Z0-9\x20]{0,40}PRIVATE KEY-----",
+    ),
+)
+MASK_VERSION = "1-mask"
 
 
 def blob_id(text: Column) -> Column:
@@ -206,13 +216,13 @@ def _count(kind: str) -> Column:
 def redact(docs: DataFrame, mask: str = "[secret]", ledger_path: str | None = None) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mask`` and ``n_chars`` to match.
 
-    Spans that overlap are replaced as one. Texts without secrets, null ones
+    A private key is masked up to its END line. Spans that overlap are replaced as one. Texts without secrets, null ones
     included, stay as they are.
     """
     path = ledger_path or scratch_path(docs.sparkSession, "secret-ledger")
-    scan_versions(docs, path)
+    scan_versions(docs, path, MASK_RULES, MASK_VERSION)
     boxed = docs.select(F.struct("*").alias("doc"), F.col("text").alias("text"))
-    spans = findings(boxed, path, ["doc", "text"])
+    spans = findings(boxed, path, ["doc", "text"], MASK_VERSION)
     merged = F.aggregate(
         "spans",
         F.array().cast("array<struct<start:bigint,end:bigint>>"),

@@ -126,6 +126,16 @@ def test_redaction_keeps_all_else(spark):
 # --- quality
 
 
+def test_redaction_masks_whole_private_keys(spark):
+    body = "\n".join("QUJD+/" * 10 for _ in range(3000))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    texts = [f"a {begin}\n{body}\n{end} b", f"a {begin}\n{headers}QUJD\n{end} b {begin}\nQUJD\n{end}", f"a {begin} no more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in secret_ledger.redact(docs).orderBy("doc_id").collect()]
+    assert got == ["a [secret] b", "a [secret] b [secret]", "a [secret] no more"]
+
+
 def brute_stats(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
