@@ -5,9 +5,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedmill.llm import (
+    collocations,
+    fill_in_middle,
     hidden_markov,
     near_duplicates,
     packing,
+    personal_data,
     posting_lists,
     quality_rules,
     revisits,
@@ -268,3 +271,155 @@ def op1_posting_lists(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.duplicate_classes(table(spark, folder, "documents"))
+
+
+_FIM_UNIT = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+
+
+@query(
+    rf"""
+WITH cut AS (
+  SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '{_FIM_UNIT}') AS units,
+         sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents),
+drawn AS (
+  SELECT *, len(units) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(units) + 1) AS c1,
+         ('0x' || substr(h, 9, 8))::BIGINT % (len(units) + 1) AS c2,
+         CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 50 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut),
+parts AS (
+  SELECT *, array_to_string(units[1:least(c1, c2)], '') AS a,
+         array_to_string(units[least(c1, c2) + 1:greatest(c1, c2)], '') AS b,
+         array_to_string(units[greatest(c1, c2) + 1:], '') AS c
+  FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || c || '<P>' || a || '<M>' || b
+              ELSE '<P>' || a || '<S>' || c || '<M>' || b END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+)
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, folder, "documents"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
+def _proposed_sql(number: int, kind: personal_data.PiiKind) -> str:
+    return rf"""
+  SELECT row_no, {number} AS kind_no, '{kind.kind}' AS kind, found, right(gap, 40) AS before, left(after, 40) AS after,
+         length(found) AS found_chars,
+         sum(length(gap) + length(found)) OVER (PARTITION BY row_no ORDER BY place) - length(found) AS starts
+  FROM (SELECT row_no, unnest(regexp_extract_all(text, '{kind.pattern}')) AS found, unnest(parts[1:-2]) AS gap,
+               unnest(parts[2:]) AS after, unnest(range(len(parts) - 1)) AS place
+        FROM (SELECT row_no, text, string_split_regex(text, '{kind.pattern}') AS parts FROM texts
+              WHERE regexp_matches(text, '{kind.pattern}')))"""
+
+
+def _points_sql() -> str:
+    cases = "".join(
+        f" WHEN {number} THEN {kind.score}"
+        f" + CASE WHEN regexp_matches(context, '{personal_data.near_words(kind.near)}') THEN 30 ELSE 0 END"
+        f" - CASE WHEN regexp_matches(context, '{personal_data.near_words(kind.against)}') THEN 40 ELSE 0 END"
+        for number, kind in enumerate(personal_data.KINDS)
+    )
+    return f"least(100, greatest(0, CASE kind_no{cases} END))"
+
+
+_PART = "0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+_COUNTRIES = ", ".join(f"'{code}': {size}" for code, size in personal_data.IBAN_CHARS.items())
+_PII_SQL = rf"""
+WITH texts AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
+proposed AS ({" UNION ALL ".join(_proposed_sql(i, k) for i, k in enumerate(personal_data.KINDS))}),
+sized AS (
+  SELECT *, lower(before || ' ' || after) AS context, regexp_replace(found, '[^0-9]', '', 'g') AS digits,
+         MAP {{{_COUNTRIES}}}[substr(found, 1, 2)] AS country_chars,
+         CASE WHEN kind <> 'iban' THEN found_chars WHEN substr(found, 5, 1) = ' '
+              THEN country_chars + (country_chars - 1) // 4 ELSE country_chars END AS size
+  FROM proposed WHERE found IS NOT NULL),
+spelled AS (
+  SELECT *, replace(substr(found, 1, size::BIGINT), ' ', '') AS account,
+         substr(found, size::BIGINT + 1) || after AS following FROM sized),
+checked AS (
+  SELECT *, CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN regexp_matches(found, '^{_PART}\.{_PART}\.{_PART}\.{_PART}$')
+    WHEN 'card' THEN length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(length(digits)), lambda i:
+         CASE WHEN i % 2 = 0 THEN substr(digits, length(digits) - i, 1)::INT
+              ELSE (2 * substr(digits, length(digits) - i, 1)::INT) // 10
+                 + (2 * substr(digits, length(digits) - i, 1)::INT) % 10 END)) % 10 = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
+    WHEN 'iban' THEN length(account) = country_chars AND NOT regexp_matches(before, '[A-Za-z0-9]$')
+         AND NOT regexp_matches(following, '^[A-Za-z0-9]')
+         AND list_reduce([0::BIGINT] || list_transform(string_split(substr(account, 5) || substr(account, 1, 4), ''),
+               lambda c: CASE WHEN regexp_matches(c, '[A-Z]') THEN 1000 + ascii(c) - 55 ELSE ascii(c) - 48 END::BIGINT),
+               lambda a, c: CASE WHEN c >= 1000 THEN (a * 100 + c - 1000) % 97 ELSE (a * 10 + c) % 97 END) = 1
+    ELSE NOT regexp_matches(before, '[0-9A-Za-z-]$') AND NOT regexp_matches(after, '^[0-9A-Za-z-]')
+         AND NOT regexp_matches(found, '^(000|666|9)|-00-|-0000$') END
+    AND (kind_no < {len(personal_data.BASE_KINDS)} OR {_points_sql()} >= {personal_data.THRESHOLD}) AS good
+  FROM spelled),
+named AS (
+  SELECT *, kind || ':' || starts::BIGINT || ':' || (starts + size)::BIGINT AS span FROM checked WHERE good),
+found AS (
+  SELECT row_no, {", ".join(f"count(*) FILTER (kind = '{k.kind}') AS n_{k.kind}" for k in personal_data.BASE_KINDS)},
+         string_agg(span, ',' ORDER BY starts, kind_no) FILTER (kind_no < {len(personal_data.BASE_KINDS)}) AS base,
+         string_agg(span, ',' ORDER BY starts, kind_no) AS spans
+  FROM named GROUP BY row_no)
+SELECT doc_id, {", ".join(f"coalesce(n_{k.kind}, 0) AS n_{k.kind}" for k in personal_data.BASE_KINDS)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN found USING (row_no)
+"""
+
+
+@query(_PII_SQL)
+def op11_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.document_personal_data(table(spark, folder, "documents"))
+
+
+@query(
+    r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?
+-]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' ')))
+         AS phrase
+  FROM words, (SELECT unnest(range(1, 5)) AS size) WHERE len(w) >= size),
+counts AS (SELECT lang, phrase, any_value(size) AS size, count(*) AS f FROM grams GROUP BY lang, phrase HAVING count(*) >= 30),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE size > 1),
+cuts AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)),
+scored AS (
+  SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = head JOIN counts y ON y.lang = c.lang AND y.phrase = tail),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored),
+spots AS (
+  SELECT lang, array_to_string(w[s:s + z - 1], ' ') AS phrase, f
+  FROM candidates, (SELECT unnest(range(2, 4)) AS z), (SELECT unnest(range(1, 4)) AS s) WHERE z < size AND s + z - 1 <= size),
+inner_ AS (SELECT lang, phrase, max(f) AS longest FROM spots GROUP BY lang, phrase),
+ranked AS (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, score
+  FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE place = 1 AND NOT coalesce(100::HUGEINT * longest >= 80::HUGEINT * a, false))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+)
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
