@@ -207,9 +207,8 @@ def propose(texts: DataFrame, kinds: Sequence[PiiKind]) -> DataFrame:
             F.left(F.get(F.col("h.between"), place + 1), F.lit(NEAR)).alias("after"),
         )
 
-    matches = by_kind.select(
-        "row", "doc_id", F.col("h.kind_no").alias("kind_no"), F.explode_outer(F.transform("h.found", match)).alias("m")
-    )
+    lists = by_kind.select("row", "doc_id", F.col("h.kind_no").alias("kind_no"), F.transform("h.found", match).alias("all"))
+    matches = lists.select("row", "doc_id", "kind_no", F.explode_outer("all").alias("m"))
     m = F.col("m")
     good, points, size = F.lit(False), F.lit(0), F.lit(0)
     for number, kind in enumerate(kinds):
