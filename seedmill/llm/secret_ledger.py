@@ -112,7 +112,8 @@ def find_spans(texts: DataFrame, rules: Sequence[SecretRule]) -> DataFrame:
         F.col("k.found"),
         lambda found, i: F.struct(F.length(F.get(F.col("k.between"), i)).alias("gap"), found.alias("found")),
     )
-    placed = hits.select("blob", "k.kind_no", F.posexplode_outer(pairs).alias("place", "m")).select(
+    lists = hits.select("blob", F.col("k.kind_no").alias("kind_no"), pairs.alias("pairs"))
+    placed = lists.select("blob", "kind_no", F.posexplode_outer("pairs").alias("place", "m")).select(
         "blob", "kind_no", "place", "m.gap", "m.found", F.length("m.found").alias("size")
     )
     upto = Window.partitionBy("blob", "kind_no").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
