@@ -5,8 +5,9 @@ encodes them side by side. Neighbours are then joined pairwise. Around a join
 the text is encoded anew in a window that grows until both sides agree:
 
 * The window grows to places on both sides where any text of this kind is cut, a
-  blank before a non-blank, and one piece further. Its ids have to begin with
-  those of the left side for that piece and to end with those of the right side.
+  blank before what is not white space, and one piece further. These places
+  have to be ends of ids on their side. The window's ids have to begin with those
+  of the left side for that piece and to end with those of the right side.
 * Where there are no such blanks, the pattern's own cuts are compared. It reads
   from left to right and looks at most three characters past a place, so from a
   unit of the left side that ends before that, the window is cut anew until one
@@ -22,7 +23,6 @@ The outcome is exactly that of the library for the whole text.
 
 import hashlib
 import os
-import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,14 +35,13 @@ from pyspark.sql import functions as F
 
 from seedmill.functions.storage import materialize
 from seedmill.llm.packing import worker_vocabulary
-from seedmill.llm.pieces import byte_symbols, worker_encoder
+from seedmill.llm.pieces import CUT, byte_symbols, worker_encoder
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 LEAF_CHARS = 16_384
 FIRST_WINDOW = 64
 LAST_WINDOW = 4096
-CUT = re.compile(r" (?=[^ ])")
 LOOKAHEAD = 3
 LONG_UNIT = 512
 AGREE = 2
@@ -141,25 +140,27 @@ class TreeEncoder:
                 outer, near = left_cuts[-2:]
                 far, last = right_cuts[:2]
                 window = np.array(self.encoder.ids(tail[outer:] + head[:last]), dtype="<u4")
-                taken_left = self._ids_of(left.ids[::-1], tail[outer:])
-                taken_right = self._ids_of(right.ids, head[:last])
-                own = left.ids[len(left.ids) - taken_left :]
-                other = right.ids[:taken_right]
-                before = taken_left - self._ids_of(left.ids[::-1], tail[near:])
-                after = taken_right - self._ids_of(right.ids, head[:far])
-                left_agrees = np.array_equal(window[:before], own[:before])
-                right_agrees = np.array_equal(window[len(window) - after :], other[len(other) - after :])
-                if left_agrees and right_agrees:
-                    ids = [left.ids[: len(left.ids) - taken_left], window, right.ids[taken_right:]]
-                    return Segment(left.text + right.text, np.concatenate(ids))
+                taken_left, near_left = (self._ids_of(left.ids[::-1], tail[at:]) for at in (outer, near))
+                taken_right, near_right = (self._ids_of(right.ids, head[:at]) for at in (last, far))
+                if None not in (taken_left, near_left, taken_right, near_right):
+                    own = left.ids[len(left.ids) - taken_left :]
+                    other = right.ids[:taken_right]
+                    before, after = taken_left - near_left, taken_right - near_right
+                    left_agrees = np.array_equal(window[:before], own[:before])
+                    right_agrees = np.array_equal(window[len(window) - after :], other[len(other) - after :])
+                    if left_agrees and right_agrees:
+                        ids = [left.ids[: len(left.ids) - taken_left], window, right.ids[taken_right:]]
+                        return Segment(left.text + right.text, np.concatenate(ids))
             if size >= LAST_WINDOW:
                 return None
             size *= 4
 
-    def _ids_of(self, ids: np.ndarray, text: str) -> int:
-        """How many of the first ``ids`` make up as many bytes as ``text`` has."""
+    def _ids_of(self, ids: np.ndarray, text: str) -> int | None:
+        """How many of the first ``ids`` make up the bytes of ``text``; None where it ends inside an id."""
         size = len(text.encode())
-        return int(np.searchsorted(np.cumsum(self.sizes[ids[: size + 1]]), size)) + 1 if size else 0
+        ends = np.append(0, np.cumsum(self.sizes[ids[:size]]))
+        count = int(np.searchsorted(ends, size))
+        return count if count < len(ends) and ends[count] == size else None
 
     def _join_at_units(self, left: Segment, right: Segment) -> Segment:
         left_chars, left_counts = self.units(left)

@@ -1,6 +1,7 @@
 """Token counts, packing and tree BPE against the library, on odd texts and whole tables."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -186,6 +187,19 @@ def test_tree_on_long_units(text):
     assert TREE.encode(text, 256).tolist() == ids_of(text)
 
 
+MIXED = ["\u00a0 ", "\u00a0 \u00a0 ", "word ", "price ", "\n ", "  \n", "7 ", "x", "\t ", "hello world ", "\u3000", " \u3000 ", "\x1c "]
+
+
+@pytest.mark.parametrize("leaf", [64, 100, 512, 4096, 16_384])
+def test_tree_on_runs_of_mixed_white_space(leaf):
+    for seed in range(200 if leaf < 4096 else 30):
+        draw = random.Random(f"{leaf}-{seed}")
+        text = "".join(draw.choices(MIXED, k=1200 if leaf < 4096 else 12_000))
+        ids = TREE.encode(text, leaf).tolist()
+        assert ids == ids_of(text), (leaf, seed)
+        assert LIBRARY.decode(ids, skip_special_tokens=False) == text
+
+
 def test_tree_bpe_query(odd):
     def digest(text):
         return hashlib.sha256(text.encode()).hexdigest()
