@@ -7,11 +7,12 @@ probability of their weighted Jaccard similarity. Texts that share a band of
 four samples are candidates, and every candidate pair that counts is verified on
 the full weighted sets. Links of at least the threshold form classes.
 
-Document frequencies are exact for every shingle. The rows are stored in chunks;
-each chunk sends its distinct shingles, with the numbers of its texts that hold
-them, to parts of the hash range. A part adds them up and answers each chunk with
-the frequencies above 1, which meet the texts of the chunk by shuffle. What
-travels are packed arrays, not rows of single shingles.
+Document frequencies are exact for every shingle. The rows are stored in chunks
+of bounded bytes; each chunk sends its distinct shingles, with the numbers of its
+texts that hold them, to parts of the hash range. A part adds them up and answers
+each chunk with the frequencies above 1. The chunks lie in buckets and stay where
+they are; the answers are dealt to the buckets and read beside them. What travels
+are packed arrays, not rows of single shingles, and no text.
 
 No group is held by one task and no group's pairs are all built. In each bucket
 of a band one text is compared with the others; only texts of a bucket that are
@@ -22,6 +23,7 @@ Equal texts are one node throughout.
 """
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedmill.functions.storage import materialize
+from seedmill.functions.storage import materialize, scratch_path
 from seedmill.llm.word_hashes import mix, word_hashes
 
 SHINGLE = 5
@@ -39,8 +41,10 @@ BAND_ROWS = 4
 IDF_SPAN = 0.25
 CHUNK_SHINGLES = 2_000_000
 BLOCK_SHINGLES = 32_768
-CHUNK_BITS = 11
+# (most bytes of a text, rows as a power of two): the rows of a chunk come to at most 32 MB.
+CHUNKS = ((16 << 10, 11), (512 << 10, 6), (None, 0))
 PART_BYTES = 8 << 20
+MOST_BUCKETS = 100_000
 PIVOTS = 512
 BLOCK_MEMBERS = 512
 GROUP_MEMBERS = 256
@@ -275,10 +279,10 @@ def idf(n: np.ndarray, total: int, span: float = IDF_SPAN) -> np.ndarray:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """row, doc_id, digest (of the text), bands, shingles and weights of every row of ``docs`` (row, doc_id, text).
+    """row, doc_id, digest (of the text), bands, shingles and weights of every row of ``docs`` (row, chunk, doc_id, text).
 
     A text that the chunk has had already is a row without bands. The rows must
-    be stored ones, since they are read more than once.
+    be those of ``number_rows``, since they are read more than once.
     """
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     total = size["n"]
@@ -331,7 +335,7 @@ def sign(docs: DataFrame) -> DataFrame:
 
     text = F.coalesce("text", F.lit(""))
     source = docs.select(
-        F.shiftright("row", CHUNK_BITS).alias("chunk"),
+        "chunk",
         "row",
         "doc_id",
         F.md5(text.cast("binary")).alias("digest"),
@@ -553,7 +557,7 @@ def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """row, doc_id, digest and component of every row of ``docs`` (row, doc_id, text), a stored table.
+    """row, doc_id, digest and component of every row of ``docs`` (row, chunk, doc_id, text), as ``number_rows`` stores them.
 
     Equal texts share a component. A null text is an empty one; texts without
     words are near duplicates of equal texts only. An empty table gives an empty
@@ -567,14 +571,31 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def number_rows(docs: DataFrame) -> DataFrame:
-    """``row`` and ``doc`` (all columns) of every row of ``docs``, stored, so that the numbers hold for every later read."""
-    boxed = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc"))
-    return materialize(boxed, "numbered")
+    """``row``, ``chunk`` and ``doc`` (all columns) of every row of ``docs``, stored in buckets by chunk.
+
+    The numbers hold for every later read. A chunk has neighbouring rows of like
+    size, few where texts are long and a single one where it is very long, so its
+    bytes are bounded. It lies in one bucket, so what is grouped by chunk needs no
+    shuffle of the texts.
+    """
+    spark = docs.sparkSession
+    row, size = F.monotonically_increasing_id(), F.coalesce(F.octet_length("doc.text"), F.lit(0))
+    numbered = docs.select(F.struct("*").alias("doc")).withColumn("row", row)
+    chunk = F.lit(None)
+    for number, (most, bits) in reversed(list(enumerate(CHUNKS))):
+        own = F.shiftright("row", bits) * len(CHUNKS) + number
+        chunk = own if most is None else F.when(size <= most, own).otherwise(chunk)
+    total = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    buckets = max(math.ceil(total / PART_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = f"numbered_{uuid.uuid4().hex}"
+    writer = numbered.withColumn("chunk", chunk).write.format("parquet").option("path", scratch_path(spark, "numbered"))
+    writer.bucketBy(min(buckets, MOST_BUCKETS), "chunk").sortBy("chunk").saveAsTable(name)
+    return spark.table(name)
 
 
 def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class) and class_rows of every row of ``docs``."""
-    rows = number_rows(docs.select("doc_id", "text")).select("row", "doc.doc_id", "doc.text")
+    rows = number_rows(docs.select("doc_id", "text")).select("row", "chunk", "doc.doc_id", "doc.text")
     placed = materialize(classes(rows, threshold).select("doc_id", "component"), "classes")
     named = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows"))
     return placed.join(materialize(named, "class-names"), "component").select("doc_id", "class_id", "class_rows")
@@ -587,7 +608,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     stays; a null doc_id comes after all others.
     """
     rows = number_rows(docs)
-    read = rows.select("row", "doc.doc_id", "doc.text")
+    read = rows.select("row", "chunk", "doc.doc_id", "doc.text")
     placed = materialize(classes(read, threshold).select("row", "doc_id", "component"), "classes")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
     firsts = placed.groupBy("component").agg(F.min(order).alias("first"))

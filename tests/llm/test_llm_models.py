@@ -104,13 +104,13 @@ def test_classes_against_all_pairs(spark, corpus):
 
 def test_weights_follow_the_frequencies_of_all_shingles(spark, corpus, monkeypatch):
     ship_package(spark)
-    monkeypatch.setattr(near_duplicates, "CHUNK_BITS", 4)
+    monkeypatch.setattr(near_duplicates, "CHUNKS", ((40, 4), (200, 2), (None, 0)))
     monkeypatch.setattr(near_duplicates, "PART_BYTES", 10_000)
     texts = [t for t in corpus if len(words(t)) >= 5]
     sets = [collections.Counter(tuple(words(t)[i : i + 5]) for i in range(len(words(t)) - 4)) for t in texts]
     df = collections.Counter(s for c in sets for s in c)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    rows = near_duplicates.number_rows(frame).select("row", "doc.doc_id", "doc.text")
+    rows = near_duplicates.number_rows(frame).select("row", "chunk", "doc.doc_id", "doc.text")
     signed = {r.doc_id: r.weights for r in near_duplicates.sign(rows).collect() if r.weights is not None}
     assert {texts[k] for k in signed} == set(texts)
     for k, weights in signed.items():
