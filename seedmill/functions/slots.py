@@ -7,7 +7,6 @@ The defaults here are deterministic and need no model.
 
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -74,22 +73,36 @@ def _schema(schema: str | T.StructType) -> T.StructType:
     return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
 
-@lru_cache(maxsize=100_000)
-def _slot_of(token: str, dim: int) -> int:
-    return int(hashlib.md5(token.encode()).hexdigest()[:6], 16) % dim
+MAX_CACHED = 1 << 19
 
 
 class HashingEmbedder:
-    """Counts of hashed words: equal texts get equal vectors, shared words bring texts closer."""
+    """Counts of hashed words: equal texts get equal vectors, shared words bring texts closer.
+
+    The slots of words that came before are kept, up to ``MAX_CACHED`` of them;
+    then the table begins anew.
+    """
 
     def __init__(self, dim: int = 64):
         self.dim = dim
+        self.slots: dict[str, int] = {}
+
+    def _learn(self, found: set[str]) -> None:
+        for word in found:
+            self.slots[word] = int(hashlib.md5(word.encode()).hexdigest()[:6], 16) % self.dim
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
         for i, text in enumerate(texts):
-            slots = [_slot_of(token, self.dim) for token in text.split()]
-            out[i] = np.bincount(slots, minlength=self.dim) if slots else 0
+            if len(self.slots) > MAX_CACHED:
+                self.slots.clear()
+            found = text.split()
+            slots = list(map(self.slots.get, found))
+            if None in slots:
+                self._learn({word for word, slot in zip(found, slots, strict=True) if slot is None})
+                slots = list(map(self.slots.get, found))
+            if slots:
+                out[i] = np.bincount(slots, minlength=self.dim)
         return out
 
 

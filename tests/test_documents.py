@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seedmill.functions.slots import HashingEmbedder
 from seedmill.operators import documents as dc
-from seedmill.operators.retrieval import augmented_context, retrieve_topk
+from seedmill.operators.retrieval import _upper_bounds, augmented_context, retrieve_topk, search_effort
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title></head><body><script>var a = "<p>x</p>";</script>
 <!-- gone --><nav><a href="/">Home</a></nav><h1 class="x">One &amp; only</h1><p>First <b>bold</b> line.<br>Second&nbsp;line</p>
@@ -168,6 +168,31 @@ def test_topk_equals_brute_force(spark, metric, limits):
             assert np.allclose([scores[a, r] for r in range(1, 6)], wanted)
 
 
+def test_blocks_that_cannot_reach_the_top_are_not_scored(spark):
+    """Vectors in tight groups: a query scores its own group and little else, and still finds what brute force finds."""
+    random = np.random.default_rng(11)
+    centers = random.normal(size=(40, 16)) * 5
+    index = np.repeat(centers, 50, axis=0) + random.normal(size=(2000, 16)) * 0.05
+    queries = centers[::2]
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id int, embedding array<double>")
+    n = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(index)], "id int, embedding array<double>")
+    got = retrieve_topk(q, n, 4, "cosine", block_vectors=32)
+    assert sorted((r["query_id"], r["id"], r["rank"]) for r in got.collect()) == best(queries, index, 4, "cosine")
+    effort = search_effort(q, n, 4, "cosine", block_vectors=32).first()
+    assert (effort["queries"], effort["vectors"]) == (20, 2000)
+    assert 20 * 4 <= effort["pairs_scored"] < 20 * 2000 / 5
+
+
+def test_bounds_are_never_too_low():
+    random = np.random.default_rng(2)
+    for _ in range(200):
+        vectors, queries = random.normal(size=(9, 5)) * random.uniform(0, 9), random.normal(size=(7, 5))
+        center = vectors.mean(axis=0)
+        radius, longest = np.linalg.norm(vectors - center, axis=1).max(), np.linalg.norm(vectors, axis=1).max()
+        bounds = np.concatenate([vectors.min(axis=0), vectors.max(axis=0), center, [radius, longest]])
+        assert (_upper_bounds(queries, bounds[None, :])[:, 0] >= (queries @ vectors.T).max(axis=1)).all()
+
+
 def test_fewer_vectors_than_k_and_empty_sides(spark):
     one = spark.createDataFrame([(1, [1.0, 0.0])], "id int, embedding array<double>")
     q = one.withColumnRenamed("id", "query_id")
