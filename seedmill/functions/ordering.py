@@ -1,17 +1,15 @@
 """Exact positions and running sums over data too large for one sorted task.
 
 Spark has no global row index. A window without partitions pulls all rows into
-one task, and a window over a key does the same to the hottest key. Here the
-sort key itself, keys first and then the order, is cut into buckets at sampled
-split points, and every bucket is ranked on its own. A split point cuts at most
-one key, so a bucket has at most one key that began earlier; what came before
-it is one number per bucket, a constant of the final plan. There is one way for
-every size; a small table just has few rows in each bucket.
-
-The split points only balance the work: every row is kept and positions are
-exact. The order columns must identify a row, as they do for any stable sort.
-The input is read once for its size, once for the sample, once for the bucket
-totals and once for the result: hand in a stored table when it is costly.
+one task, and a window over a key does the same to the hottest key. Here the rows
+are dealt out by ranges of the sort key, keys first and then the order, and
+stored with the number of their range. Every range is ranked on its own. Its last
+key may go on in the next range, so what came before a range's first key is a sum
+over one row for each range, joined back by the range's number. Nothing of the
+data is in the plan, which is the same for ten rows and for ten billion.
+
+Ranges only balance the work: every row is kept and positions are exact. The
+order columns must identify a row, as they do for any stable sort.
 """
 
 import math
@@ -22,61 +20,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seedmill.functions.sizing import task_slots
+from seedmill.functions.storage import materialize
 
 ROWS_PER_BUCKET = 1_000_000
-SAMPLES_PER_BUCKET = 16
 
 
 def _literal(row, schema: T.StructType) -> Column:
     return F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def _split_points(sort_keys: DataFrame, rows: int, buckets: int) -> list:
-    """At most ``buckets - 1`` sort keys from a bounded random sample, in order."""
-    fraction = min(1.0, buckets * SAMPLES_PER_BUCKET / max(1, rows))
-    sample = sort_keys.sample(False, fraction, seed=17).orderBy(*sort_keys.columns).collect()
-    step = max(1, len(sample) // buckets)
-    return sample[step::step][: buckets - 1]
+def _before(stored: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """(range, first key, amounts): how much of a range's first key lies in earlier ranges.
 
-
-def _with_bucket(df: DataFrame, names: Sequence[str], points: list, schema: T.StructType) -> DataFrame:
-    """Add ``_bucket``, the number of split points not above the row's sort key.
-
-    Found in two steps of about sqrt(n) comparisons: first the group of points,
-    then the place inside the group.
+    One row a range and key is counted where the rows are; of those only the last
+    key of each range counts on, and the running sums over the ranges that end with
+    one key are over a row for each range.
     """
-    if not points:
-        return df.withColumn("_bucket", F.lit(0))
-    width = max(1, math.isqrt(len(points)))
-    literals = [_literal(p, schema) for p in points]
-    groups = [literals[i : i + width] for i in range(0, len(literals), width)]
-    heads = F.array(*[group[0] for group in groups]).cast(T.ArrayType(schema))
-    inside = F.array(*[F.array(*group) for group in groups]).cast(T.ArrayType(T.ArrayType(schema)))
-    keyed = df.withColumn("_at", F.struct(*names))
-    grouped = keyed.withColumn("_group", F.size(F.filter(heads, lambda p: p <= F.col("_at"))))
-    group = F.element_at(inside, F.greatest(F.col("_group"), F.lit(1)))
-    return grouped.withColumn(
-        "_bucket",
-        F.when(F.col("_group") == 0, F.lit(0)).otherwise(
-            (F.col("_group") - 1) * width + F.size(F.filter(group, lambda p: p <= F.col("_at")))
-        ),
-    ).drop("_at", "_group")
-
-
-def _is_key_of(point: Column, key: Column, keys: list[str]) -> Column:
-    """Whether the row's key is the key of a split point (of every one when there are no keys)."""
-    return F.coalesce(key == point, F.lit(False)) if keys else point.isNotNull()
-
-
-def _before(points: list, totals: dict, keys: list[str], name: str) -> list:
-    """Per bucket, how much of its first key lies in earlier buckets."""
-    before = [0]
-    for b in range(1, len(points) + 1):
-        here = totals.get(b - 1)
-        ended = (here[name] if here else None) or 0
-        whole = b >= 2 and all(points[b - 1][k] == points[b - 2][k] for k in keys)
-        before.append(ended + (before[-1] if whole else 0))
-    return before
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    amounts = [F.count(F.lit(1)).alias("_n0"), *[F.sum(s).alias(f"_n{k}") for k, s in enumerate(sums, 1)]]
+    names = [f"_n{k}" for k in range(len(sums) + 1)]
+    by_key = stored.groupBy("_range", key.alias("_key")).agg(*amounts)
+    ranges = by_key.groupBy("_range").agg(
+        F.min("_key").alias("_first"), F.max("_key").alias("_last"), F.max_by(F.struct(*names), "_key").alias("_tail")
+    )
+    ended = Window.partitionBy("_last").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = ranges.select(
+        "_range", "_first", "_last", *[F.sum(F.col("_tail")[n]).over(ended).alias(n) for n in names]
+    )
+    follows = Window.orderBy("_range")
+    goes_on = F.lag("_last").over(follows) == F.col("_first")
+    return so_far.select(
+        F.col("_range"), F.col("_first"), *[F.when(goes_on, F.lag(n).over(follows)).alias(n) for n in names]
+    )
 
 
 def with_position(
@@ -92,63 +67,43 @@ def with_position(
 
     ``running`` maps new column names to numeric expressions; each gets the sum
     from the first row of its group up to and including the row. ``order`` is
-    ascending; negate a number to reverse it.
+    ascending; negate a number to reverse it. A column of ``df`` that is named like
+    a new one is an error.
     """
     running = dict(running or {})
+    clashes = sorted({position, *running} & set(df.columns))
+    if clashes:
+        raise ValueError(f"the table has columns {clashes} already")
     rows = df.count() if rows is None else rows
     key_names = [f"_k{i}" for i in range(len(keys))]
     order_names = [f"_o{i}" for i in range(len(order))]
+    sum_names = [f"_s{i}" for i in range(len(running))]
     staged = df.select(
-        "*",
+        F.struct("*").alias("_row"),
         *[F.col(k).alias(n) for k, n in zip(keys, key_names, strict=True)],
         *[c.alias(n) for c, n in zip(order, order_names, strict=True)],
-        *[c.alias(f"_value_{name}") for name, c in running.items()],
-    )
-
-    def ranked(source: DataFrame, partition: list[str], first, offsets) -> DataFrame:
-        window = Window.partitionBy(*partition).orderBy(*order_names)
-        upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        place = (F.row_number().over(window) - 1).cast("long") + first
-        sums = [
-            (F.coalesce(F.sum(f"_value_{n}").over(upto), F.lit(0)) + offsets[n]).alias(n) for n in running
-        ]
-        return source.select(*df.columns, place.alias(position), *sums)
-
-    sort_names = [*key_names, *order_names]
-    sort_keys = staged.select(*sort_names)
-    buckets = max(task_slots(df.sparkSession), math.ceil(rows / rows_per_bucket))
-    points = _split_points(sort_keys, rows, buckets)
-    bucketed = _with_bucket(staged, sort_names, points, sort_keys.schema)
-
-    key_schema = T.StructType([f for f in sort_keys.schema.fields if f.name in key_names])
-    if key_names:
-        point_keys = F.array(*[_literal(p, key_schema) for p in points]).cast(T.ArrayType(key_schema))
-    else:
-        point_keys = F.array_repeat(F.lit(0), len(points))
-    key = F.struct(*key_names) if key_names else F.lit(0)
-    bucket = F.col("_bucket")
-
-    ends = _is_key_of(F.try_element_at(point_keys, bucket + 1), key, key_names)
-    totals = bucketed.withColumn("_ends", ends).groupBy("_bucket").agg(
-        F.count_if("_ends").alias("_rows"),
-        *[F.sum(F.when(F.col("_ends"), F.col(f"_value_{n}"))).alias(n) for n in running],
-    )
-    by_bucket = {r["_bucket"]: r for r in totals.collect()}
-
-    starts = (bucket > 0) & _is_key_of(
-        F.try_element_at(point_keys, F.greatest(bucket, F.lit(1))), key, key_names
-    )
-
-    def offset(name: str, kind: T.DataType) -> Column:
-        amounts = F.array(*[F.lit(v).cast(kind) for v in _before(points, by_bucket, key_names, name)])
-        return F.when(F.col("_starts"), F.element_at(amounts, bucket + 1)).otherwise(F.lit(0))
-
-    return ranked(
-        bucketed.withColumn("_starts", starts),
-        ["_bucket", *key_names],
-        offset("_rows", T.LongType()),
-        {n: offset(n, totals.schema[n].dataType) for n in running},
+        *[c.alias(n) for c, n in zip(running.values(), sum_names, strict=True)],
     )
+    ranges = max(task_slots(df.sparkSession), math.ceil(rows / rows_per_bucket))
+    dealt = staged.repartitionByRange(ranges, *key_names, *order_names).withColumn("_range", F.spark_partition_id())
+    stored = materialize(dealt, "ranges")
+    before = _before(stored, key_names, sum_names)
+
+    key = F.struct(*key_names) if key_names else F.struct(F.lit(0).alias("all"))
+    starts = key.eqNullSafe(F.col("_first"))
+    window = Window.partitionBy("_range", *key_names).orderBy(*order_names)
+    upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def earlier(number: int) -> Column:
+        return F.coalesce(F.when(starts, F.col(f"_n{number}")), F.lit(0))
+
+    place = (F.row_number().over(window) - 1).cast("long") + earlier(0).cast("long")
+    sums = [
+        (F.coalesce(F.sum(s).over(upto), F.lit(0)) + earlier(k)).alias(name)
+        for k, (name, s) in enumerate(zip(running, sum_names, strict=True), 1)
+    ]
+    ranked = stored.join(before, "_range").select("_row", place.alias(position), *sums)
+    return ranked.select(*[F.col("_row").getField(c).alias(c) for c in df.columns], position, *running)
 
 
 def cut_at(

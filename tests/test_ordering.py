@@ -43,9 +43,22 @@ def test_global_positions(skewed):
     assert inorder == sorted(inorder, key=lambda t: (t[0], t[1] or 0, t[2]))
 
 
-def test_bucketed_plan_splits_the_hot_key(skewed):
-    plan = with_position(skewed, [F.col("s")], keys=["k"], **SMALL)._jdf.queryExecution().toString()
-    assert "_bucket" in plan
+def test_the_plan_does_not_grow_with_the_ranges(skewed):
+    def size(rows_per_bucket):
+        ranked = with_position(skewed, [F.col("s")], keys=["k"], rows_per_bucket=rows_per_bucket)
+        return len(ranked._jdf.queryExecution().analyzed().toString())
+
+    assert abs(size(600) - size(60)) < 100
+
+
+def test_names_that_clash_are_an_error(skewed):
+    with pytest.raises(ValueError, match="already"):
+        with_position(skewed, [F.col("s")], position="k")
+
+
+def test_an_empty_table_and_one_row(skewed):
+    assert with_position(skewed.limit(0), [F.col("s")], keys=["k"]).count() == 0
+    assert with_position(skewed.limit(1), [F.col("s")]).first()["position"] == 0
 
 
 @pytest.mark.parametrize("limits", [{}, SMALL])
