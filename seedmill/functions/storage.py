@@ -1,5 +1,6 @@
 """Where intermediate tables go."""
 
+import gc
 import tempfile
 import uuid
 
@@ -34,3 +35,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_stored(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing will read again."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished queries now.
+
+    It does so when the driver's memory is collected, which may be long after a
+    large stage whose files are no longer needed.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
