@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedmill.functions.storage import materialize, scratch_path
+from seedmill.functions.storage import materialize, release_shuffles, remove_stored, scratch_path
 from seedmill.llm.word_hashes import mix, word_hashes
 
 SHINGLE = 5
@@ -282,8 +282,10 @@ def sign(docs: DataFrame) -> DataFrame:
     """row, doc_id, digest (of the text), bands, shingles and weights of every row of ``docs`` (row, chunk, doc_id, text).
 
     A text that the chunk has had already is a row without bands. The rows must
-    be those of ``number_rows``, since they are read more than once.
+    be those of ``number_rows``, since they are read more than once. The result is
+    stored; what led to it is removed.
     """
+    spark = docs.sparkSession
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     total = size["n"]
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -342,8 +344,14 @@ def sign(docs: DataFrame) -> DataFrame:
         text.alias("text"),
     )
     parts = max(1, math.ceil((size["bytes"] or 0) / PART_BYTES))
-    answers = materialize(document_frequencies(source, parts), "frequencies")
-    return source.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(sign_chunk, fields)
+    path = scratch_path(spark, "frequencies")
+    document_frequencies(source, parts).write.parquet(path)
+    release_shuffles(spark)
+    answers = spark.read.schema(ASKED).parquet(path).groupBy("chunk")
+    stored = materialize(source.groupBy("chunk").cogroup(answers).applyInArrow(sign_chunk, fields), "signed")
+    remove_stored(spark, path)
+    release_shuffles(spark)
+    return stored
 
 
 def _blocks(texts: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
@@ -563,7 +571,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     words are near duplicates of equal texts only. An empty table gives an empty
     one; extra columns are not read.
     """
-    signed = materialize(sign(docs), "signed")
+    signed = sign(docs)
     found = link(signed, threshold)
     nodes = signed.filter("bands IS NOT NULL").groupBy("digest").agg(F.min("row").alias("node"))
     named = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
