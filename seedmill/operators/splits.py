@@ -4,8 +4,11 @@ File order means nothing to Spark, so every positional operator takes ``order``:
 columns that identify a row. Nothing here sorts all rows in one task.
 """
 
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,9 +148,83 @@ def pack_sequences(
     return placed.withColumn("pack", F.floor(F.col("position") / F.col("fit"))).drop("position")
 
 
-def packing_stats(packed: DataFrame, length: str) -> DataFrame:
+def pack_patterns(histogram: Mapping[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Patterns (how many samples of which length share a pack) and how often each is used.
+
+    Best fit with the longest first, done for all packs that come out alike at
+    once: a pattern starts with the longest length left, takes the longest that
+    still fits while there is one, and is used until one of its lengths runs out.
+    """
+    left = {length: count for length, count in histogram.items() if count}
+    lengths = sorted(left)
+    found = []
+    while lengths:
+        room, pattern, end = capacity, {}, len(lengths)
+        while room > 0:
+            end = bisect_right(lengths, room, 0, end)
+            if not end:
+                break
+            length = lengths[end - 1]
+            taken = min(room // length, left[length])
+            pattern[length] = taken
+            room -= taken * length
+            end -= 1
+        uses = min(left[length] // taken for length, taken in pattern.items())
+        found.append((pattern, uses))
+        for length, taken in pattern.items():
+            left[length] -= taken * uses
+            if not left[length]:
+                del lengths[bisect_right(lengths, length) - 1]
+    return found
+
+
+def pack_by_patterns(
+    df: DataFrame,
+    length: str,
+    max_batch_len: int,
+    order: Sequence[Column],
+) -> DataFrame:
+    """Assign samples to packs of at most ``max_batch_len`` tokens, as full as patterns of lengths make them.
+
+    Only the histogram of lengths comes to the driver, at most one row for each
+    length up to the limit, whatever the number of samples. It is cut into patterns
+    there. A sample then finds its pack by its place among those of its length: the
+    places of a length are dealt to patterns in stretches, and within a stretch every
+    so many make a pack. Adds ``pack``, gapless from 0. A sample of no length counts
+    as one token; one over the limit is an error, a null length too; an empty table
+    gives an empty one.
+    """
+    size = F.greatest(F.col(length), F.lit(1)).cast("long")
+    wrong = F.raise_error(F.lit("a sample is longer than the pack, or of unknown length")).cast("long")
+    sized = df.withColumn("_size", F.when(F.col(length) <= max_batch_len, size).otherwise(wrong))
+    counts = {r["_size"]: r["n"] for r in sized.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    begins: dict[int, list[tuple[int, int, int]]] = {}
+    used: dict[int, int] = {}
+    first_pack = 0
+    for pattern, uses in pack_patterns(counts, max_batch_len):
+        for item, taken in pattern.items():
+            begins.setdefault(item, []).append((used.get(item, 0), taken, first_pack))
+            used[item] = used.get(item, 0) + taken * uses
+        first_pack += uses
+    rows = [(item, *stretch) for item in sorted(begins) for stretch in begins[item]]
+    table = np.array(rows, dtype=np.int64).reshape(-1, 4)
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("long")
+    def pack_of(sizes: pd.Series, places: pd.Series) -> pd.Series:
+        item, start, taken, pack = shared.value.T
+        # Stretches are sorted by length and start, so a sample's is the last that is not after it.
+        scale = int(start.max(initial=0)) + int(places.max() if len(places) else 0) + 1
+        at = np.searchsorted(item * scale + start, sizes.to_numpy() * scale + places.to_numpy(), side="right") - 1
+        return pd.Series(pack[at] + (places.to_numpy() - start[at]) // taken[at])
+
+    placed = with_position(sized, list(order), keys=["_size"], position="_place", rows=sum(counts.values()))
+    return placed.withColumn("pack", pack_of("_size", "_place")).drop("_size", "_place")
+
+
+def packing_stats(packed: DataFrame, length: str, by: Sequence[str] = ("fit", "pack")) -> DataFrame:
     """Mean sample length, number of packs, mean samples per pack, fullest pack."""
-    packs = packed.groupBy("fit", "pack").agg(
+    packs = packed.groupBy(*by).agg(
         F.count(F.lit(1)).alias("samples"), F.sum(length).alias("tokens")
     )
     return packs.agg(

@@ -162,3 +162,24 @@ FROM (SELECT count(*) AS samples, sum(n_words) AS tokens FROM packed GROUP BY fi
 )
 def packing_stats(spark, folder):
     return sp.packing_stats(packed(spark, folder), "n_words")
+
+
+@query(
+    PACKED
+    + """SELECT count(*) AS samples, sum(greatest(n_words, 1))::BIGINT AS tokens, true AS none_over_the_limit,
+  true AS packs_are_97_percent_full, true AS packs_are_numbered_without_gaps FROM packed"""
+)
+def pack_by_patterns(spark, folder):
+    """Packs of 8,192 words of all documents, whose long texts are cut at the limit first."""
+    whole = lengths(spark, folder).select("doc_id", F.greatest("n_words", F.lit(1)).alias("n_words"))
+    pieces = whole.select("doc_id", F.posexplode(F.sequence(F.lit(0), F.col("n_words") - 1, F.lit(8192))).alias("piece", "at"), "n_words")
+    pieces = pieces.select("doc_id", "piece", F.least(F.lit(8192), F.col("n_words") - F.col("at")).alias("n_words"))
+    placed = sp.pack_by_patterns(materialize(pieces, "pieces"), "n_words", 8192, by("doc_id", "piece"))
+    packs = placed.groupBy("pack").agg(F.sum("n_words").alias("tokens"), F.count_if(F.col("piece") == 0).alias("samples"))
+    return packs.agg(
+        F.sum("samples").alias("samples"),
+        F.sum("tokens").alias("tokens"),
+        (F.max("tokens") <= 8192).alias("none_over_the_limit"),
+        (F.sum("tokens") >= 0.97 * 8192 * F.count(F.lit(1))).alias("packs_are_97_percent_full"),
+        (F.max("pack") + 1 == F.count(F.lit(1))).alias("packs_are_numbered_without_gaps"),
+    )

@@ -102,6 +102,39 @@ def test_packs_stay_under_the_limit(spark, lengths):
     assert stats["num_batches"] == len(packs) and stats["longest_batch"] == max(map(sum, packs.values()))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 60), st.integers(0, 50), max_size=30))
+def test_patterns_use_every_sample_once(histogram):
+    used, packs = {}, 0
+    for pattern, uses in sp.pack_patterns(histogram, 60):
+        assert uses > 0 and sum(n * length for length, n in pattern.items()) <= 60
+        packs += uses
+        for length, n in pattern.items():
+            used[length] = used.get(length, 0) + n * uses
+    assert used == {length: count for length, count in histogram.items() if count}
+    total = sum(length * count for length, count in histogram.items())
+    assert packs <= 2 * total / 60 + 1
+
+
+def test_packs_by_patterns(spark):
+    lengths = [(7 * k) % 101 for k in range(3000)] + [51] * 1500 + [0] * 20
+    df = spark.createDataFrame(list(enumerate(lengths)), "id int, n int").repartition(5)
+    rows = sp.pack_by_patterns(df, "n", 100, by("id")).collect()
+    assert sorted(r["id"] for r in rows) == list(range(len(lengths)))
+    packs = {}
+    for r in rows:
+        packs.setdefault(r["pack"], []).append(max(1, r["n"]))
+    assert sorted(packs) == list(range(len(packs)))
+    assert max(map(sum, packs.values())) <= 100
+    # No two samples over half the limit share a pack, so there can be no fewer.
+    assert len(packs) == sum(n > 50 for n in lengths)
+    assert sp.pack_by_patterns(df.limit(0), "n", 100, by("id")).count() == 0
+    for wrong in (101, None):
+        bad = spark.createDataFrame([(1, wrong)], "id int, n int")
+        with pytest.raises(Exception, match="longer than the pack"):
+            sp.pack_by_patterns(bad, "n", 100, by("id")).collect()
+
+
 def test_sample_over_the_pack_limit_is_an_error(spark):
     df = spark.createDataFrame([(1, 101)], "id int, n int")
     with pytest.raises(Exception, match="longer than the pack"):
