@@ -200,7 +200,7 @@ def split_documents(
     if on_error == "skip":
         source = df.filter(F.col(items).isNotNull())
     else:
-        missing = F.raise_error(F.lit("Missing content for document")).cast(df.schema[items].dataType)
+        missing = F.raise_error(F.lit("a document has no content")).cast(df.schema[items].dataType)
         source = df.withColumn(items, F.when(F.col(items).isNull(), missing).otherwise(F.col(items)))
     sections = exploded(with_sections(source, items), keep, F.col("sections"), "section", "_s")
     heading = F.array_join("_s.headings", "\n")

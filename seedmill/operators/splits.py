@@ -53,7 +53,7 @@ def require_nonempty_splits(df: DataFrame, names: Sequence[str] = ("train", "val
     labels = {"train": "Training", "valid": "Validation", "test": "Test"}
     for name in names:
         if name not in present:
-            raise ValueError(f"{labels.get(name, name)} set not found or empty.")
+            raise ValueError(f"the {name} split has no rows")
     return df
 
 

@@ -145,7 +145,7 @@ def require_valid(validated: DataFrame) -> DataFrame:
     totals = validation_totals(validated)
     row = totals.first()
     if row["errors"]:
-        raise ValueError(f"{row['errors']} total errors found across {row['files']} taxonomy files!")
+        raise ValueError(f"{row['files']} seed files have {row['errors']} errors")
     return totals
 
 
@@ -206,8 +206,8 @@ def validate_documents(parsed: DataFrame, files: DataFrame) -> DataFrame:
         F.col("seed_path").alias("path"),
         "readable",
         "unsupported",
-        F.when(F.col("unsupported") > 0, "Unsupported file format for knowledge docs")
-        .when(F.col("readable") == 0, "Couldn't find any valid knowledge documents.")
+        F.when(F.col("unsupported") > 0, "a matched document has a type that is not read")
+        .when(F.col("readable") == 0, "no document matches")
         .alias("document_error"),
     )
 

@@ -49,7 +49,7 @@ def explode_messages(spark, folder):
     return ms.explode_messages(parts, part_size=3)
 
 
-TOO_SHORT = "The dataset is expecting a minimum of 3 messages in each sample."
+TOO_SHORT = "a sample needs three messages"
 STANDARD = f"""standard AS (
   SELECT conv_id,
     CASE WHEN count(*) >= 3 THEN arg_max(text, turn) FILTER (WHERE turn < 3 AND role = 'system') END AS system,
@@ -90,9 +90,9 @@ pretraining AS (
   SELECT sample, '' AS system,
          CASE WHEN kind NOT IN (4, 5, 6) THEN question END AS "user",
          CASE WHEN kind NOT IN (4, 5, 6) THEN answer END AS assistant,
-         CASE kind WHEN 4 THEN 'pretraining sample doesn''t contain the ''<|assistant|>'' token: ' || text
+         CASE kind WHEN 4 THEN 'no <|assistant|> in the pretraining text: ' || text
                    WHEN 5 THEN 'each token must occur once, user before assistant'
-                   WHEN 6 THEN 'pretraining sample doesn''t contain the ''<|user|>'' token: ' || text END AS error
+                   WHEN 6 THEN 'no <|user|> in the pretraining text: ' || text END AS error
   FROM texts)"""
 
 

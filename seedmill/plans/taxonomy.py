@@ -127,7 +127,7 @@ reached AS (
          count(m.path) FILTER (WHERE m.path LIKE '%.txt') AS unsupported
   FROM wanted w LEFT JOIN matches m ON m.repo = w.repo AND m.pattern = w.pattern GROUP BY w.seed_path),
 document_errors AS (
-  SELECT *, CASE WHEN unsupported > 0 THEN 'Unsupported file format for knowledge docs'
+  SELECT *, CASE WHEN unsupported > 0 THEN 'a matched document has a type that is not read'
                  WHEN readable = 0 THEN 'Couldn''t find any valid knowledge documents.' END AS document_error
   FROM reached),
 validated AS (

@@ -32,10 +32,10 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     ``response`` is part of the result only if some row of the file has it.
     """
     if not path.endswith(".jsonl"):
-        raise ValueError(f"Invalid file type: {path}. Expected a '.jsonl' file.")
+        raise ValueError(f"{path} should end with .jsonl")
     kept = spark.read.format("binaryFile").load(path).select("path").limit(2).collect()
     if len(kept) != 1 or not kept[0]["path"].endswith(path.split(":", 1)[-1].lstrip("/")):
-        raise ValueError(f"Input questions file {path} is a directory")
+        raise ValueError(f"{path} is a directory, not a file of questions")
     rows = spark.read.schema(schemas.QUESTION).option("mode", "FAILFAST").json(path)
     empty = rows.agg(
         F.count_if(F.col("user_input").isNull() | F.col("reference").isNull()).alias("broken"),

@@ -94,7 +94,7 @@ def test_chunks_keep_headings_and_captions(spark):
 
 def test_missing_content_is_an_error(spark):
     df = items_frame(spark, None, [("text", "a")])
-    with pytest.raises(Exception, match="Missing content"):
+    with pytest.raises(Exception, match="has no content"):
         dc.split_documents(df).collect()
     assert dc.split_documents(df, on_error="skip").count() == 1
 

@@ -89,8 +89,8 @@ def test_validation(parsed, repo):
     assert got["few"] == ["fewer than 5 seed examples"]
     assert got["bool"][0].startswith("not text: seed_examples[0].answer")
     assert got["broken"][0].startswith("unreadable")
-    assert got["text"] == ["Unsupported file format for knowledge docs"]
-    assert got["none"] == ["Couldn't find any valid knowledge documents."]
+    assert got["text"] == ["a matched document has a type that is not read"]
+    assert got["none"] == ["no document matches"]
 
 
 def test_documents_are_checked_only_when_clean(spark, repo):
@@ -104,7 +104,7 @@ def test_totals_raise(parsed, repo):
     validated = tx.validate_seed_files(parsed, repo)
     row = tx.validation_totals(validated).first()
     assert (row["files"], row["errors"]) == (7, 5)
-    with pytest.raises(ValueError, match="5 total errors found across 7"):
+    with pytest.raises(ValueError, match="7 seed files have 5 errors"):
         tx.require_valid(validated)
     clean = validated.filter("n_errors = 0")
     assert tx.require_valid(clean).first()["files"] == 2
