@@ -1,19 +1,26 @@
 """A hidden Markov language model over words, trained by Baum-Welch across partitions.
 
-Hidden states emit word classes: the most frequent training words are a class
-each, so is the end of a text, and all other words share classes by hash. Inside
-a shared class a word has its smoothed share of the class's training tokens, so
-the probability of a word in a state is P(class | state) * P(word | class), and
-every text that can be written has a probability.
-
-Each Baum-Welch round reads the training texts once. A task runs the scaled
-forward and backward recursions over its texts, many side by side, and emits
-one row of expected counts; those rows are added up in two steps, and the driver
-sees sums whose size depends on states and classes only. Scoring is one scaled
-forward pass, whose scales multiply to the exact likelihood.
-
-Word counts cover all training texts. A bounded table of the most frequent words
-is broadcast; the other words of a text meet their counts in a join.
+The states are found on word classes: the most frequent training words are a
+class each, so is the end of a text, and all other words share classes by hash.
+Rounds end when the likelihood hardly rises. A last round then gathers the
+expected count of every training word in every state, so what the model knows
+grows with the vocabulary. With p(state | word) from those counts, smoothed
+towards the share of the state, a word's emission is
+
+    p(word | state) = p(word) * p(state | word) / p(state)
+
+where p(word) is the smoothed unigram of the base score and p(state) its sum over
+all words, so that emissions of a state add up to one. The factor after p(word)
+is the word's lift; the text's score is its base score plus the logarithm of the
+scaled forward recursion over lifts, which is the exact likelihood.
+
+Texts are hashed once: their tokens are stored as places in a bounded broadcast
+table of the most frequent words, the other words beside them as hashes. Each
+round reads those tokens once. A task runs the scaled forward and backward
+recursions over its texts, many side by side. Rounds over classes emit one row
+of sums a task, added up in two steps; the last round emits the words of a run
+of texts with whole numbers, added up by a shuffle, so their sums do not depend
+on the order of tasks. Words beyond the table meet their counts in a join.
 """
 
 import math
@@ -33,8 +40,11 @@ HELD_OUT_FOLD = 1
 STATES = 8
 OWN_CLASSES = 2047
 SHARED_CLASSES = 1024
-ROUNDS = 3
-TABLE_WORDS = 1 << 20
+MOST_ROUNDS = 12
+LEAST_GAIN = 0.01  # nats a token
+TABLE_WORDS = 1 << 19
+UNIT = 1024  # counts of words by state are whole numbers of this part
+TOWARDS_SHARE = 1.0
 SIDE_BY_SIDE = 1024
 MOST_CELLS = 1 << 22
 STEPS = 256
@@ -56,19 +66,16 @@ def class_of_rest(words: np.ndarray, own: int, shared: int) -> np.ndarray:
 class Vocabulary:
     """Counts of the training tokens.
 
-    ``words`` (sorted hashes) and ``counts`` are the frequent ones, ``ranked``
-    (sorted) and ``rank`` the words with a class of their own. ``class_log`` is
-    the log10 of what a word's smoothed count is divided by, for each class.
+    ``words`` (sorted hashes), ``counts`` and ``number`` (their classes) are the
+    frequent words, ``class_tokens`` the tokens of each class.
     """
 
     words: np.ndarray
     counts: np.ndarray
-    ranked: np.ndarray
-    rank: np.ndarray
+    number: np.ndarray
     own: int
     shared: int
     class_tokens: np.ndarray
-    class_log: np.ndarray
     tokens: int
     distinct: int
     texts: int
@@ -77,12 +84,20 @@ class Vocabulary:
     def end(self) -> int:
         return self.own + self.shared
 
-    def classes(self, hashes: np.ndarray) -> np.ndarray:
-        found = class_of_rest(hashes, self.own, self.shared)
-        if len(self.ranked):
-            place = np.minimum(np.searchsorted(self.ranked, hashes), len(self.ranked) - 1)
-            has_own = self.ranked[place] == hashes
-            found[has_own] = self.rank[place[has_own]]
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where words stand in the table; -1 for words that are not there."""
+        if not len(self.words):
+            return np.full(len(hashes), -1, np.int32)
+        place = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1).astype(np.int32)
+        place[self.words[place] != hashes] = -1
+        return place
+
+    def classes(self, places: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Classes of tokens; ``rest`` has the hashes of those without a place, in order."""
+        if not len(self.words):
+            return class_of_rest(rest, self.own, self.shared)
+        found = self.number[places]
+        found[places < 0] = class_of_rest(rest, self.own, self.shared)
         return found
 
 
@@ -137,8 +152,8 @@ def _at_most(counted: DataFrame, size: int) -> int:
 
 def build_vocabulary(
     training: DataFrame, own: int = OWN_CLASSES, shared: int = SHARED_CLASSES, table_words: int = TABLE_WORDS
-) -> tuple[Vocabulary, DataFrame]:
-    """The vocabulary and the stored table of all training words with their counts."""
+) -> Vocabulary:
+    """The vocabulary of the training texts."""
     counted = materialize(_count_words(training), "word-counts")
     texts = training.count()
     totals = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -148,28 +163,20 @@ def build_vocabulary(
     order = np.argsort(words)
     words, counts = words[order], counts[order]
     top = np.lexsort((words, -counts))[:own]
-    ranked = np.sort(words[top])
-    rank = np.empty(len(top), np.int64)
-    rank[np.searchsorted(ranked, words[top])] = np.arange(len(top))
+    classes = class_of_rest(words, own, shared)
+    shared_of_top = classes[top]
+    classes[top] = np.arange(len(top))
     class_tokens = np.zeros(own + shared + 1)
     class_tokens[: len(top)] = counts[top]
     class_tokens[-1] = texts
     number = F.pmod(F.shiftrightunsigned("word", 20), F.lit(shared))
-    sums = counted.groupBy(number.alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    members = np.zeros(shared)
-    for r in sums:
+    for r in counted.groupBy(number.alias("c")).agg(F.sum("n").alias("n")).collect():
         class_tokens[own + r["c"]] = r["n"]
-        members[r["c"]] = r["v"]
-    own_class = class_of_rest(words[top], 0, shared)
-    np.subtract.at(class_tokens, own + own_class, counts[top])
-    np.subtract.at(members, own_class, 1)
-    class_log = np.zeros(own + shared + 1)
-    class_log[own:-1] = np.log10(class_tokens[own:-1] + 0.5 * (members + 1))
-    vocabulary = Vocabulary(
-        words, counts, ranked, rank, own, shared, class_tokens, class_log,
+    np.subtract.at(class_tokens, shared_of_top, counts[top])
+    return Vocabulary(
+        words, counts, classes, own, shared, class_tokens,
         int(totals["n"]) + texts, int(totals["v"]) + (1 if texts else 0), texts,
     )
-    return vocabulary, counted
 
 
 def first_model(vocabulary: Vocabulary, states: int = STATES, seed: int = 7) -> Model:
@@ -302,13 +309,101 @@ def expected_counts(model: Model, lengths: np.ndarray, table: np.ndarray) -> tup
             starts += (kept[0] * back[0]).sum(axis=0)
         kept *= back
         flat = part.ravel()
+        if len(flat) < len(model.emit):  # a stretch of few texts and a wide vocabulary
+            met, flat = np.unique(flat, return_inverse=True)
+        else:
+            met = slice(None)
+        size = len(met) if isinstance(met, np.ndarray) else len(model.emit)
         for state_no in range(k):
-            emits[state_no] += np.bincount(flat, weights=kept[:, :, state_no].ravel(), minlength=len(model.emit))
+            emits[state_no, met] += np.bincount(flat, weights=kept[:, :, state_no].ravel(), minlength=size)
     return starts, moves * model.move, emits, total
 
 
-def baum_welch_round(training: DataFrame, vocabulary, model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts over all training texts under a broadcast vocabulary and model."""
+def _batch_hashes(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word hashes and word counts of the texts of a batch, in runs of bounded size."""
+    waiting, counts, size = [], [], 0
+    for _, _, hashes, n in word_hashes(texts, lower=True):
+        waiting.append(hashes)
+        counts.append(n)
+        size += len(hashes)
+        if size > most:
+            yield np.concatenate(waiting), np.concatenate(counts)
+            waiting, counts, size = [], [], 0
+    if counts:
+        yield np.concatenate(waiting), np.concatenate(counts)
+
+
+def number_tokens(rows: DataFrame, vocabulary) -> DataFrame:
+    """The stored tokens of texts under a broadcast vocabulary, from doc_id, text and held_out.
+
+    ``places`` holds a 32-bit place in the table for each word, or -1, ``rest``
+    the hashes of the words with -1. ``known`` and ``words_log`` are the base
+    counts and logarithms of the words in the table and of the end.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    fields = f"doc_id {kind}, held_out boolean, row long, n_tokens long, known long, words_log double, "
+    fields += "places binary, rest array<bigint>"
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        table = vocabulary.value
+        row = TaskContext.get().partitionId() << 33
+        logs = np.append(np.log10(table.counts + 0.5), 0.0)  # the last one for the place -1
+        end_log = math.log10(table.texts + 0.5)
+        for batch in batches:
+            done = 0
+            for words, counts in _batch_hashes(batch.column(1)):
+                n = len(counts)
+                doc = np.repeat(np.arange(n), counts)
+                places = table.places(words)
+                missing = places < 0
+                rest = np.append(0, np.cumsum(np.bincount(doc[missing], minlength=n)))
+                ends = np.append(0, np.cumsum(counts)).astype(np.int32) * np.int32(4)
+                packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(places)])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(done, n),
+                        batch.column(2).slice(done, n),
+                        pa.array(row + np.arange(n)),
+                        pa.array(counts.astype(np.int64) + 1),
+                        pa.array(np.bincount(doc[~missing], minlength=n).astype(np.int64) + (1 if table.texts else 0)),
+                        pa.array(np.bincount(doc, weights=logs[places], minlength=n) + end_log),
+                        packed,
+                        pa.ListArray.from_arrays(pa.array(rest, pa.int32()), pa.array(words[missing].view(np.int64))),
+                    ],
+                    names=names,
+                )
+                done, row = done + n, row + n
+
+    return materialize(rows.select("doc_id", "text", "held_out").mapInArrow(number, fields), "tokens")
+
+
+def _runs(packed: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, end, places, word counts) of a batch of stored tokens, in runs of bounded size."""
+    offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1] // 4
+    raw = packed.buffers()[2]
+    data = np.frombuffer(raw, np.int32, count=int(offsets[-1])) if raw is not None else np.empty(0, np.int32)
+    first = 0
+    while first < len(packed):
+        end = int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1
+        end = min(max(end, first + 1), len(packed))
+        yield first, end, data[offsets[first] : offsets[end]], np.diff(offsets[first : end + 1]).astype(np.int64)
+        first = end
+
+
+def _classes_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, hashes of the words without one, word counts) of a batch of places and rest."""
+    rest, done = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64), 0
+    for _, _, places, counts in _runs(batch.column(0)):
+        missing = int((places < 0).sum())
+        yield places, rest[done : done + missing], counts
+        done += missing
+
+
+def baum_welch_round(tokens: DataFrame, vocabulary, model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts over stored tokens under a broadcast vocabulary and model of classes."""
     states, classes = len(model.value.start), len(model.value.emit)
     size = states + states * states + states * classes + 1
 
@@ -318,9 +413,9 @@ def baum_welch_round(training: DataFrame, vocabulary, model) -> tuple[np.ndarray
         known, now = vocabulary.value, model.value
         total, any_text = np.zeros(size), False
         for batch in batches:
-            for words, counts in _batch_hashes(batch.column(0)):
+            for places, rest, counts in _classes_of(batch):
                 any_text = True
-                for _, lengths, table in side_by_side(known.classes(words), counts, known.end):
+                for _, lengths, table in side_by_side(known.classes(places, rest), counts, known.end):
                     starts, moves, emits, log = expected_counts(now, lengths, table)
                     total += np.concatenate([starts, moves.ravel(), emits.ravel(), [log]])
         if any_text:
@@ -336,9 +431,9 @@ def baum_welch_round(training: DataFrame, vocabulary, model) -> tuple[np.ndarray
         if any_row:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
 
-    rows = training.select("text").mapInArrow(expect, "slot long, sums binary")
+    rows = tokens.select("places", "rest").mapInArrow(expect, "slot long, sums binary")
     # Two steps of about the square root of the tasks each, so that no one adds up all.
-    slots = max(1, math.isqrt(training.rdd.getNumPartitions()))
+    slots = max(1, math.isqrt(tokens.rdd.getNumPartitions()))
     summed = rows.repartition(slots, F.pmod("slot", F.lit(slots))).select("sums").mapInArrow(add, "sums binary")
     total = np.zeros(size)
     for row in summed.toLocalIterator():
@@ -347,31 +442,24 @@ def baum_welch_round(training: DataFrame, vocabulary, model) -> tuple[np.ndarray
     return total[:a], total[a:b].reshape(states, states), total[b:-1].reshape(states, classes), float(total[-1])
 
 
-def _batch_hashes(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Word hashes and word counts of the texts of a batch, in runs of bounded size."""
-    waiting, counts, size = [], [], 0
-    for _, _, hashes, n in word_hashes(texts, lower=True):
-        waiting.append(hashes)
-        counts.append(n)
-        size += len(hashes)
-        if size > most:
-            yield np.concatenate(waiting), np.concatenate(counts)
-            waiting, counts, size = [], [], 0
-    if counts:
-        yield np.concatenate(waiting), np.concatenate(counts)
-
-
 def train(
-    training: DataFrame, vocabulary: Vocabulary, states: int = STATES, rounds: int = ROUNDS
+    tokens: DataFrame,
+    vocabulary,
+    states: int = STATES,
+    most_rounds: int = MOST_ROUNDS,
+    least_gain: float = LEAST_GAIN,
 ) -> tuple[Model, list[float]]:
-    """The model after ``rounds`` rounds and the log likelihood before each."""
-    spark = training.sparkSession
-    model, logs = first_model(vocabulary, states), []
-    words = spark.sparkContext.broadcast(vocabulary)
-    share = (vocabulary.class_tokens + 1) / (vocabulary.class_tokens + 1).sum()
-    for _ in range(rounds):
+    """The model of classes and the log likelihood before each round.
+
+    Rounds end when one raised the likelihood by less than ``least_gain`` a token.
+    """
+    spark, known = tokens.sparkSession, vocabulary.value
+    model, logs = first_model(known, states), []
+    share = (known.class_tokens + 1) / (known.class_tokens + 1).sum()
+    for _ in range(most_rounds):
         sent = spark.sparkContext.broadcast(model)
-        starts, moves, emits, log = baum_welch_round(training, words, sent)
+        starts, moves, emits, log = baum_welch_round(tokens, vocabulary, sent)
+        sent.unpersist()
         logs.append(log)
         emit = emits.T + PRIOR * share[:, None]
         model = Model(
@@ -379,13 +467,93 @@ def train(
             (moves + 1) / (moves + 1).sum(axis=1, keepdims=True),
             emit / emit.sum(axis=0),
         )
+        # The first round only breaks the symmetry of the random start, its gain says nothing.
+        if len(logs) > 2 and logs[-1] - logs[-2] < least_gain * known.tokens:
+            break
     return model, logs
 
 
+def words_by_state(tokens: DataFrame, vocabulary, model) -> DataFrame:
+    """(word, n, s0, s1, ...): expected counts of all words by state, in parts of ``UNIT``. The end has a null word."""
+    states = len(model.value.start)
+    names = ["word", "n", *[f"s{k}" for k in range(states)]]
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, now = vocabulary.value, model.value
+        for batch in batches:
+            for places, rest, counts in _classes_of(batch):
+                words = np.empty(len(places), np.uint64)
+                missing = places < 0
+                words[missing] = rest
+                words[~missing] = known.words[places[~missing]]
+                met, first, unit = np.unique(words, return_index=True, return_inverse=True)
+                end = len(met)
+                emit = now.emit[np.append(known.classes(places, rest)[first], known.end)]
+                # A shared class stands for one of its words here: its members have one emission.
+                local, sums = Model(now.start, now.move, emit), np.zeros((states, end + 1))
+                for _, lengths, table in side_by_side(unit, counts, end):
+                    sums += expected_counts(local, lengths, table)[2]
+                n = np.append(np.bincount(unit, minlength=end), len(counts))
+                sums = np.rint(sums * UNIT).astype(np.int64)
+                for k in range(0, end + 1, 65_536):
+                    part = slice(k, min(k + 65_536, end + 1))
+                    word = np.append(met.view(np.int64), 0)[part]
+                    is_end = np.arange(part.start, part.stop) == end
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(word, mask=is_end), pa.array(n[part]), *[pa.array(s[part]) for s in sums]],
+                        names=names,
+                    )
+
+    rows = tokens.select("places", "rest").mapInArrow(expect, ", ".join(f"{name} long" for name in names))
+    return materialize(rows.groupBy("word").agg(*[F.sum(c).alias(c) for c in names[1:]]), "words-by-state")
+
+
+@dataclass
+class Lifts:
+    """How p(state | word) becomes a lift: the share of the states in all tokens and their probability."""
+
+    share: np.ndarray
+    probability: np.ndarray
+
+    def of(self, counts: np.ndarray) -> np.ndarray:
+        """Lifts (words x states) from counts by state in parts of ``UNIT``; no counts give a word's lift unseen."""
+        counts = counts / UNIT
+        weight = counts.sum(axis=1, keepdims=True) + TOWARDS_SHARE
+        return (counts + TOWARDS_SHARE * self.share) / weight / self.probability
+
+
+def word_lifts(learned: DataFrame, vocabulary: Vocabulary, states: int) -> tuple[Lifts, np.ndarray]:
+    """The lifts, and those of the words of the table in its order with the end's after them."""
+    names = [f"s{k}" for k in range(states)]
+    total = learned.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
+    share = np.array([total[c] for c in names], dtype=float)
+    share = share / share.sum() if share.sum() else np.full(states, 1 / states)
+    weight = sum(F.col(c) for c in names) / F.lit(float(UNIT)) + TOWARDS_SHARE
+    parts = [
+        F.coalesce(
+            F.sum((F.col("n") + 0.5) * (F.col(c) / F.lit(float(UNIT)) + TOWARDS_SHARE * float(q)) / weight), F.lit(0.0)
+        ).alias(c)
+        for c, q in zip(names, share, strict=True)
+    ]
+    found = learned.agg(*parts).first()
+    mass = vocabulary.tokens + 0.5 * (vocabulary.distinct + 1)
+    lifts = Lifts(share, (np.array([found[c] for c in names]) + 0.5 * share) / mass)
+    # The frequent words again, by the least count of the table; the end's row has a null word.
+    least = int(vocabulary.counts.min()) if len(vocabulary.counts) else np.iinfo(np.int64).max
+    rows = learned.filter((F.col("n") >= least) | F.col("word").isNull()).toArrow()
+    counts = np.zeros((len(vocabulary.words) + 1, states))
+    is_end = rows["word"].is_null().to_numpy()
+    place = np.full(len(rows), len(vocabulary.words))
+    place[~is_end] = vocabulary.places(rows["word"].drop_null().to_numpy().view(np.uint64))
+    for k, c in enumerate(names):
+        counts[place, k] = rows[c].to_numpy()
+    return lifts, lifts.of(counts).astype(np.float32)
+
+
 def score_documents(
     docs: DataFrame,
     states: int = STATES,
-    rounds: int = ROUNDS,
+    most_rounds: int = MOST_ROUNDS,
     own: int = OWN_CLASSES,
     shared: int = SHARED_CLASSES,
     table_words: int = TABLE_WORDS,
@@ -400,67 +568,70 @@ def score_documents(
     """
     spark: SparkSession = docs.sparkSession
     rows = docs.select("doc_id", "text", is_held_out().alias("held_out"))
-    training = rows.filter(~F.col("held_out")).select("text")
-    vocabulary, counted = build_vocabulary(training, own, shared, table_words)
-    model, _ = train(training, vocabulary, states, rounds)
-    words, sent = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(model)
+    vocabulary = build_vocabulary(rows.filter(~F.col("held_out")).select("text"), own, shared, table_words)
+    known = spark.sparkContext.broadcast(vocabulary)
+    tokens = number_tokens(rows, known)
+    training = tokens.filter(~F.col("held_out"))
+    model, _ = train(training, known, states, most_rounds)
+    learned = words_by_state(training, known, spark.sparkContext.broadcast(model))
+    lifts, frequent = word_lifts(learned, vocabulary, states)
+    sent = spark.sparkContext.broadcast((model.start, model.move, lifts, frequent))
+
+    # A word without a place in the table: its counts come from the stored counts of all words.
+    names = ["n", *[f"s{k}" for k in range(states)]]
+    rest = tokens.select("row", F.posexplode("rest").alias("at", "word"))
+    met = rest.join(learned.filter(F.col("word").isNotNull()), "word", "left").groupBy("row").agg(
+        F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest_log"),
+        F.count("n").alias("rest_known"),
+        F.collect_list(F.struct("at", *[F.coalesce(c, F.lit(0)).alias(c) for c in names[1:]])).alias("met"),
+    )
     kind = docs.schema["doc_id"].dataType.simpleString()
+    fields = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, words_log double, lift_log double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        known, now = words.value, sent.value
-        row = TaskContext.get().partitionId() << 33
-        logs = np.log10(known.counts + 0.5)
-        end_log = math.log10(known.texts + 0.5)
+        start, move, unseen, table_lifts = sent.value
+        words = len(table_lifts) - 1
         for batch in batches:
-            done = 0
-            for part, counts in _batch_hashes(batch.column(1)):
-                n = len(counts)
-                classes = known.classes(part)
-                doc = np.repeat(np.arange(n), counts)
-                place = np.minimum(np.searchsorted(known.words, part), max(0, len(known.words) - 1))
-                found = known.words[place] == part if len(known.words) else np.zeros(len(part), bool)
-                word_log = np.zeros(len(part))
-                word_log[found] = logs[place[found]]
-                common = classes >= known.own
-                inside = np.where(common, word_log, 0.0) - known.class_log[classes]
-                likelihood = np.zeros(n)
-                for texts, lengths, table in side_by_side(classes, counts, known.end):
-                    likelihood[texts] = log_likelihood(now, lengths, table)
-                rest = np.cumsum(np.append(0, np.bincount(doc[~found], minlength=n)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(done, n),
-                        batch.column(2).slice(done, n),
-                        pa.array(row + np.arange(n)),
-                        pa.array(counts.astype(np.int64) + 1),
-                        pa.array(np.bincount(doc[found], minlength=n).astype(np.int64) + (1 if known.texts else 0)),
-                        pa.array(np.bincount(doc, weights=word_log, minlength=n) + end_log),
-                        pa.array(likelihood / math.log(10) + np.bincount(doc, weights=inside, minlength=n)),
-                        pa.ListArray.from_arrays(pa.array(rest, pa.int32()), pa.array(part[~found].view(np.int64))),
-                    ],
-                    names=names,
-                )
-                done, row = done + n, row + n
+            column = batch.column(batch.schema.get_field_index("met"))
+            sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            found = column.flatten()
+            at = found.field("at").to_numpy(zero_copy_only=False).astype(np.int64)
+            by_state = np.stack([found.field(c).to_numpy(zero_copy_only=False) for c in names[1:]], axis=1)
+            bounds = np.append(0, np.cumsum(sizes))
+            log = np.zeros(len(batch))
+            for first, end, places, counts in _runs(batch.column(batch.schema.get_field_index("places"))):
+                part = slice(bounds[first], bounds[end])
+                emit = np.empty((words + 1 + bounds[end] - bounds[first], len(start)))
+                emit[: words + 1] = table_lifts
+                order = np.repeat(bounds[first:end] - bounds[first], sizes[first:end]) + at[part]
+                emit[words + 1 + order] = unseen.of(by_state[part])
+                unit = places.astype(np.int64)
+                missing = unit < 0
+                unit[missing] = words + 1 + np.arange(int(missing.sum()))
+                now = Model(start, move, emit)
+                for texts, lengths, table in side_by_side(unit, counts, words):
+                    log[first + texts] = log_likelihood(now, lengths, table)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k) for k in range(5)], pa.array(log / math.log(10))],
+                names=[f.split()[0] for f in fields.split(", ")],
+            )
 
-    fields = f"doc_id {kind}, held_out boolean, row long, n_tokens long, known long, words_log double, "
-    fields += "model_log double, rest array<bigint>"
-    names = [f.split()[0] for f in fields.split(", ")]
-    scored = materialize(rows.mapInArrow(score, fields), "scored")
-    # A word without a place in the table: its count comes from the stored counts of all words.
-    rest = scored.select("row", F.explode("rest").alias("word"))
-    looked_up = rest.join(counted, "word", "left").groupBy("row").agg(
-        F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest_log"), F.count("n").alias("rest_known")
-    )
     base = math.log10(vocabulary.tokens + 0.5 * (vocabulary.distinct + 1))
-    rest_log = F.coalesce("rest_log", F.lit(0.0))
-    return scored.join(looked_up, "row", "left").select(
+    scored = tokens.join(met, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
+        (F.col("words_log") + F.coalesce("rest_log", F.lit(0.0)) - F.col("n_tokens") * base).alias("words_log"),
+        "places",
+        "met",
+    )
+    return scored.mapInArrow(score, fields).select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        "n_known",
         F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
-        (F.col("words_log") + rest_log - F.col("n_tokens") * base).alias("base_score"),
-        (F.col("model_log") + rest_log).alias("score"),
+        F.col("words_log").alias("base_score"),
+        (F.col("words_log") + F.col("lift_log")).alias("score"),
     )

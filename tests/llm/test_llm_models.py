@@ -334,13 +334,39 @@ def test_the_model_beats_the_base_on_held_out_texts(spark):
 
 def test_rounds_raise_the_likelihood(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    vocabulary, _ = hidden_markov.build_vocabulary(docs, 100, 50)
-    _, logs = hidden_markov.train(docs, vocabulary, 4, 4)
-    assert logs == sorted(logs)
+    vocabulary = hidden_markov.build_vocabulary(docs, 100, 50)
+    known = spark.sparkContext.broadcast(vocabulary)
+    tokens = hidden_markov.number_tokens(docs.select("doc_id", "text", F.lit(False).alias("held_out")), known)
+    _, logs = hidden_markov.train(tokens, known, 4, 6, 0.0)
+    assert len(logs) == 6 and logs == sorted(logs)
+    assert len(hidden_markov.train(tokens, known, 4, 6, 100.0)[1]) == 3
     members = vocabulary.class_tokens[:-1].sum() + vocabulary.texts
     assert members == vocabulary.tokens
 
 
+def test_every_training_word_has_counts_by_state_and_emissions_add_up_to_one(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", F.lit(False).alias("held_out"))
+    vocabulary = hidden_markov.build_vocabulary(docs, 20, 10, 50)
+    known = spark.sparkContext.broadcast(vocabulary)
+    tokens = hidden_markov.number_tokens(docs, known)
+    model, _ = hidden_markov.train(tokens, known, 3, 3)
+    learned = hidden_markov.words_by_state(tokens, known, spark.sparkContext.broadcast(model))
+    rows = learned.collect()
+    texts = [r.text for r in docs.collect()]
+    lower = [re.sub("[A-Z]", lambda m: m.group().lower(), t or "") for t in texts]
+    counts = collections.Counter(w for t in lower for w in words(t))
+    assert sorted(r.n for r in rows) == sorted([*counts.values(), len(texts)])
+    assert all(abs(r.s0 + r.s1 + r.s2 - r.n * hidden_markov.UNIT) <= 2 * len(texts) for r in rows)
+    lifts, frequent = hidden_markov.word_lifts(learned, vocabulary, 3)
+    by_state = np.array([[r.s0, r.s1, r.s2] for r in rows])
+    n = np.array([r.n for r in rows])
+    mass = vocabulary.tokens + 0.5 * (vocabulary.distinct + 1)
+    emission = ((n + 0.5) / mass)[:, None] * lifts.of(by_state)
+    unknown = 0.5 / mass * lifts.of(np.zeros((1, 3)))
+    assert emission.sum(axis=0) + unknown[0] == pytest.approx(np.ones(3))
+    assert len(frequent) == len(vocabulary.words) + 1 and len(vocabulary.words) <= 50
+
+
 # --- pipeline
 
 
