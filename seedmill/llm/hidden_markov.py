@@ -107,6 +107,10 @@ class Model:
     move: np.ndarray
     emit: np.ndarray  # classes x states
 
+    def short(self) -> "Model":
+        """In single precision, enough for expected counts, whose sums are doubles."""
+        return Model(*(part.astype(np.float32) for part in (self.start, self.move, self.emit)))
+
 
 def _count_words(training: DataFrame) -> DataFrame:
     """(word, n) over all training texts; tasks send each of their words once."""
@@ -221,7 +225,7 @@ def _forward(
     ``before`` is the state of the texts after the step before. Gives the last
     state of all texts and the sum of the logarithms of the scales.
     """
-    ones = np.ones(len(model.start))
+    ones = np.ones(len(model.start), dtype=emitted.dtype)
     state = before
     total = np.zeros(emitted.shape[1])
     for s in range(len(emitted)):
@@ -287,7 +291,7 @@ def expected_counts(model: Model, lengths: np.ndarray, table: np.ndarray) -> tup
             continue
         part = table[at : at + STEPS, :n]
         emitted = model.emit[part]
-        kept, scales = np.zeros_like(emitted), np.ones(part.shape)
+        kept, scales = np.zeros_like(emitted), np.ones(part.shape, dtype=emitted.dtype)
         _, logs = _forward(model, emitted, active, at, borders[b], kept, scales)
         total += logs.sum()
         back = np.zeros_like(emitted)
@@ -457,7 +461,7 @@ def train(
     model, logs = first_model(known, states), []
     share = (known.class_tokens + 1) / (known.class_tokens + 1).sum()
     for _ in range(most_rounds):
-        sent = spark.sparkContext.broadcast(model)
+        sent = spark.sparkContext.broadcast(model.short())
         starts, moves, emits, log = baum_welch_round(tokens, vocabulary, sent)
         sent.unpersist()
         logs.append(log)
@@ -482,13 +486,18 @@ def words_by_state(tokens: DataFrame, vocabulary, model) -> DataFrame:
         known, now = vocabulary.value, model.value
         for batch in batches:
             for places, rest, counts in _classes_of(batch):
-                words = np.empty(len(places), np.uint64)
-                missing = places < 0
-                words[missing] = rest
-                words[~missing] = known.words[places[~missing]]
-                met, first, unit = np.unique(words, return_index=True, return_inverse=True)
+                # Numbers within the run: first the words of the table that occur, then the others.
+                met_places = np.flatnonzero(np.bincount(places + 1, minlength=1)[1:])
+                number = np.empty(len(known.words), np.int32)
+                number[met_places] = np.arange(len(met_places))
+                met_rest, rest_unit = np.unique(rest, return_inverse=True)
+                missing, unit = places < 0, np.empty(len(places), np.int32)
+                unit[missing] = len(met_places) + rest_unit
+                unit[~missing] = number[places[~missing]]
+                met = np.concatenate([known.words[met_places], met_rest])
                 end = len(met)
-                emit = now.emit[np.append(known.classes(places, rest)[first], known.end)]
+                classes = known.number[met_places], class_of_rest(met_rest, known.own, known.shared), [known.end]
+                emit = now.emit[np.concatenate(classes).astype(np.int64)]
                 # A shared class stands for one of its words here: its members have one emission.
                 local, sums = Model(now.start, now.move, emit), np.zeros((states, end + 1))
                 for _, lengths, table in side_by_side(unit, counts, end):
@@ -573,7 +582,7 @@ def score_documents(
     tokens = number_tokens(rows, known)
     training = tokens.filter(~F.col("held_out"))
     model, _ = train(training, known, states, most_rounds)
-    learned = words_by_state(training, known, spark.sparkContext.broadcast(model))
+    learned = words_by_state(training, known, spark.sparkContext.broadcast(model.short()))
     lifts, frequent = word_lifts(learned, vocabulary, states)
     sent = spark.sparkContext.broadcast((model.start, model.move, lifts, frequent))
 
