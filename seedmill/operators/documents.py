@@ -1,6 +1,8 @@
 """Documents: conversion to labelled items, cleaning, chunking, ids, the index table."""
 
+import json
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,37 +11,60 @@ from seedmill import fixed
 from seedmill.functions.columns import exploded, strip, words
 from seedmill.functions.slots import HashingEmbedder, embedding_column
 
-# Markup that carries no document text, tags that end a line, named characters.
+# Markup that carries no document text, tags that end a line.
 FURNITURE_TAGS = ("script", "style", "head", "nav", "footer")
-LINE_TAGS = ("p", "div", "br", "li", "ul", "ol", "tr", "table", "section", "article", "blockquote", "pre")
-NAMED_CHARACTERS = (
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&quot;", '"'),
-    ("&apos;", "'"),
-    ("&#39;", "'"),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&amp;", "&"),
-)
+LINE_TAGS = (
+    "p", "div", "br", "hr", "li", "ul", "ol", "dl", "dt", "dd", "tr", "table", "caption", "thead", "tbody", "tfoot",
+    "section", "article", "aside", "main", "header", "figure", "figcaption", "blockquote", "pre",
+)
+# What follows a tag's name: attributes, in which a quoted value may hold ">". An open quote ends at the first ">".
+_QUOTED = """[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+"""
+_ATTRIBUTES = rf"(?:[\s/](?:{_QUOTED}|[^>]*))?"
+_CHARACTER = r"&(?:#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# A hard blank counts as a blank.
+_NAMED = json.dumps({f"&{name}": character.replace("\u00a0", " ") for name, character in html5.items() if name.endswith(";")})
 _HEADING_MARK = "\u0001"
 HEADER_LABELS = ("title", "section_header")
 
 
+def named_characters(text: Column) -> Column:
+    """Character references of HTML, by name or number, as their characters.
+
+    Each is read once, so ``&amp;lt;`` becomes ``&lt;``. References to no
+    character (an unknown name, a surrogate, a number beyond Unicode) stay.
+    """
+    named = F.from_json(F.lit(_NAMED), "map<string,string>")
+
+    def read(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, "^&#([0-9]+);$", 1)
+        hexed = F.regexp_extract(piece, "^&#[xX]([0-9a-fA-F]+);$", 1)
+        code = F.when(digits != "", digits.cast("long")).when(hexed != "", F.conv(hexed, 16, 10).cast("long"))
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        blank = F.when(code == 0xA0, " ")
+        character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        by_number = F.when(valid, F.coalesce(blank, character))
+        return F.when(F.startswith(piece, F.lit("&")), F.coalesce(by_number, F.try_element_at(named, piece), piece)).otherwise(piece)
+
+    pieces = F.regexp_extract_all(text, F.lit(f"({_CHARACTER}|[^&]++|&)"), F.lit(1))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, read), "")).otherwise(text)
+
+
 def html_lines(html: Column) -> Column:
-    """Visible text lines of a page; heading lines start with a mark."""
+    """Visible text lines of a page; heading lines start with a mark.
+
+    A row of a table is a line with `` | `` between its cells.
+    """
     text = html
     for tag in FURNITURE_TAGS:
-        text = F.regexp_replace(text, f"(?is)<{tag}(\\s[^>]*)?>.*?</{tag}>", "")
+        text = F.regexp_replace(text, f"(?is)<{tag}{_ATTRIBUTES}>.*?</{tag}\\s*>", "")
     text = F.regexp_replace(text, "(?s)<!--.*?-->", "")
-    text = F.regexp_replace(text, "(?i)<h[1-6](\\s[^>]*)?>", "\n" + _HEADING_MARK)
-    text = F.regexp_replace(text, "(?i)</h[1-6]>", "\n")
-    text = F.regexp_replace(text, f"(?i)</?({'|'.join(LINE_TAGS)})(\\s[^>]*)?/?>", "\n")
-    text = F.regexp_replace(text, "<[^>]+>", "")
-    for name, character in NAMED_CHARACTERS:
-        text = F.replace(text, F.lit(name), F.lit(character))
-    return F.split(text, "\n")
+    text = F.regexp_replace(text, f"(?i)<h[1-6]{_ATTRIBUTES}>", "\n" + _HEADING_MARK)
+    text = F.regexp_replace(text, "(?i)</h[1-6]\\s*>", "\n")
+    text = F.regexp_replace(text, f"(?i)(<tr{_ATTRIBUTES}>)\\s*<t[dh]{_ATTRIBUTES}>", "$1")
+    text = F.regexp_replace(text, f"(?i)\\s*(?:</t[dh]\\s*>\\s*)?<t[dh]{_ATTRIBUTES}>\\s*", " | ")
+    text = F.regexp_replace(text, f"(?i)</?(?:{'|'.join(LINE_TAGS)}){_ATTRIBUTES}>", "\n")
+    text = F.regexp_replace(text, f"</?[A-Za-z!?](?:{_QUOTED}|[^>]*)>", "")
+    return F.transform(F.split(text, "\n"), named_characters)
 
 
 def markdown_lines(text: Column) -> Column:

@@ -59,16 +59,17 @@ def chunk_in_sql(spark, folder):
 
 
 def _html_sql() -> str:
+    """The rule for the markup that the table has: no quoted ``>``, no tables, few named characters."""
     text = "html"
-    for tag in dc.FURNITURE_TAGS:
+    for tag in ("script", "style", "head", "nav", "footer"):
         text = f"regexp_replace({text}, '(?is)<{tag}(\\s[^>]*)?>.*?</{tag}>', '', 'g')"
     text = f"regexp_replace({text}, '(?s)<!--.*?-->', '', 'g')"
     text = f"regexp_replace({text}, '(?i)<h[1-6](\\s[^>]*)?>', chr(10) || chr(1), 'g')"
     text = f"regexp_replace({text}, '(?i)</h[1-6]>', chr(10), 'g')"
-    text = f"regexp_replace({text}, '(?i)</?({'|'.join(dc.LINE_TAGS)})(\\s[^>]*)?/?>', chr(10), 'g')"
+    text = f"regexp_replace({text}, '(?i)</?(p|div|br|li|ul|ol|section|article|blockquote|pre)(\\s[^>]*)?/?>', chr(10), 'g')"
     text = f"regexp_replace({text}, '<[^>]+>', '', 'g')"
-    for name, character in dc.NAMED_CHARACTERS:
-        text = "replace({}, '{}', '{}')".format(text, name, character.replace("'", "''"))
+    for name, character in (("nbsp", " "), ("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{character}')"
     return text
 
 

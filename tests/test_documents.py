@@ -1,5 +1,7 @@
 """Conversion, chunks, ids and search against plain Python."""
 
+import html
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -30,6 +32,39 @@ def test_page_items(spark):
     ]
 
 
+def lines_of(spark, body):
+    return [i["text"] for i in convert(spark, f"<html>{body}</html>").first()["items"] or []]
+
+
+@pytest.mark.parametrize("body, lines", [
+    ("<table><tr><td>12</td><td>34</td></tr><TR class=x>\n<th>a</th> <th>b</th></TR></table>", ["12 | 34", "a | b"]),
+    ("<table><tr><td>1<td>2<tr><td>3<td>4</table>", ["1 | 2", "3 | 4"]),
+    ("<p title='a > b'>x<p title=\"c > 'd'\" id=1>y", ["x", "y"]),
+    ("<p title=it's>x</p><p>y</p>", ["x", "y"]),
+    ("<img alt='1 > 0' src=x/>seen <b data-x='>'>bold</b>", ["seen bold"]),
+    ("<figure><img><figcaption>Cap</figcaption></figure>after", ["Cap", "after"]),
+    ("<dl><dt>term<dd>meaning</dl><ul><li>one<li>two</ul>", ["term", "meaning", "one", "two"]),
+    ("<p>a < b and c > d</p>", ["a < b and c > d"]),
+    ("<script x='>'>no</script><pre>yes</pre>", ["yes"]),
+    ("<p>" + "x" * 50_000 + "<a href='" + "y" * 50_000 + "'>z</a></p>", ["x" * 50_000 + "z"]),
+])
+def test_markup(spark, body, lines):
+    assert lines_of(spark, body) == lines
+
+
+def test_characters_by_name_and_number(spark):
+    texts = [
+        "&mdash;&eacute;&#8212;&#x1F600;&hellip;", "&amp;lt; &amp;amp; &lt;p&gt;", "x&nbsp;y&#160;z&#xa0;w", "AT&T &unknown; & &;",
+        "&notin;&NotEqualTilde;&AMP;", "no references", "", "1 &lt 2",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(dc.named_characters(F.col("t"))).collect()]
+    with_end = [t for t in texts[:-1]]
+    assert got[:-1] == [html.unescape(t).replace("\u00a0", " ") for t in with_end] and got[-1] == "1 &lt 2"
+    odd = spark.createDataFrame([("&#0; &#xD800; &#1114112; &#999999999;",), (None,)], "t string")
+    assert [r[0] for r in odd.select(dc.named_characters(F.col("t"))).collect()] == ["&#0; &#xD800; &#1114112; &#999999999;", None]
+
+
 def test_status_and_report(spark):
     df = convert(spark, PAGE, PAGE.replace("</html>", ""), "", "no markup", None, "<p></p>")
     assert [r["status"] for r in df.orderBy("page_id").collect()] == [
