@@ -9,7 +9,7 @@ from seedmill.operators import documents as dc
 from seedmill.operators.retrieval import retrieve_topk
 from seedmill.plans.registry import query
 from seedmill.plans.tables import table, words_sql
-from seedmill.sources import records, sinks
+from seedmill.sources import records, sinks, snapshots
 
 CLEANED = r"""array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x:
   regexp_replace(regexp_replace(regexp_replace(x, '[ \t\r\f]+', ' ', 'g'), '^[ \t\r\n\f]+', ''), '[ \t\r\n\f]+$', '')),
@@ -382,6 +382,30 @@ def append_index(spark, folder):
     return spark.read.parquet(path).select("id", "first")
 
 
+@query(
+    """WITH texts AS (SELECT text, min(doc_id) AS first FROM documents GROUP BY text),
+english AS (SELECT text, min(doc_id) AS first FROM documents WHERE lang = 'en' GROUP BY text)
+SELECT 1::BIGINT AS version, count(*) AS documents, sum(first)::BIGINT AS firsts FROM english
+UNION ALL SELECT 2, count(*), sum(coalesce(e.first, t.first))::BIGINT FROM texts t LEFT JOIN english e USING (text)
+UNION ALL SELECT 3, count(*), sum(first)::BIGINT FROM texts"""
+)
+def index_versions(spark, folder):
+    """Three versions of an index, each read after all were written: one language, all appended, rebuilt from all."""
+    uri = scratch_path(spark, "versions")
+    docs = dc.with_content_id(
+        table(spark, folder, "documents").select("doc_id", F.col("doc_id").alias("first"), "lang", F.col("text").alias("content"))
+    )
+    snapshots.rebuild(dc.dedup_skip(docs.filter("lang = 'en'"), "doc_id").drop("doc_id"), uri)
+    snapshots.append(docs, uri, "doc_id")
+    snapshots.rebuild(dc.dedup_skip(docs, "doc_id").drop("doc_id"), uri)
+    found = [
+        snapshots.read_version(spark, uri, n).agg(F.count(F.lit(1)).alias("documents"), F.sum("first").alias("firsts"))
+        .select(F.lit(n).cast("long").alias("version"), "documents", F.col("firsts").cast("long").alias("firsts"))
+        for n in snapshots.versions(spark, uri)
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query(
     f"""WITH texts AS (SELECT doc_id AS id, text AS content FROM documents),
 questions AS (SELECT item_id AS query_id, text AS content FROM benchmark),
