@@ -1,7 +1,8 @@
 """Queries that write files from the given tables and read them with the package's readers."""
 
-import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seedmill.functions.storage import scratch_path
@@ -24,18 +25,20 @@ def read_documents(spark, folder):
 
 @query("SELECT text AS user_input, 'item ' || item_id AS reference FROM benchmark")
 def read_questions(spark, folder):
-    """The benchmark as one file of questions."""
+    """The benchmark as files of questions, one for each task that writes; the reader takes one at a time."""
     path = scratch_path(spark, "questions")
     rows = table(spark, folder, "benchmark").select(
         F.col("text").alias("user_input"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("reference")
     )
-    rows.coalesce(1).write.json(path)
+    rows.write.json(path)
     location = spark._jvm.org.apache.hadoop.fs.Path
     store = location(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    (part,) = [s.getPath() for s in store.globStatus(location(f"{path}/part-*"))]
-    named = f"{path}-{uuid.uuid4().hex}.jsonl"
-    store.rename(part, location(named))
-    return records.read_questions(spark, named)
+    read = []
+    for n, part in enumerate(s.getPath() for s in store.globStatus(location(f"{path}/part-*"))):
+        named = f"{path}-{n}.jsonl"
+        store.rename(part, location(named))
+        read.append(records.read_questions(spark, named))
+    return reduce(DataFrame.unionByName, read)
 
 
 @query(

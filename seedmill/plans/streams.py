@@ -84,16 +84,33 @@ def status_counts_stream(spark, folder):
     return _counts(spark.read.schema(counted.schema).parquet(f"{root}/out"))
 
 
-@query(
-    f"""WITH {CHANGES},
+SESSIONS = f"""WITH {CHANGES},
 gaps AS (SELECT uuid, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens
          FROM changes WINDOW w AS (PARTITION BY uuid ORDER BY ts, event_id)),
 numbered AS (SELECT uuid, ts, sum(opens) OVER (PARTITION BY uuid ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM gaps)
 SELECT uuid, epoch_us(min(ts)) AS session_start, epoch_us(max(ts)) + 21600000000 AS session_end, count(*) AS n
 FROM numbered GROUP BY uuid, session"""
-)
+
+
+@query(SESSIONS)
 def session_counts(spark, folder):
     sessions = twins.session_counts_table(job_changes(table(spark, folder, "events")), gap_seconds=6 * 3600)
     return sessions.select(
         "uuid", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "n"
     )
+
+
+@query(
+    SESSIONS
+    + """
+HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM changes) - INTERVAL 1 HOUR"""
+)
+def session_counts_stream(spark, folder):
+    """Append mode hands out a session once the watermark has passed its end."""
+    root = scratch_path(spark, "session-counts")
+    counted = twins.session_counts(job_changes(event_stream(spark, folder)), "6 hours")
+    twins.run_to_end(lambda: twins.start_append(counted, f"{root}/out", f"{root}/checkpoint"))
+    sessions = spark.read.schema(counted.schema).parquet(f"{root}/out")
+    return sessions.select(
+        "uuid", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "n"
+    )
