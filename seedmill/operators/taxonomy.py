@@ -1,14 +1,15 @@
 """Seed files as rows: differences, validation, flattening, folder levels."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seedmill import fixed
-from seedmill.functions.columns import base_name, exploded, file_suffix, glob_to_regex, is_seed_file
-from seedmill.functions.ordering import with_position
+from seedmill.functions.columns import base_name, file_suffix, glob_to_regex, is_seed_file
 from seedmill.functions.storage import materialize
 
-PATTERNS_PER_ROW = 256
+WILDCARD = r"[*?\[]"
 
 
 def changed_files(untracked: DataFrame, modified: DataFrame) -> DataFrame:
@@ -149,31 +150,79 @@ def require_valid(validated: DataFrame) -> DataFrame:
     return totals
 
 
+def pattern_edges(patterns: DataFrame) -> DataFrame:
+    """The trie of the wildcard patterns: one row for each step from a prefix of segments to the next one.
+
+    Patterns of a repository and a number of segments share the steps of what
+    they have in common. ``key`` is the segment of a plain step and empty for a
+    wildcard, whose expression for one segment is ``regex``.
+    """
+    segments = F.split("pattern", "/")
+    steps = F.transform(
+        F.sequence(F.lit(1), F.size(segments)),
+        lambda n: F.struct(
+            n.alias("level"),
+            F.array_join(F.slice(segments, 1, n - 1), "/").alias("prefix"),
+            F.array_join(F.slice(segments, 1, n), "/").alias("reached"),
+            F.element_at(segments, n).alias("segment"),
+        ),
+    )
+    every = patterns.select("repo", F.size(segments).alias("depth"), F.inline(steps)).distinct()
+    wild = F.rlike("segment", F.lit(WILDCARD))
+    return every.select(
+        "repo",
+        "depth",
+        "level",
+        "prefix",
+        "reached",
+        wild.alias("wild"),
+        F.when(wild, "").otherwise(F.col("segment")).alias("key"),
+        F.when(wild, glob_to_regex(F.col("segment"))).alias("regex"),
+    )
+
+
 def match_patterns(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """Files matched by each glob pattern of the same repository.
 
     A pattern without wildcards is a path, and an equality join finds it. The
-    others of a repository are packed into arrays of bounded length, so a file
-    meets each array once and tests its expressions in place.
+    others form a trie of segments, which files walk down one level at a time:
+    at each level an equality join on the prefix reached and the file's segment,
+    or on the prefix and the mark of a wildcard step. An expression is tried on
+    one segment of the files that came as far, once for all patterns that share
+    the step. There is a join for each segment of the deepest pattern.
     """
     every = materialize(patterns.select("repo", "pattern").distinct(), "patterns")
-    wild = F.rlike(F.col("pattern"), F.lit(r"[*?\[]"))
+    wild = F.rlike(F.col("pattern"), F.lit(WILDCARD))
     places = files.select("repo", "path")
 
     named = places.join(
         every.filter(~wild).withColumn("path", F.col("pattern")), ["repo", "path"]
     ).select("repo", "path", "pattern")
 
-    placed = with_position(every.filter(wild), [F.col("pattern")], keys=["repo"])
-    packed = placed.groupBy("repo", F.floor(F.col("position") / PATTERNS_PER_ROW).alias("_part")).agg(
-        F.collect_list(F.struct("pattern", glob_to_regex(F.col("pattern")).alias("regex"))).alias("globs")
-    )
-    joined = places.join(packed, "repo")
-    hits = F.filter("globs", lambda g: F.rlike(F.col("path"), g["regex"]))
-    globbed = exploded(joined, ["repo", "path"], hits, "_n", "glob").select(
-        "repo", "path", F.col("glob.pattern").alias("pattern")
-    )
-    return named.unionByName(globbed)
+    edges = materialize(pattern_edges(every.filter(wild)), "pattern-edges")
+    deepest = edges.agg(F.max("depth")).first()[0]
+    if deepest is None:
+        return named
+    walk = places.withColumn("_segments", F.split("path", "/"))
+    walk = walk.withColumn("depth", F.size("_segments")).withColumn("prefix", F.lit(""))
+    walk = walk.join(edges.select("repo", "depth").distinct(), ["repo", "depth"], "left_semi")
+    done = []
+    for level in range(1, deepest + 1):
+        step = edges.filter(F.col("level") == level).drop("level")
+        segment = F.element_at("_segments", level)
+        ways = F.array(
+            F.struct(F.lit(False).alias("wild"), segment.alias("key")), F.struct(F.lit(True).alias("wild"), F.lit("").alias("key"))
+        )
+        walk = (
+            walk.filter(F.col("depth") >= level)
+            .select("repo", "path", "_segments", "depth", "prefix", F.inline(ways))
+            .join(step, ["repo", "depth", "prefix", "wild", "key"])
+            .filter(~F.col("wild") | F.rlike(segment, F.col("regex")))
+            .select("repo", "path", "_segments", "depth", F.col("reached").alias("prefix"))
+        )
+        walk = materialize(walk, f"walk-{level}")  # read twice: by what ends here and by the next level
+        done.append(walk.filter(F.col("depth") == level).select("repo", "path", F.col("prefix").alias("pattern")))
+    return reduce(DataFrame.unionByName, [named, *done])
 
 
 def validate_documents(parsed: DataFrame, files: DataFrame) -> DataFrame:

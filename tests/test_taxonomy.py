@@ -1,5 +1,7 @@
 """Seed files on disk: reading, checks, differences, flattening."""
 
+import fnmatch
+import random
 import textwrap
 
 import pytest
@@ -126,6 +128,40 @@ def test_matching_stays_in_the_repository(spark, repo):
     assert [r["path"] for r in tx.match_patterns(repo, patterns).collect()] == ["phoenix.md"]
 
 
+def brute_match(path, pattern):
+    if not any(c in pattern for c in "*?["):
+        return path == pattern
+    names, globs = path.split("/"), pattern.split("/")
+    return len(names) == len(globs) and all(
+        fnmatch.fnmatchcase(name, glob) and not (name.startswith(".") and glob[:1] in "*?[" and glob)
+        if any(c in glob for c in "*?[") else name == glob
+        for name, glob in zip(names, globs, strict=True)
+    )
+
+
+def test_patterns_against_trying_each_one(spark):
+    rng = random.Random(5)
+    names = ["a", "b", "ab", "b.md", "a.md", ".a", "a+b", "", "é.md", "x y"]
+    globs = [*names, "*", "*.md", "?", "a*", "[ab]", "[!a]*", "?.md", "**", "[a-b]?", "*b*"]
+    files = {(r, "/".join(rng.choices(names, k=rng.randint(1, 4)))) for r in ("r", "s") for _ in range(150)}
+    patterns = {(rng.choice("rst"), "/".join(rng.choices(globs, k=rng.randint(1, 5)))) for _ in range(400)}
+    got = tx.match_patterns(
+        spark.createDataFrame([*files, (None, None)], "repo string, path string"),
+        spark.createDataFrame([*patterns, *patterns, ("r", None)], "repo string, pattern string"),
+    )
+    want = sorted((r, p, g) for r, p in files for q, g in patterns if r == q and brute_match(p, g))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 200
+
+
+def test_steps_that_patterns_share_are_one(spark):
+    patterns = spark.createDataFrame([("r", f"docs/*/{n}*.md") for n in range(50)], "repo string, pattern string")
+    edges = tx.pattern_edges(patterns)
+    assert sorted((r["level"], r["count"]) for r in edges.groupBy("level").count().collect()) == [(1, 1), (2, 1), (3, 50)]
+    files = spark.createDataFrame([("r", "docs/a/1.md"), ("r", "docs/1.md")], "repo string, path string")
+    assert [r["pattern"] for r in tx.match_patterns(files, patterns).collect()] == ["docs/*/1*.md"]
+    assert tx.match_patterns(files, patterns.limit(0)).count() == 0
+
+
 def test_collected_documents(parsed, repo):
     got = sorted(r["path"] for r in tx.collect_seed_documents(parsed, repo).collect())
     assert got == ["notes.txt", "phoenix.md"]
