@@ -34,6 +34,7 @@ def template_generator(requests: pd.DataFrame) -> pd.DataFrame:
 
 
 GENERATED = "request_id string, question string, answer string"
+PIECE_ROWS = 1024
 
 
 def run_generator(
@@ -48,23 +49,25 @@ def run_generator(
     request with the same ``request_id``; an id that comes twice is an error.
     """
     target = _schema(schema)
+    step = batch_size if batch_size > 0 else 1
+    # Outputs leave in pieces, so that a worker holds those of few batches at once.
+    piece = step * max(1, PIECE_ROWS // step)
 
     def call(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step = batch_size if batch_size > 0 else 1
         for frame in frames:
-            parts = [
-                generator(frame.iloc[start : start + step].reset_index(drop=True))
-                for start in range(0, len(frame), step)
-            ]
-            if not parts:
-                continue
-            out = pd.concat(parts, ignore_index=True)
-            carried = [n for n in target.names if n not in out.columns]
-            if carried:
-                if not frame["request_id"].is_unique:
-                    raise ValueError("a request_id belongs to more than one request")
-                out = out.merge(frame[["request_id", *carried]], on="request_id", how="left")
-            yield out[target.names]
+            for first in range(0, len(frame), piece):
+                ends = range(first, min(first + piece, len(frame)), step)
+                out = pd.concat(
+                    [generator(frame.iloc[start : start + step].reset_index(drop=True)) for start in ends],
+                    ignore_index=True,
+                )
+                carried = [n for n in target.names if n not in out.columns]
+                if carried:
+                    if not frame["request_id"].is_unique:
+                        raise ValueError("a request_id belongs to more than one request")
+                    asked = frame.iloc[first : first + piece]
+                    out = out.merge(asked[["request_id", *carried]], on="request_id", how="left")
+                yield out[target.names]
 
     return df.mapInPandas(call, target)
 

@@ -1,8 +1,10 @@
 """Requests, batches, resumption and training sets."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from seedmill.functions.slots import run_generator
 from seedmill.operators import generation as gn
 
 
@@ -58,6 +60,22 @@ def test_resume_adds_only_what_is_missing(spark, seeds, tmp_path):
     assert gn.resume_requests(every, second).count() == 0
 
 
+def test_outputs_leave_in_pieces(spark):
+    def generator(frame):
+        return frame[["request_id"]].assign(question="q", answer="a")
+
+    requests = [pd.DataFrame({"request_id": [str(i) for i in range(5000)], "path": "p"})]
+    found = {}
+
+    class Frames:
+        def mapInPandas(self, call, schema):  # noqa: N802
+            found["pieces"] = list(call(requests))
+
+    run_generator(Frames(), generator, "request_id string, question string, path string", 8)
+    assert sum(map(len, found["pieces"])) == 5000 and max(map(len, found["pieces"])) <= 1024
+    assert all(p["path"].eq("p").all() for p in found["pieces"])
+
+
 def test_chunks_never_multiply_with_examples(spark):
     pair = "struct<question:string,answer:string>"
     files = spark.createDataFrame(
