@@ -72,8 +72,11 @@ def generate(
     slots first; a hash of the request id keeps a retried task's rows in place.
     ``max_concurrency`` limits how many batches are in flight at an endpoint.
     """
-    slots = max_concurrency or task_slots(requests.sparkSession)
-    return run_generator(requests.repartition(slots, "request_id"), generator, schema, batch_size)
+    return run_generator(_dealt(requests, max_concurrency), generator, schema, batch_size)
+
+
+def _dealt(requests: DataFrame, slots: int | None = None) -> DataFrame:
+    return requests.repartition(slots or task_slots(requests.sparkSession), "request_id")
 
 
 def resume_requests(requests: DataFrame, done: DataFrame) -> DataFrame:
@@ -91,10 +94,19 @@ def generate_resumable(
 ) -> DataFrame:
     """Generate what the folder lacks, slice by slice; each finished slice stays finished.
 
-    Returns everything generated so far, read back from the folder.
+    Returns everything generated so far, read back from the folder. Requests are
+    dealt out by their id once; what is stored meets them there, by its ids alone.
     """
     spark = requests.sparkSession
     done = spark.read.schema(schema).parquet(folder) if _exists(spark, folder) else None
+    if slices == 1:
+        todo = _dealt(requests)
+        if done is not None:
+            # An anti join would be moved below the dealing, whose partitions Spark would then merge by their bytes.
+            stored = done.select("request_id", F.col("request_id").alias("_stored"))
+            todo = todo.join(stored, "request_id", "left").filter(F.col("_stored").isNull()).drop("_stored")
+        run_generator(todo, generator, schema, batch_size).write.mode("append").parquet(folder)
+        return spark.read.schema(schema).parquet(folder)
     todo = requests if done is None else resume_requests(requests, done)
     # Stored by slice, so that each slice reads its own requests only.
     queue = scratch_path(spark, "requests")

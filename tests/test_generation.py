@@ -60,6 +60,30 @@ def test_resume_adds_only_what_is_missing(spark, seeds, tmp_path):
     assert gn.resume_requests(every, second).count() == 0
 
 
+def test_resuming_deals_requests_out_once(spark, seeds, tmp_path, monkeypatch):
+    folder = str(tmp_path / "generated")
+    every = gn.seed_requests(seeds, 4)
+    plans = []
+
+    def seen(df, *args):
+        plans.append(df)
+        return run_generator(df, *args)
+
+    monkeypatch.setattr(gn, "run_generator", seen)
+    monkeypatch.setattr(gn, "scratch_path", lambda *_: pytest.fail("requests of one slice are stored"))
+    assert gn.generate_resumable(every.filter("repeat = 1"), folder).count() == 6
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = gn.generate_resumable(every, folder)
+        assert got.count() == 24 and got.select("request_id").distinct().count() == 24
+        text = plans[1]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # One exchange of the requests, of a fixed number of partitions, and one of the stored ids.
+    assert text.count("Exchange") == 2 and text.count("REPARTITION_BY_NUM") == 1
+    assert gn.generate_resumable(every, folder).count() == 24
+
+
 def test_outputs_leave_in_pieces(spark):
     def generator(frame):
         return frame[["request_id"]].assign(question="q", answer="a")
