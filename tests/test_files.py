@@ -149,6 +149,23 @@ def test_converted_documents(spark, tmp_path):
     assert got["bad"]["items"] is None
 
 
+def test_converted_documents_are_listed_by_folder(spark, tmp_path):
+    for name in ("a b", "a c", "d"):
+        for n in range(40):
+            write_lines(tmp_path / name / f"{n} %.json", [{"n": n}])
+        (tmp_path / name / "other.txt").write_text("{}")
+        write_lines(tmp_path / name / "below" / "x.json", [{"n": -1}])
+        write_lines(tmp_path / name / "part=1" / "x.json", [{"n": -1}])
+    docs = records.read_converted_docs(spark, str(tmp_path / "a b"))
+    assert "InMemoryFileIndex(1 paths)" in docs._jdf.queryExecution().executedPlan().toString()
+    assert sorted(json.loads(r["content"])["n"] for r in docs.collect()) == list(range(40))
+    assert records.read_converted_docs(spark, str(tmp_path / "a*")).count() == 80
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        records.read_converted_docs(spark, str(tmp_path))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        records.read_converted_docs(spark, str(tmp_path / "none"))
+
+
 def test_job_registry(spark, tmp_path):
     registry = {
         "u1": {"pid": 1, "children_pids": [2, 3], "type": "Generation", "log_file": "/l/1",
