@@ -173,7 +173,9 @@ def _scored(routes: DataFrame, blocks: DataFrame, k: int, types: tuple[str, str]
         for batch in batches:
             asked_type = batch.schema.field("asked").type.value_type
             id_type = batch.schema.field("ids").type.value_type
-            for row in batch.to_pylist():
+            # A row holds a block of vectors, so rows become Python values one at a time.
+            for n in range(batch.num_rows):
+                row = batch.slice(n, 1).to_pylist()[0]
                 ids = np.array(row["ids"], dtype=object) if isinstance(row["ids"][0], str) else np.array(row["ids"])
                 order = np.argsort(ids, kind="stable")
                 ids = ids[order]
