@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedmill.functions.storage import materialize, release_shuffles, remove_stored, scratch_path
+from seedmill.functions.storage import materialize, release_shuffles, remove_stored, scratch_path, shared_folder, store
 from seedmill.llm.word_hashes import mix, word_hashes
 
 SHINGLE = 5
@@ -49,6 +49,7 @@ PIVOTS = 512
 BLOCK_MEMBERS = 512
 GROUP_MEMBERS = 256
 FOLD = np.uint64(0x9FB21C651E98DF25)
+CODEC = "zstd"  # of the large stored tables
 
 
 def _gamma_quantiles(size: int = 1 << 16) -> np.ndarray:
@@ -278,12 +279,12 @@ def idf(n: np.ndarray, total: int, span: float = IDF_SPAN) -> np.ndarray:
     return 1 + span * np.log(total / n) / math.log(max(total, 2))
 
 
-def sign(docs: DataFrame) -> DataFrame:
+def sign(docs: DataFrame, stored_at: str | None = None) -> DataFrame:
     """row, doc_id, digest (of the text), bands, shingles and weights of every row of ``docs`` (row, chunk, doc_id, text).
 
     A text that the chunk has had already is a row without bands. The rows must
     be those of ``number_rows``, since they are read more than once. The result is
-    stored; what led to it is removed.
+    stored, at ``stored_at`` if that is given; what led to it is removed.
     """
     spark = docs.sparkSession
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
@@ -345,10 +346,10 @@ def sign(docs: DataFrame) -> DataFrame:
     )
     parts = max(1, math.ceil((size["bytes"] or 0) / PART_BYTES))
     path = scratch_path(spark, "frequencies")
-    document_frequencies(source, parts).write.parquet(path)
+    answers = store(document_frequencies(source, parts), path, CODEC).groupBy("chunk")
     release_shuffles(spark)
-    answers = spark.read.schema(ASKED).parquet(path).groupBy("chunk")
-    stored = materialize(source.groupBy("chunk").cogroup(answers).applyInArrow(sign_chunk, fields), "signed")
+    signed_chunks = source.groupBy("chunk").cogroup(answers).applyInArrow(sign_chunk, fields)
+    stored = store(signed_chunks, stored_at or scratch_path(spark, "signed"), CODEC)
     remove_stored(spark, path)
     release_shuffles(spark)
     return stored
@@ -504,8 +505,8 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def link(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, component) for the distinct texts that have a near duplicate; the others are by themselves."""
+def candidates(signed: DataFrame, members_at: str, sets_at: str) -> tuple[DataFrame, DataFrame]:
+    """The members of each bucket (key, n, head, row) and the sets of those texts, stored at the two paths."""
     nodes = signed.filter("bands IS NOT NULL").groupBy("digest").agg(F.min("row").alias("row")).select("row")
     nodes = materialize(nodes, "nodes")
     keyed = signed.select("row", "bands").join(nodes, "row", "left_semi")
@@ -516,15 +517,19 @@ def link(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     buckets = materialize(
         buckets.filter("n > 1").select("key", "n", F.col("head").bitwiseXOR(F.col("key")).alias("head")), "buckets"
     )
-    members = materialize(keyed.join(buckets, "key").select("key", "n", "head", "row"), "members")
+    members = store(keyed.join(buckets, "key").select("key", "n", "head", "row"), members_at, CODEC)
     # Only texts with a candidate are compared; their sets are picked out once.
-    candidates = members.select("row").distinct().hint("shuffle_merge")
-    sets = materialize(sets.join(candidates, "row", "left_semi"), "candidate-sets")
+    compared = members.select("row").distinct().hint("shuffle_merge")
+    return members, store(sets.join(compared, "row", "left_semi"), sets_at, CODEC)
+
 
+def link(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, component) for the distinct texts that have a near duplicate; the others are by themselves."""
+    spark = members.sparkSession
     pairs = members.select(F.col("head").alias("a"), F.col("row").alias("b")).filter("a <> b").distinct()
     links = similarities(pairs, sets).filter(F.col("similarity") >= threshold).select("a", "b")
     found = components(materialize(links, "links"))
-    waiting = materialize(members.filter("n > 2").select("key", "n", "head", "row"), "waiting")
+    waiting = members.filter("n > 2")
     done = None
     while True:
         # What is not connected with the head of its bucket has yet to meet the others there.
@@ -532,7 +537,8 @@ def link(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         heads = found.select(F.col("node").alias("head"), F.col("component").alias("head_own"))
         own, head_own = F.coalesce("own", "row").alias("own"), F.coalesce("head_own", "head").alias("head_own")
         placed = waiting.join(component, "row", "left").join(heads, "head", "left")
-        placed = materialize(placed.select("key", "n", "head", "row", own, head_own), "placed")
+        placed_at = scratch_path(spark, "placed")
+        placed = store(placed.select("key", "n", "head", "row", own, head_own), placed_at, CODEC)
         apart = placed.filter("own <> head_own")
         if done is not None:
             apart = apart.join(done, ["key", "row"], "left_anti")
@@ -540,8 +546,10 @@ def link(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         pivots = apart.withColumn("turn", turn).filter(F.col("turn") <= PIVOTS)
         pivots = materialize(pivots.select("key", "n", "row", "own"), "pivots")
         if pivots.isEmpty():
+            remove_stored(spark, placed_at)
             return found
         found = _merged(found, materialize(meet(pivots, placed, sets, threshold), "links"))
+        remove_stored(spark, placed_at)
         finished = pivots.select("key", "row")
         done = materialize(finished if done is None else done.union(finished), "finished")
 
@@ -564,22 +572,33 @@ def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(every.select("node", F.coalesce("least", "component").alias("component")), "components")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """row, doc_id, digest and component of every row of ``docs`` (row, chunk, doc_id, text), as ``number_rows`` stores them.
+def classes(docs: DataFrame, threshold: float = THRESHOLD, numbered: str | None = None) -> DataFrame:
+    """row, doc_id and component of every row of ``docs`` (row, chunk, doc_id, text), as ``number_rows`` stores them.
 
     Equal texts share a component. A null text is an empty one; texts without
     words are near duplicates of equal texts only. An empty table gives an empty
-    one; extra columns are not read.
+    one; extra columns are not read. The result is stored; large tables on the way
+    go as soon as nothing reads them, the table ``numbered`` of the rows too.
     """
-    signed = sign(docs)
-    found = link(signed, threshold)
-    nodes = signed.filter("bands IS NOT NULL").groupBy("digest").agg(F.min("row").alias("node"))
+    spark = docs.sparkSession
+    signed_at, members_at, sets_at = (scratch_path(spark, n) for n in ("signed", "members", "candidate-sets"))
+    signed = sign(docs, signed_at)
+    if numbered:
+        spark.sql(f"DROP TABLE {numbered}")
+        remove_stored(spark, f"{shared_folder(spark)}/{numbered}")
+    digests = materialize(signed.select("row", "doc_id", "digest", F.col("bands").isNotNull().alias("own")), "digests")
+    members, sets = candidates(signed, members_at, sets_at)
+    remove_stored(spark, signed_at)
+    found = link(members, sets, threshold)
+    remove_stored(spark, members_at)
+    remove_stored(spark, sets_at)
+    nodes = digests.filter("own").groupBy("digest").agg(F.min("row").alias("node"))
     named = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    return signed.select("row", "doc_id", "digest").join(named, "digest")
+    return materialize(digests.join(named, "digest").select("row", "doc_id", "component"), "classes")
 
 
-def number_rows(docs: DataFrame) -> DataFrame:
-    """``row``, ``chunk`` and ``doc`` (all columns) of every row of ``docs``, stored in buckets by chunk.
+def number_rows(docs: DataFrame, name: str | None = None) -> DataFrame:
+    """``row``, ``chunk`` and ``doc`` (all columns) of every row of ``docs``, stored in buckets by chunk as table ``name``.
 
     The numbers hold for every later read. A chunk has neighbouring rows of like
     size, few where texts are long and a single one where it is very long, so its
@@ -595,16 +614,22 @@ def number_rows(docs: DataFrame) -> DataFrame:
         chunk = own if most is None else F.when(size <= most, own).otherwise(chunk)
     total = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     buckets = max(math.ceil(total / PART_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    name = f"numbered_{uuid.uuid4().hex}"
-    writer = numbered.withColumn("chunk", chunk).write.format("parquet").option("path", scratch_path(spark, "numbered"))
+    name = name or _table_name()
+    writer = numbered.withColumn("chunk", chunk).write.format("parquet").option("compression", CODEC)
+    writer = writer.option("path", f"{shared_folder(spark)}/{name}")
     writer.bucketBy(min(buckets, MOST_BUCKETS), "chunk").sortBy("chunk").saveAsTable(name)
     return spark.table(name)
 
 
+def _table_name() -> str:
+    return f"numbered_{uuid.uuid4().hex}"
+
+
 def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class) and class_rows of every row of ``docs``."""
-    rows = number_rows(docs.select("doc_id", "text")).select("row", "chunk", "doc.doc_id", "doc.text")
-    placed = materialize(classes(rows, threshold).select("doc_id", "component"), "classes")
+    numbered = _table_name()
+    rows = number_rows(docs.select("doc_id", "text"), numbered).select("row", "chunk", "doc.doc_id", "doc.text")
+    placed = classes(rows, threshold, numbered).select("doc_id", "component")
     named = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows"))
     return placed.join(materialize(named, "class-names"), "component").select("doc_id", "class_id", "class_rows")
 
@@ -617,7 +642,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     rows = number_rows(docs)
     read = rows.select("row", "chunk", "doc.doc_id", "doc.text")
-    placed = materialize(classes(read, threshold).select("row", "doc_id", "component"), "classes")
+    placed = classes(read, threshold)
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
     firsts = placed.groupBy("component").agg(F.min(order).alias("first"))
     dropped = placed.select("row").join(firsts.select(F.col("first.row").alias("row")), "row", "left_anti")

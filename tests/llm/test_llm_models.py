@@ -1,10 +1,13 @@
 """Near duplicates, neighbour search, the hidden Markov model and the pipeline against brute force."""
 
 import collections
+import glob
 import itertools
 import math
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from seedmill.functions.storage import FILE_CLEANUP, materialize, shared_folder
 from seedmill.llm import hidden_markov, near_duplicates, posting_lists, quality_rules, secret_ledger, word_hashes
 from seedmill.session import ship_package
 
@@ -138,6 +142,48 @@ def test_keep_one_of_each_class(spark, corpus, tmp_path):
     assert ids == collections.Counter([*set(brute_classes(corpus)), None])
 
 
+def shared_tables(spark):
+    folder = shared_folder(spark).removeprefix("file:")
+    return {name for name in os.listdir(folder) if os.path.isdir(os.path.join(folder, name))}
+
+
+def shuffle_files(spark):
+    temporary = spark.sparkContext._jvm.System.getProperty("java.io.tmpdir")
+    roots = os.environ.get("SPARK_LOCAL_DIRS") or spark.sparkContext.getConf().get("spark.local.dir", temporary)
+    return {p for root in roots.split(",") for p in glob.glob(f"{root}/blockmgr-*/*/shuffle_*.data")}
+
+
+def test_large_tables_go_when_nothing_reads_them(spark, corpus):
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(corpus)], "doc_id long, text string")
+    large = {"signed", "members", "candidate-sets", "placed", "waiting", "frequencies"}
+
+    def left(before):
+        return {re.split(r"[-_][0-9a-f]{32}", name)[0] for name in shared_tables(spark) - before}
+
+    before = shared_tables(spark)
+    near_duplicates.duplicate_classes(docs).count()
+    assert not left(before) & (large | {"numbered"})
+    before = shared_tables(spark)
+    near_duplicates.keep_one(docs).count()
+    assert not left(before) & large and "numbered" in left(before)
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    numbers = spark.range(100_000).repartition(5, "id")
+    before = shuffle_files(spark)
+    kept = numbers.select("id")
+    kept.collect()
+    assert shuffle_files(spark) - before
+    before = shuffle_files(spark)
+    stored = materialize(numbers, "numbers")
+    stop = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < stop:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    assert stored.count() == 100_000
+    assert spark.conf.get(FILE_CLEANUP, None) is None
+
+
 def test_keep_one_when_later_reads_are_split_otherwise(spark, tmp_path, monkeypatch):
     ship_package(spark)
     rows = [(n, f"text {n % 30} of words {n % 30} and more {n % 30}") for n in range(60)]
