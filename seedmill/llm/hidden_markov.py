@@ -48,6 +48,7 @@ TOWARDS_SHARE = 1.0
 SIDE_BY_SIDE = 1024
 MOST_CELLS = 1 << 22
 STEPS = 256
+KEPT_CELLS = 1 << 21
 PRIOR = 10.0
 
 
@@ -167,7 +168,7 @@ def build_vocabulary(
     order = np.argsort(words)
     words, counts = words[order], counts[order]
     top = np.lexsort((words, -counts))[:own]
-    classes = class_of_rest(words, own, shared)
+    classes = class_of_rest(words, own, shared).astype(np.int32)  # looked up for each token
     shared_of_top = classes[top]
     classes[top] = np.arange(len(top))
     class_tokens = np.zeros(own + shared + 1)
@@ -217,33 +218,43 @@ def _active(lengths: np.ndarray, steps: int) -> list[int]:
     return np.searchsorted(-lengths, -np.arange(steps), side="left").tolist()
 
 
+def _emitted(by_state: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Emissions of ``part`` (steps x texts) as states x steps x texts, so that loops run along the texts."""
+    out = np.empty((len(by_state), *part.shape), dtype=by_state.dtype)
+    for emit, found in zip(by_state, out, strict=True):
+        np.take(emit, part, out=found, mode="clip")
+    return out
+
+
 def _forward(
     model: Model, emitted: np.ndarray, active: list[int], at: int, before: np.ndarray | None, keep=None, scales=None
 ) -> tuple[np.ndarray, np.ndarray]:
     """Run the scaled forward recursion over the steps of ``emitted``, the first of which is step ``at``.
 
-    ``before`` is the state of the texts after the step before. Gives the last
-    state of all texts and the sum of the logarithms of the scales.
+    ``before`` is the state of the texts (states x texts) after the step before. Gives the last
+    state of all texts and the sum of the logarithms of the scales, which is left out where ``scales`` are kept.
     """
     ones = np.ones(len(model.start), dtype=emitted.dtype)
+    move = np.ascontiguousarray(model.move.T)
     state = before
-    total = np.zeros(emitted.shape[1])
-    for s in range(len(emitted)):
+    total = np.zeros(emitted.shape[2])
+    for s in range(emitted.shape[1]):
         n = active[at + s]
         if n == 0:
             break
         if state is None:
-            now = model.start * emitted[s, :n]
+            now = model.start[:, None] * emitted[:, s, :n]
+        else:
+            now = move @ state[:, :n]
+            now *= emitted[:, s, :n]
+        scale = ones @ now
+        if keep is None:
+            now /= scale
+            total[:n] += np.log(scale)
+            state = now
         else:
-            now = state[:n] @ model.move
-            now *= emitted[s, :n]
-        scale = now @ ones
-        now /= scale[:, None]
-        if keep is not None:
-            keep[s, :n] = now
+            state = np.divide(now, scale, out=keep[:, s, :n])
             scales[s, :n] = scale
-        total[:n] += np.log(scale)
-        state = now
     return state, total
 
 
@@ -255,7 +266,8 @@ def log_likelihood(model: Model, lengths: np.ndarray, table: np.ndarray) -> np.n
         n = active[at]
         if n == 0:
             break
-        emitted = model.emit[table[at : at + STEPS, :n]]
+        # Many words and few tokens: rows of the table are picked, not columns of a turned copy.
+        emitted = np.moveaxis(model.emit[table[at : at + STEPS, :n]], 2, 0)
         state, part = _forward(model, emitted, active, at, state)
         total[:n] += part
     return total
@@ -264,53 +276,63 @@ def log_likelihood(model: Model, lengths: np.ndarray, table: np.ndarray) -> np.n
 def expected_counts(model: Model, lengths: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch counts of start, move and emit, and the log likelihood.
 
-    Time is worked through in stretches: the forward states at their borders are
-    kept, and inside a stretch they are worked out again on the way back, so
+    Time is worked through in stretches. Their forward states are kept, together at
+    most ``KEPT_CELLS`` steps x texts. Of a larger table only those at the borders
+    are kept, and inside a stretch they are worked out again on the way back, so
     memory does not grow with the longest text.
     """
     k = len(model.start)
+    by_state = np.ascontiguousarray(model.emit.T)
     active = _active(lengths, len(table))
     stretches = range(0, len(table), STEPS)
-    borders, state, total = [], None, 0.0
-    if len(stretches) > 1:
-        for at in stretches:
-            borders.append(state)
-            n = active[at]
-            if n == 0:
-                break
-            state, _ = _forward(model, model.emit[table[at : at + STEPS, :n]], active, at, state)
-    else:
-        borders.append(None)
+    keep_all = sum(len(table[at : at + STEPS]) * active[at] for at in stretches) <= KEPT_CELLS
+
+    def stretch(at: int, before: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """Classes, forward states and scales of a stretch, and the last state."""
+        part = table[at : at + STEPS, : active[at]].astype(np.intp)
+        emitted = _emitted(by_state, part)
+        kept, scales = np.zeros_like(emitted), np.ones(part.shape, dtype=emitted.dtype)
+        after, _ = _forward(model, emitted, active, at, before, kept, scales)
+        return part, emitted, kept, scales, after
+
+    borders, ready, total = [None], [], 0.0
+    for at in stretches if keep_all else stretches[:-1]:
+        if keep_all:
+            part, _, kept, scales, state = stretch(at, borders[-1])
+            ready.append((part, kept, scales))
+        else:
+            part = table[at : at + STEPS, : active[at]].astype(np.intp)
+            state, _ = _forward(model, _emitted(by_state, part), active, at, borders[-1])
+        borders.append(state)
     moves, emits = np.zeros((k, k)), np.zeros((k, len(model.emit)))
     starts = np.zeros(k)
     ahead = None  # emission x backward state over the scale, of the step after the stretch
-    for b in range(len(borders) - 1, -1, -1):
+    for b in range(len(stretches) - 1, -1, -1):
         at = stretches[b]
         n = active[at]
-        if n == 0:
-            continue
-        part = table[at : at + STEPS, :n]
-        emitted = model.emit[part]
-        kept, scales = np.zeros_like(emitted), np.ones(part.shape, dtype=emitted.dtype)
-        _, logs = _forward(model, emitted, active, at, borders[b], kept, scales)
-        total += logs.sum()
-        back = np.zeros_like(emitted)
-        weights = np.zeros_like(emitted)
+        if keep_all:
+            part, kept, scales = ready.pop()
+            emitted = _emitted(by_state, part)
+        else:
+            part, emitted, kept, scales, _ = stretch(at, borders[b])
+        total += float(np.log(scales).sum(dtype=np.float64))
+        back = np.ones_like(emitted)  # what lies beyond a text's end meets forward states of 0
+        weights = emitted  # each step's emissions become its weights once they are read
         for s in range(len(part) - 1, -1, -1):
             m = active[at + s]
-            if m == 0:
-                continue
-            back[s, :m] = 1.0
-            if ahead is not None and len(ahead):
-                back[s, : len(ahead)] = ahead @ model.move.T
-            ahead = emitted[s, :m] * back[s, :m]
-            ahead /= scales[s, :m, None]
-            weights[s, :m] = ahead
-        moves += kept[:-1].reshape(-1, k).T @ weights[1:].reshape(-1, k)
+            if m < n:
+                weights[:, s, m:] = 0
+            if ahead is not None and ahead.shape[1]:
+                back[:, s, : ahead.shape[1]] = model.move @ ahead
+            ahead = weights[:, s, :m]
+            ahead *= back[:, s, :m]
+            ahead /= scales[s, :m]
+        flat_kept, flat_weights = kept.reshape(k, -1), weights.reshape(k, -1)
+        moves += flat_kept[:, : flat_kept.shape[1] - n] @ flat_weights[:, n:].T
         if borders[b] is not None:
-            moves += borders[b][:n].T @ weights[0]
+            moves += borders[b][:, :n] @ weights[:, 0].T
         else:
-            starts += (kept[0] * back[0]).sum(axis=0)
+            starts += (kept[:, 0] * back[:, 0]).sum(axis=1)
         kept *= back
         flat = part.ravel()
         if len(flat) < len(model.emit):  # a stretch of few texts and a wide vocabulary
@@ -319,7 +341,7 @@ def expected_counts(model: Model, lengths: np.ndarray, table: np.ndarray) -> tup
             met = slice(None)
         size = len(met) if isinstance(met, np.ndarray) else len(model.emit)
         for state_no in range(k):
-            emits[state_no, met] += np.bincount(flat, weights=kept[:, :, state_no].ravel(), minlength=size)
+            emits[state_no, met] += np.bincount(flat, weights=flat_kept[state_no], minlength=size)
     return starts, moves * model.move, emits, total
 
 

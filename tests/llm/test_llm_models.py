@@ -334,6 +334,27 @@ def test_forward_and_counts_against_all_paths(monkeypatch):
     assert emits == pytest.approx(expected[2]) and log == pytest.approx(likelihood.sum())
 
 
+def test_forward_states_are_worked_out_once_where_they_fit(monkeypatch):
+    rng = np.random.default_rng(3)
+    counts = np.array([1100, 600, 599, 256, 255, 20, 1, 0])
+    emit = rng.random((5, 3))
+    model = hidden_markov.Model(np.full(3, 1 / 3), np.full((3, 3), 0.1) + 0.7 * np.eye(3), emit / emit.sum(axis=0))
+    ((_, lengths, table),) = hidden_markov.side_by_side(rng.integers(0, 4, counts.sum()), counts, 4)
+    forward, steps, found = hidden_markov._forward, [], []
+
+    def counted(model, emitted, active, at, *rest):
+        steps.append(at)
+        return forward(model, emitted, active, at, *rest)
+
+    monkeypatch.setattr(hidden_markov, "_forward", counted)
+    for cells in (hidden_markov.KEPT_CELLS, 0):
+        monkeypatch.setattr(hidden_markov, "KEPT_CELLS", cells)
+        found.append(np.concatenate([np.ravel(x) for x in hidden_markov.expected_counts(model, lengths, table)]))
+    assert steps[:5] == [0, 256, 512, 768, 1024] and steps[5:] == [0, 256, 512, 768, 1024, 768, 512, 256, 0]
+    assert found[0] == pytest.approx(found[1], rel=1e-12)
+    assert found[0][-1] == pytest.approx(hidden_markov.log_likelihood(model, lengths, table).sum())
+
+
 def test_a_long_text_does_not_widen_its_neighbours():
     counts = np.array([5] * 1500 + [1_000_000, 0])
     classes = np.arange(counts.sum()) % 3
