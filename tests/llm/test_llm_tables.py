@@ -126,6 +126,17 @@ def test_redaction_keeps_all_else(spark):
 # --- quality
 
 
+def test_redaction_moves_a_text_once_to_its_spans(spark):
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('password=hunter2hunter2 ', id) AS text")
+    got = secret_ledger.redact(docs)
+    node = got._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().head()
+    sent = node.children().head().output()
+    assert {sent.apply(k).name() for k in range(sent.size())} == {"doc", "blob"}
+    assert {r.text.split()[0] for r in got.collect()} == {"[secret]"}
+
+
 def test_redaction_masks_whole_private_keys(spark):
     body = "\n".join("QUJD+/" * 10 for _ in range(3000))
     begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
