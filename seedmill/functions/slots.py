@@ -21,16 +21,18 @@ Generator = Callable[[pd.DataFrame], pd.DataFrame]
 Embedder = Callable[[list[str]], np.ndarray]
 
 
+GENERATED_COLUMNS = pd.Index(["request_id", "question", "answer"])
+
+
 def template_generator(requests: pd.DataFrame) -> pd.DataFrame:
     """Stand-in generator: restates the seed pair with the number of the request."""
-    numbered = [f"[{n}] " for n in requests["repeat"]]
-    return pd.DataFrame(
-        {
-            "request_id": requests["request_id"],
-            "question": [n + q for n, q in zip(numbered, requests["question"], strict=True)],
-            "answer": [n + a for n, a in zip(numbered, requests["answer"], strict=True)],
-        }
-    )
+    numbered = [f"[{n}] " for n in requests["repeat"].tolist()]
+    # One block for the frame: with few rows a batch, making columns one by one costs more than the texts.
+    out = np.empty((len(GENERATED_COLUMNS), len(numbered)), dtype=object)
+    out[0] = requests["request_id"].tolist()
+    out[1] = [n + q for n, q in zip(numbered, requests["question"].tolist(), strict=True)]
+    out[2] = [n + a for n, a in zip(numbered, requests["answer"].tolist(), strict=True)]
+    return pd.DataFrame(out.T, columns=GENERATED_COLUMNS, copy=False)
 
 
 GENERATED = "request_id string, question string, answer string"
@@ -53,12 +55,17 @@ def run_generator(
     # Outputs leave in pieces, so that a worker holds those of few batches at once.
     piece = step * max(1, PIECE_ROWS // step)
 
+    def batch(frame: pd.DataFrame, start: int) -> pd.DataFrame:
+        rows = frame.iloc[start : start + step]
+        rows.index = pd.RangeIndex(len(rows))  # not reset_index, which copies every column
+        return rows
+
     def call(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for first in range(0, len(frame), piece):
                 ends = range(first, min(first + piece, len(frame)), step)
                 out = pd.concat(
-                    [generator(frame.iloc[start : start + step].reset_index(drop=True)) for start in ends],
+                    [generator(batch(frame, start)) for start in ends],
                     ignore_index=True,
                 )
                 carried = [n for n in target.names if n not in out.columns]

@@ -1,10 +1,11 @@
 """Requests, batches, resumption and training sets."""
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from seedmill.functions.slots import run_generator
+from seedmill.functions.slots import run_generator, template_generator
 from seedmill.operators import generation as gn
 
 
@@ -100,6 +101,24 @@ def test_outputs_leave_in_pieces(spark):
     assert all(p["path"].eq("p").all() for p in found["pieces"])
 
 
+def test_a_generator_gets_rows_numbered_from_0_that_are_not_copied(spark):
+    requests = pd.DataFrame({"request_id": [str(i) for i in range(20)], "repeat": range(20), "question": "q", "answer": "a"})
+    got = []
+
+    def generator(frame):
+        got.append((list(frame.index), np.shares_memory(frame["repeat"].to_numpy(), requests["repeat"].to_numpy())))
+        return template_generator(frame)
+
+    class Frames:
+        def mapInPandas(self, call, schema):  # noqa: N802
+            return pd.concat(call([requests]))
+
+    out = run_generator(Frames(), generator, "request_id string, question string, answer string, repeat int", 8)
+    assert got == [(list(range(8)), True), (list(range(8)), True), (list(range(4)), True)]
+    assert out["question"].tolist() == [f"[{i}] q" for i in range(20)] and out["repeat"].tolist() == list(range(20))
+    assert list(requests.index) == list(range(20))
+
+
 def test_chunks_never_multiply_with_examples(spark):
     pair = "struct<question:string,answer:string>"
     files = spark.createDataFrame(
