@@ -602,15 +602,17 @@ def number_rows(docs: DataFrame, name: str | None = None) -> DataFrame:
 
     The numbers hold for every later read. A chunk has neighbouring rows of like
     size, few where texts are long and a single one where it is very long, so its
-    bytes are bounded. It lies in one bucket, so what is grouped by chunk needs no
-    shuffle of the texts.
+    bytes are bounded. Each size is counted by itself, so that its chunks are full
+    however rare it is: every chunk asks every part for frequencies. It lies in one
+    bucket, so what is grouped by chunk needs no shuffle of the texts.
     """
     spark = docs.sparkSession
     row, size = F.monotonically_increasing_id(), F.coalesce(F.octet_length("doc.text"), F.lit(0))
     numbered = docs.select(F.struct("*").alias("doc")).withColumn("row", row)
     chunk = F.lit(None)
     for number, (most, bits) in reversed(list(enumerate(CHUNKS))):
-        own = F.shiftright("row", bits) * len(CHUNKS) + number
+        # An expression of its own: it counts the rows that come to this branch.
+        own = F.shiftright(F.monotonically_increasing_id(), bits) * len(CHUNKS) + number
         chunk = own if most is None else F.when(size <= most, own).otherwise(chunk)
     total = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     buckets = max(math.ceil(total / PART_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -122,6 +122,21 @@ def test_weights_follow_the_frequencies_of_all_shingles(spark, corpus, monkeypat
         assert sorted(np.frombuffer(weights, np.float32)) == pytest.approx(sorted(expected), rel=1e-5)
 
 
+def test_rare_sizes_fill_their_chunks(spark, monkeypatch):
+    """Every chunk asks every part for frequencies, so chunks with few of the rows they may have multiply what travels."""
+    monkeypatch.setattr(near_duplicates, "CHUNKS", ((40, 4), (200, 2), (None, 0)))
+    texts = ["y" * 100 if n % 5 == 0 else "z" * 300 if n % 50 == 1 else None if n % 7 == 0 else "x" * 20 for n in range(200)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = near_duplicates.number_rows(frame).select("row", "chunk", "doc.doc_id", "doc.text").collect()
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.row)] == list(range(200))
+    members = collections.defaultdict(list)
+    for r in rows:
+        members[r.chunk].append(len(r.text or ""))
+    assert all(len({s > 40 for s in sizes}) == len({s > 200 for s in sizes}) == 1 for sizes in members.values())
+    full = collections.Counter((max(sizes), len(sizes)) for sizes in members.values())
+    assert full == {(100, 4): 10, (300, 1): 4, (20, 16): 9, (20, 12): 1}
+
+
 def test_few_pivots_a_round_find_the_same(spark, corpus, monkeypatch):
     monkeypatch.setattr(near_duplicates, "PIVOTS", 1)
     monkeypatch.setattr(near_duplicates, "GROUP_MEMBERS", 3)
