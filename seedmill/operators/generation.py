@@ -24,10 +24,25 @@ def with_request_id(requests: DataFrame, parts: list[str]) -> DataFrame:
     return requests.withColumn("request_id", F.md5(F.concat_ws("|", *[told(p) for p in parts])))
 
 
-def seed_requests(seeds: DataFrame, scale: int = fixed.SCALE_FACTOR) -> DataFrame:
-    """``scale`` requests per seed pair, numbered from 1. Pairs are told apart by place, not by question."""
-    repeated = seeds.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(scale))))
-    return with_request_id(repeated, ["path", "example", "pair", "repeat"])
+def seed_requests(
+    seeds: DataFrame, scale: int = fixed.SCALE_FACTOR, batch_size: int | None = None
+) -> DataFrame:
+    """``scale`` requests per seed pair, numbered from 1. Pairs are told apart by place, not by question.
+
+    With ``batch_size`` they come spread over all task slots, as ``generate`` takes them
+    with ``dealt``: up to so many requests of a pair go to a slot as one row, so that a
+    pair's texts travel once a batch, not once a request.
+    """
+    place = ["path", "example", "pair"]
+    if batch_size is None:
+        repeated = seeds.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(scale))))
+    else:
+        step = max(batch_size, 1)
+        batches = seeds.withColumn("_first", F.explode(F.sequence(F.lit(1), F.lit(scale), F.lit(step))))
+        spread = batches.repartition(task_slots(seeds.sparkSession), *place, "_first")
+        last = F.least(F.col("_first") + (step - 1), F.lit(scale))
+        repeated = spread.withColumn("repeat", F.explode(F.sequence("_first", last))).drop("_first")
+    return with_request_id(repeated, [*place, "repeat"])
 
 
 def knowledge_requests(files: DataFrame, chunks: DataFrame, scale: int = 1) -> DataFrame:
@@ -65,14 +80,17 @@ def generate(
     schema: str = GENERATED,
     batch_size: int = fixed.GENERATOR_BATCH,
     max_concurrency: int | None = None,
+    dealt: bool = False,
 ) -> DataFrame:
     """Run a user's generator over the requests in batches.
 
     Requests are few bytes and much work, so they are spread over all task
     slots first; a hash of the request id keeps a retried task's rows in place.
     ``max_concurrency`` limits how many batches are in flight at an endpoint.
+    ``dealt`` requests are spread out already and stay where they are, unless that limit is given.
     """
-    return run_generator(_dealt(requests, max_concurrency), generator, schema, batch_size)
+    spread = requests if dealt and max_concurrency is None else _dealt(requests, max_concurrency)
+    return run_generator(spread, generator, schema, batch_size)
 
 
 def _dealt(requests: DataFrame, slots: int | None = None) -> DataFrame:

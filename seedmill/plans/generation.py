@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from seedmill import fixed
 from seedmill.functions.slots import GENERATED as GENERATED_ROW
 from seedmill.functions.storage import scratch_path
 from seedmill.operators import generation as gn
@@ -25,8 +26,8 @@ def seeds(spark, folder):
     return tx.explode_seeds(parsed(spark, folder))
 
 
-def requests(spark, folder):
-    return gn.seed_requests(seeds(spark, folder))
+def requests(spark, folder, batch_size=None):
+    return gn.seed_requests(seeds(spark, folder), batch_size=batch_size)
 
 
 @query(REQUESTS + "SELECT path, repeat, request_id FROM requests")
@@ -107,8 +108,8 @@ TRAINING = (
 
 
 def training_messages(spark, folder):
-    every = requests(spark, folder).select("request_id", "path", "repeat", "question", "answer")
-    return gn.to_training_messages(gn.generate(every, schema=f"{GENERATED_ROW}, path string"))
+    every = requests(spark, folder, fixed.GENERATOR_BATCH).select("request_id", "path", "repeat", "question", "answer")
+    return gn.to_training_messages(gn.generate(every, schema=f"{GENERATED_ROW}, path string", dealt=True))
 
 
 @query(TRAINING + "SELECT request_id, kind, node, side, messages FROM sides")
@@ -119,7 +120,7 @@ def to_training_messages(spark, folder):
 @query(TRAINING + "SELECT kind, node, count(*) AS rows FROM sides GROUP BY kind, node")
 def write_run(spark, folder):
     path = scratch_path(spark, "runs")
-    run = sinks.write_run(training_messages(spark, folder), path, kinds=True)
+    run = sinks.write_run(training_messages(spark, folder), path, kinds=True, compression="gzip")
     stored = spark.read.schema("request_id string, kind string, node string").json(run)
     return stored.groupBy("kind", "node").agg(F.count(F.lit(1)).alias("rows"))
 

@@ -12,7 +12,7 @@ from seedmill.functions.slots import judge_column
 from seedmill.functions.storage import materialize, shared_folder
 from seedmill.operators.catalog import dataset_listing, datasets_by_run
 from seedmill.operators.generation import generate, seed_requests
-from seedmill.plans import readers
+from seedmill.plans import generation, readers
 from seedmill.sources import files as fl
 from seedmill.sources import records, sinks
 
@@ -280,6 +280,48 @@ def test_runs_and_splits(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(split" in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_small_nodes_of_a_run_get_one_file_each(spark, tmp_path):
+    # Texts that do not shrink: 40 nodes of some 20 KB, and one of some 400 KB.
+    text = F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"-{n}")), 512) for n in range(4)])
+    df = spark.range(0, 2400, 1, 8).select(
+        F.lit("skills").alias("kind"),
+        F.when(F.col("id") % 3 == 0, "large").otherwise(F.concat(F.lit("n"), (F.col("id") % 40).cast("string"))).alias("node"),
+        text.alias("text"),
+    )
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        target = sinks.write_run(df, str(tmp_path), kinds=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = {
+        name: [f for f in os.listdir(f"{target}/kind=skills/{name}") if f.endswith(".json")]
+        for name in os.listdir(f"{target}/kind=skills")
+    }
+    large = files.pop("node=large")
+    assert len(files) == 40 and {len(f) for f in files.values()} == {1} and len(large) > 1
+    assert sorted(r["text"] for r in spark.read.json(target).collect()) == sorted(r["text"] for r in df.collect())
+
+
+def test_the_run_of_the_query_is_packed_and_leaves_no_shuffle_files(spark, tmp_path, monkeypatch):
+    seeds = spark.createDataFrame(
+        [(f"knowledge/leaf{i}/qna.yaml", 0, 0, f"q{i}", f"a{i}") for i in range(3)],
+        "path string, example int, pair int, question string, answer string",
+    )
+    monkeypatch.setattr(generation, "seeds", lambda *_: seeds)
+    monkeypatch.setattr(generation, "scratch_path", lambda *_: str(tmp_path / "runs"))
+    cleanup = []
+    balanced = sinks.shuffles_removed
+    monkeypatch.setattr(sinks, "shuffles_removed", lambda session: cleanup.append(session) or balanced(session))
+    got = sorted(tuple(r) for r in generation.write_run(spark, "").collect())
+    assert got == [("knowledge", f"knowledge_leaf{i}", 30) for i in range(3)]
+    written = [f for _, _, files in os.walk(tmp_path / "runs") for f in files if f.startswith("part-")]
+    assert len(written) == 3 and all(f.endswith(".json.gz") for f in written) and len(cleanup) == 1
+    stored = spark.read.json(f"{tmp_path}/runs/*")
+    assert stored.count() == 90 and {r["messages"][2]["content"] for r in stored.collect()} == {
+        f"[{n}] a{i}" for n in range(1, 31) for i in range(3)
+    }
+
+
 def test_index_is_rebuilt_and_appended(spark, tmp_path):
     uri = str(tmp_path / "index")
     docs = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, content string")

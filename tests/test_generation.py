@@ -33,6 +33,25 @@ def test_batches_reach_the_generator(spark, seeds, batch, largest):
     assert len(sizes) == 60 and max(sizes) <= largest
 
 
+@pytest.mark.parametrize("scale,batch", [(30, 8), (4, 8), (8, 1), (3, 0)])
+def test_requests_dealt_by_batches_are_the_same(seeds, rows, scale, batch):
+    got = gn.seed_requests(seeds, scale, batch)
+    assert got.dtypes == gn.seed_requests(seeds, scale).dtypes
+    assert rows(got) == rows(gn.seed_requests(seeds, scale))
+
+
+def test_dealt_requests_are_repeated_after_they_travelled(spark, seeds):
+    out = gn.generate(gn.seed_requests(seeds, 30, 8), dealt=True)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    # From the top of the plan: the generator, the repeats, the one exchange, the batches.
+    steps = [text.index("MapInPandas"), text.index("explode(sequence(_first"), text.index("Exchange"), text.rindex("explode(")]
+    assert steps == sorted(steps) and text.count("Exchange") == 1
+    spread = out.groupBy(F.spark_partition_id().alias("slot")).count().collect()
+    assert sum(r["count"] for r in spread) == 180 and len(spread) > 4
+    limited = gn.generate(gn.seed_requests(seeds, 30, 8), max_concurrency=2, dealt=True)
+    assert limited.rdd.getNumPartitions() == 2 and limited.count() == 180
+
+
 def test_several_outputs_per_request(seeds):
     import pandas as pd
 
